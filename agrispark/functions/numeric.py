@@ -29,6 +29,19 @@ def one_decimal(value: Column) -> Column:
     return F.regexp_replace(F.format_string("%.1f", value), r"\.0$", "")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed decimals; an exact tie goes to the even digit."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0"))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Correctly rounded double: the exact binary value decides, exact ties go to the even digit.
+
+    ``round`` and ``bround`` decide on the shortest decimal text instead, which differs for values such as 29.85.
+    """
+    return fixed(value, digits).cast("double")
+
+
 def min_max_scale(value: Column, low: Column, high: Column) -> Column:
     """(x - min) / (max - min); a constant feature scales to 0."""
     return F.when(high == low, F.lit(0.0)).otherwise((value - low) / F.nullif(high - low, F.lit(0.0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agrispark.functions.numeric import fixed
 from agrispark.rules import crop_profile as cp
 
 
@@ -100,8 +101,8 @@ def alert_summary(
     flagged = F.concat(
         F.lit("["), status_, F.lit("] "), name, F.lit(": Observed "), text(v), F.lit(" "), unit,
         F.lit(" (optimal: "), text(opt_lo), F.lit("–"), text(opt_hi), F.lit(" "), unit, F.lit("). Deviation: "),
-        F.format_string("%.3f", abs_dev), F.lit(" "), unit, F.lit(" "), F.lower(direction_),
+        fixed(abs_dev, 3), F.lit(" "), unit, F.lit(" "), F.lower(direction_),
         F.when(label != "", F.concat(F.lit(" — "), label)).otherwise(F.lit("")),
-        F.lit(" ("), F.format_string("%.1f", rel_dev), F.lit("% outside optimal range)."),
+        F.lit(" ("), fixed(rel_dev, 1), F.lit("% outside optimal range)."),
     )
     return F.when(v.isNull(), None).when(status_ == "OK", nominal).otherwise(flagged)

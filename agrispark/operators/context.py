@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrispark.functions import text as tx
+from agrispark.functions.numeric import fixed
 from agrispark.rules import corpus as rc
 
 
@@ -21,7 +22,7 @@ def context_blocks(queries: DataFrame, ranked: DataFrame) -> DataFrame:
         label = F.when(F.coalesce(c["page"], F.lit(0)) != 0, F.concat(c["source"], F.lit(", p."), c["page"].cast("string"))).otherwise(c["source"])
         return F.concat(
             F.lit("[CHUNK "), (i + 1).cast("string"), F.lit("]\nSource: "), label, F.lit("\nRelevance score: "),
-            F.format_string("%.3f", c["rerank_score"]), F.lit("\nContent:\n"), tx.strip(c["text"]), F.lit("\n"),
+            fixed(c["rerank_score"], 3), F.lit("\nContent:\n"), tx.strip(c["text"]), F.lit("\n"),
         )
 
     joined = queries.select("query_id", F.col("text").alias("query_text")).join(grouped, "query_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agrispark.functions.numeric import fixed
 from agrispark.operators.cleanse import to_long
 from agrispark.rules import severity as rs
 from agrispark.sources import dims
@@ -38,7 +39,7 @@ def soil_issues(payloads: DataFrame, keys: list[str], variants: dict[str, str] |
     strong = F.coalesce(F.when(F.col("side") == "low", v <= F.col("low_edge")).otherwise(v >= F.col("high_edge")), F.lit(False))
     grade = F.when(F.col("graded"), F.col("severity")).when(strong, "strong").otherwise("plain")
     texts = F.broadcast(dims.issue_texts(payloads.sparkSession))
-    number = F.when(F.col("decimals") == 2, F.format_string("%.2f", v)).otherwise(F.format_string("%.1f", v))
+    number = F.when(F.col("decimals") == 2, fixed(v, 2)).otherwise(fixed(v, 1))
     return (
         severities(payloads, keys, variants).where(F.col("severity") != "Low")
         .withColumn("side", side).withColumn("grade", grade)

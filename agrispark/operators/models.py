@@ -13,6 +13,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agrispark.functions.numeric import rounded
 from agrispark.rules import crop_profile as cp
 from agrispark.rules import limits
 
@@ -65,7 +66,7 @@ def argmax_class(probabilities: Column) -> tuple[Column, Column]:
     """(label, confidence rounded to four digits) of the most likely class; the first wins a tie."""
     best = F.array_max(probabilities)
     labels = F.array(*[F.lit(x) for x in cp.SUITABILITY_LABELS])
-    return F.element_at(labels, F.array_position(probabilities, best).cast("int")), F.round(best, 4)
+    return F.element_at(labels, F.array_position(probabilities, best).cast("int")), rounded(best, 4)
 
 
 def classify(model: PipelineModel, samples: DataFrame) -> DataFrame:

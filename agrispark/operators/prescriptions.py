@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from agrispark.functions.numeric import fixed
 from agrispark.operators.diagnosis import severity_rank
 from agrispark.rules import actions as ra
 from agrispark.sources import dims
@@ -25,9 +26,9 @@ def dosage(rule: Column, parameter: Column, value: Column, optimal_low: Column,
         share = F.when(parameter == name, fraction).otherwise(share)
         product = F.when(parameter == name, text).otherwise(product)
     return (
-        F.when(rule == "lime", F.format_string("%.1f–%.1f tons/ha", lime, lime + ra.LIME["span"]))
-        .when(rule == "sulfur", F.format_string("%.0f–%.0f kg/ha", sulfur, sulfur + ra.SULFUR["span"]))
-        .when(rule == "fertilizer", F.format_string("%.0f kg/ha of %s", pure / share, product))
+        F.when(rule == "lime", F.concat(fixed(lime, 1), F.lit("–"), fixed(lime + ra.LIME["span"], 1), F.lit(" tons/ha")))
+        .when(rule == "sulfur", F.concat(fixed(sulfur, 0), F.lit("–"), fixed(sulfur + ra.SULFUR["span"], 0), F.lit(" kg/ha")))
+        .when(rule == "fertilizer", F.concat(fixed(pure / share, 0), F.lit(" kg/ha of "), product))
         .otherwise(rule)
     )
 

@@ -10,39 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrispark.functions import soil
+from agrispark.functions.numeric import rounded
 from agrispark.operators.cleanse import normalise_crop
 from agrispark.rules import crop_profile as cp
 
 
-def _values(columns: dict[str, str]) -> Column:
-    return F.create_map(*[x for key, column in columns.items() for x in (F.lit(key), F.col(column))])
+def _value_of(param_key: Column, columns: dict[str, str]) -> Column:
+    value = F.lit(None).cast("double")
+    for key, column in columns.items():
+        value = F.when(param_key == key, F.col(column)).otherwise(value)
+    return value
 
 
 def _bounds(p: Column) -> list[Column]:
     return [p["optimal_min"], p["optimal_max"], p["critical_min"], p["critical_max"]]
 
 
-def _flag(values: Column, p: Column) -> Column:
-    v, bounds = values[p["param_key"]], _bounds(p)
-    status = soil.status(v, *bounds)
-    side = soil.direction(v, *bounds)
-    by_side = lambda low, high, ok: F.when(side == "LOW", p[low]).when(side == "HIGH", p[high]).otherwise(p[ok])
-    label = by_side("low_label", "high_label", "nominal_label")
-    abs_dev = soil.deviation(v, bounds[0], bounds[1])
-    rel_dev = soil.relative_deviation(v, bounds[0], bounds[1])
-    score = soil.health_score(v, *bounds)
+def _with_value(p: Column, columns: dict[str, str]) -> Column:
+    return F.struct(p.alias("p"), _value_of(p["param_key"], columns).alias("value"))
+
+
+def _flag(x: Column) -> Column:
+    """Class, side and raw score of one parameter next to its profile row; texts are added where they are needed."""
+    v, bounds = x["value"], _bounds(x["p"])
     return F.struct(
-        p["ord"].alias("ord"), p["param_key"].alias("param_key"), p["display_name"].alias("display_name"),
-        p["unit"].alias("unit"), v.alias("value"), status.alias("status"),
-        F.when(v.isNotNull(), side).alias("direction"),
-        F.when(v.isNotNull(), F.round(abs_dev, 3)).alias("absolute_deviation"),
-        F.when(v.isNotNull(), F.round(rel_dev, 1)).alias("relative_deviation"),
-        F.when(v.isNotNull(), label).alias("direction_label"),
-        soil.alert_summary(p["display_name"], p["unit"], v, bounds[0], bounds[1], status, side, label, abs_dev, rel_dev).alias("alert_summary"),
-        F.when(v.isNotNull(), by_side("low_hint", "high_hint", "nominal_hint")).alias("intervention_hint"),
-        F.round(score, 1).alias("parameter_score"),
-        score.alias("raw_score"),
-        F.coalesce(p["weight"], F.lit(0.0)).alias("weight"),
+        x["p"].alias("p"), v.alias("value"), soil.status(v, *bounds).alias("status"),
+        F.when(v.isNotNull(), soil.direction(v, *bounds)).alias("direction"), soil.health_score(v, *bounds).alias("score"),
     )
 
 
@@ -63,36 +56,63 @@ def evaluate(payloads: DataFrame, profiles: DataFrame, keys: list[str], columns:
         ).otherwise(params)
     else:
         joined = joined.where(F.col("_profile").isNotNull())
-    values = _values(columns)
-    flagged = joined.select(
-        *keys, F.col(crop).alias("crop_key"), "bands", F.transform(params, lambda p: _flag(values, p)).alias("flags")
-    )
-    total = F.aggregate("flags", F.lit(0.0), lambda acc, f: acc + f["weight"])
-    weighted = F.aggregate("flags", F.lit(0.0), lambda acc, f: acc + F.coalesce(f["raw_score"], F.lit(0.0)) * f["weight"])
-    score = F.coalesce(F.round(weighted / F.nullif(total, F.lit(0.0)), 1), F.lit(0.0))
-    named = lambda s: F.transform(F.filter("flags", lambda f: f["status"] == s), lambda f: f["display_name"])
-    count = lambda s: F.size(F.filter("flags", lambda f: f["status"] == s)).cast("long")
-    scored = flagged.withColumn("field_health_score", score)
+    flags = F.transform(F.transform(params, lambda p: _with_value(p, columns)), _flag)
+    flagged = joined.select(*keys, F.col(crop).alias("crop_key"), "bands", flags.alias("flags"))
+    weight = lambda f: F.coalesce(f["p"]["weight"], F.lit(0.0))
+    total = F.aggregate("flags", F.lit(0.0), lambda acc, f: acc + weight(f))
+    weighted = F.aggregate("flags", F.lit(0.0), lambda acc, f: acc + F.coalesce(f["score"], F.lit(0.0)) * weight(f))
+    score = F.coalesce(rounded(weighted / F.nullif(total, F.lit(0.0)), 1), F.lit(0.0))
+    named = lambda s: F.transform(F.filter("flags", lambda f: f["status"] == s), lambda f: f["p"]["display_name"])
     fitting = F.filter("bands", lambda b: (F.col("field_health_score") >= b["min"]) & (F.col("field_health_score") <= b["max"]))
     lowest = F.filter("bands", lambda b: b["band"] == "CRITICAL")
-    return scored.select(
-        *keys, "crop_key", "flags", "field_health_score",
-        F.coalesce(F.try_element_at(fitting, F.lit(1)), F.try_element_at(lowest, F.lit(1))).alias("_band"),
-        named("OK").alias("ok_parameters"), named("WARNING").alias("warning_parameters"),
-        named("CRITICAL").alias("critical_parameters"), named("MISSING").alias("missing_parameters"),
-        count("WARNING").alias("warning_count"), count("CRITICAL").alias("critical_count"),
-        count("MISSING").alias("missing_count"),
-        F.exists("flags", lambda f: f["status"].isin("WARNING", "CRITICAL")).alias("requires_intervention"),
-    ).select(
-        "*", F.coalesce(F.col("_band")["band"], F.lit("CRITICAL")).alias("health_band"),
-        F.coalesce(F.col("_band")["label"], F.lit("")).alias("health_band_label"),
-        F.coalesce(F.col("_band")["color"], F.lit("#95a5a6")).alias("health_color"),
-    ).drop("_band")
+    return (
+        flagged.withColumn("field_health_score", score)
+        .withColumns({
+            "_band": F.coalesce(F.try_element_at(fitting, F.lit(1)), F.try_element_at(lowest, F.lit(1))),
+            "ok_parameters": named("OK"), "warning_parameters": named("WARNING"),
+            "critical_parameters": named("CRITICAL"), "missing_parameters": named("MISSING"),
+        })
+        .withColumns({
+            "health_band": F.coalesce(F.col("_band")["band"], F.lit("CRITICAL")),
+            "health_band_label": F.coalesce(F.col("_band")["label"], F.lit("")),
+            "health_color": F.coalesce(F.col("_band")["color"], F.lit("#95a5a6")),
+            "warning_count": F.size("warning_parameters").cast("long"),
+            "critical_count": F.size("critical_parameters").cast("long"),
+            "missing_count": F.size("missing_parameters").cast("long"),
+        })
+        .withColumn("requires_intervention", F.col("warning_count") + F.col("critical_count") > 0)
+        .drop("_band", "bands")
+    )
+
+
+def _by_side(direction: Column, p: Column, low: str, high: str, nominal: str) -> Column:
+    return F.when(direction == "LOW", p[low]).when(direction == "HIGH", p[high]).when(direction == "NONE", p[nominal])
+
+
+def _texts(f: Column) -> tuple[Column, Column, Column]:
+    """(direction label, summary sentence, hint) of a flag."""
+    p, v, side = f["p"], f["value"], f["direction"]
+    label = _by_side(side, p, "low_label", "high_label", "nominal_label")
+    summary = soil.alert_summary(
+        p["display_name"], p["unit"], v, p["optimal_min"], p["optimal_max"], f["status"], side, label,
+        soil.deviation(v, p["optimal_min"], p["optimal_max"]), soil.relative_deviation(v, p["optimal_min"], p["optimal_max"]),
+    )
+    return label, summary, _by_side(side, p, "low_hint", "high_hint", "nominal_hint")
 
 
 def param_flags(evaluated: DataFrame, keys: list[str]) -> DataFrame:
     """Long form: one row per (payload, parameter), missing parameters included."""
-    return evaluated.select(*keys, "crop_key", F.inline("flags")).drop("raw_score", "weight")
+    long = evaluated.select(*keys, "crop_key", F.explode("flags").alias("f"))
+    f, p, v = F.col("f"), F.col("f.p"), F.col("f.value")
+    label, summary, hint = _texts(f)
+    known = lambda c: F.when(v.isNotNull(), c)
+    return long.select(
+        *keys, "crop_key", "f.p.ord", "f.p.param_key", "f.p.display_name", "f.p.unit", "f.value", "f.status", "f.direction",
+        known(rounded(soil.deviation(v, p["optimal_min"], p["optimal_max"]), 3)).alias("absolute_deviation"),
+        known(rounded(soil.relative_deviation(v, p["optimal_min"], p["optimal_max"]), 1)).alias("relative_deviation"),
+        label.alias("direction_label"), summary.alias("alert_summary"), hint.alias("intervention_hint"),
+        rounded(F.col("f.score"), 1).alias("parameter_score"),
+    )
 
 
 def flagged_only(flags: DataFrame) -> DataFrame:
@@ -104,17 +124,18 @@ def report_block(evaluated: DataFrame, keys: list[str]) -> DataFrame:
     flags = F.col("flags")
 
     def flag_lines(status: str) -> Column:
-        hit = F.filter(flags, lambda f: f["status"] == status)
-        return F.flatten(F.transform(hit, lambda f: F.array(
-            F.concat(F.lit("  • "), f["alert_summary"]), F.concat(F.lit("    Hint: "), f["intervention_hint"]),
-        )))
+        def both(f: Column) -> Column:
+            _, summary, hint = _texts(f)
+            return F.array(F.concat(F.lit("  • "), summary), F.concat(F.lit("    Hint: "), hint))
+
+        return F.flatten(F.transform(F.filter(flags, lambda f: f["status"] == status), both))
 
-    def section(title: str, lines: Column) -> Column:
+    def section(title: str, lines: Column, names: str) -> Column:
         body = F.concat(F.array(F.lit(title)), lines, F.array(F.lit("")))
-        return F.when(F.size(lines) > 0, body).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(names) > 0, body).otherwise(F.array().cast("array<string>"))
 
     nominal = F.transform(F.filter(flags, lambda f: f["status"] == "OK"), lambda f: F.concat(
-        F.lit("  ✓ "), f["display_name"], F.lit(": "), f["value"].cast("string"), F.lit(" "), f["unit"]))
+        F.lit("  ✓ "), f["p"]["display_name"], F.lit(": "), f["value"].cast("string"), F.lit(" "), f["p"]["unit"]))
     missing = F.transform("missing_parameters", lambda name: F.concat(F.lit("  ? "), name, F.lit(": No reading received")))
     head = F.array(
         F.lit("=== FIELD EVALUATION REPORT ==="),
@@ -126,10 +147,10 @@ def report_block(evaluated: DataFrame, keys: list[str]) -> DataFrame:
     )
     lines = F.concat(
         head,
-        section("--- CRITICAL FLAGS (Immediate action required) ---", flag_lines("CRITICAL")),
-        section("--- WARNING FLAGS (Action recommended) ---", flag_lines("WARNING")),
-        section("--- NOMINAL PARAMETERS ---", nominal),
-        section("--- MISSING SENSOR DATA ---", missing),
+        section("--- CRITICAL FLAGS (Immediate action required) ---", flag_lines("CRITICAL"), "critical_parameters"),
+        section("--- WARNING FLAGS (Action recommended) ---", flag_lines("WARNING"), "warning_parameters"),
+        section("--- NOMINAL PARAMETERS ---", nominal, "ok_parameters"),
+        section("--- MISSING SENSOR DATA ---", missing, "missing_parameters"),
         F.array(F.lit("=== END EVALUATION REPORT ===")),
     )
     return evaluated.select(*keys, F.array_join(lines, "\n").alias("report"))
@@ -142,17 +163,19 @@ def suitability(readings: DataFrame, profiles: DataFrame, columns: dict[str, str
     Adds crop_key, parameter_scores, suitability_score and suitability_label.
     """
     columns = columns or {param: column for column, param in cp.SENSOR_PARAMETERS.items()}
-    values = _values(columns)
     scored_keys = F.array(*[F.lit(k) for k in columns])
     joined = normalise_crop(readings, crop_names).join(F.broadcast(profiles.select("crop_key", "params")), "crop_key", "left")
     parts = F.filter(
         F.transform(
-            F.filter(F.coalesce("params", F.array().cast(profiles.schema["params"].dataType)),
-                     lambda p: F.array_contains(scored_keys, p["param_key"])),
-            lambda p: F.struct(
-                p["param_key"].alias("param_key"),
-                soil.suitability_score(values[p["param_key"]], *_bounds(p)).alias("score"),
-                F.coalesce(p["weight"], F.lit(1.0)).alias("weight"),
+            F.transform(
+                F.filter(F.coalesce("params", F.array().cast(profiles.schema["params"].dataType)),
+                         lambda p: F.array_contains(scored_keys, p["param_key"])),
+                lambda p: _with_value(p, columns),
+            ),
+            lambda x: F.struct(
+                x["p"]["param_key"].alias("param_key"),
+                soil.suitability_score(x["value"], *_bounds(x["p"])).alias("score"),
+                F.coalesce(x["p"]["weight"], F.lit(1.0)).alias("weight"),
             ),
         ),
         lambda s: s["score"].isNotNull(),
@@ -162,8 +185,8 @@ def suitability(readings: DataFrame, profiles: DataFrame, columns: dict[str, str
     weighted = F.aggregate("_parts", F.lit(0.0), lambda acc, s: acc + s["score"] * s["weight"])
     composite = F.coalesce(weighted / F.nullif(total, F.lit(0.0)), F.lit(0.0))
     return with_parts.withColumn("_composite", composite).withColumns({
-        "parameter_scores": F.map_from_entries(F.transform("_parts", lambda s: F.struct(s["param_key"], F.round(s["score"], 2)))),
-        "suitability_score": F.round("_composite", 2),
+        "parameter_scores": F.map_from_entries(F.transform("_parts", lambda s: F.struct(s["param_key"], rounded(s["score"], 2)))),
+        "suitability_score": rounded(F.col("_composite"), 2),
         "suitability_label": soil.suitability_band(F.col("_composite")),
     }).drop("_parts", "_composite", "params", "crop_recognised")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agrispark.plans import telemetry_queries
+from agrispark.plans import advice_queries, telemetry_queries
 
-FAMILIES = [telemetry_queries]
+FAMILIES = [telemetry_queries, advice_queries]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

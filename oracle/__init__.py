@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oracle import telemetry
+from oracle import advice, telemetry
 
-FAMILIES = [telemetry]
+FAMILIES = [telemetry, advice]
 
 
 def all_sql() -> dict[str, str]:
