@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oracle import advice, telemetry
+from oracle import advice, corpus, messages, sequences, telemetry
 
-FAMILIES = [telemetry, advice]
+FAMILIES = [telemetry, advice, sequences, corpus, messages]
 
 
 def all_sql() -> dict[str, str]:
