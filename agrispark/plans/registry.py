@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agrispark.plans import advice_queries, corpus_queries, message_queries, sequence_queries, telemetry_queries
+from agrispark.plans import (
+    advice_queries, corpus_queries, message_queries, sequence_queries, stream_queries, telemetry_queries,
+)
 
-FAMILIES = [telemetry_queries, advice_queries, sequence_queries, corpus_queries, message_queries]
+FAMILIES = [telemetry_queries, advice_queries, sequence_queries, corpus_queries, message_queries, stream_queries]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oracle import advice, corpus, messages, sequences, telemetry
+from oracle import advice, corpus, messages, sequences, streams, telemetry
 
-FAMILIES = [telemetry, advice, sequences, corpus, messages]
+FAMILIES = [telemetry, advice, sequences, corpus, messages, streams]
 
 
 def all_sql() -> dict[str, str]:
