@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def to_number(text: Column) -> Column:
     return finite(F.when(clean.rlike(NUMBER_TEXT), clean.try_cast("double")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    The optimizer inlines a projected column into a lambda that mentions it once, and the lambda then evaluates it
+    for every element; a lambda argument is evaluated before the body.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def zero_if_missing(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 

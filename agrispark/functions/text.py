@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agrispark.functions.numeric import let
 from agrispark.rules import corpus as rc
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any script from both ends."""
-    return F.regexp_replace(text, f"^{rc.SPACE_CLASS}+|{rc.SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(rc.SPACES))
 
 
 def clean(text: Column) -> Column:
     """Printable characters only, single blanks, at most one empty line in a row, no outer white space."""
-    printable = F.regexp_replace(text, rc.UNPRINTABLE, " ")
-    blanks = F.regexp_replace(printable, "[ \\t\\r]+", " ")
+    blanks = F.regexp_replace(text, rc.BLANK_OR_UNPRINTABLE, " ")
     return strip(F.regexp_replace(blanks, "\\n{3,}", "\n\n"))
 
 
@@ -64,26 +64,26 @@ def budget_prefix(text: Column, query: Column) -> tuple[Column, Column]:
     """Leading lines of a context that fit the token budget left by the query, and whether it was cut."""
     used = token_estimate(text) + token_estimate(query)
     target = F.lit(rc.MAX_CONTEXT_TOKENS) - token_estimate(query) - rc.CONTEXT_RESERVE
-    parts = lines(text)
     start = F.struct(F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("spent"), F.lit(True).alias("open"))
 
-    def take(acc: Column, line: Column) -> Column:
-        spent = acc["spent"] + token_estimate(line)
-        fits = acc["open"] & (spent <= target)
-        return F.struct(
-            (acc["kept"] + fits.cast("long")).alias("kept"),
-            F.when(fits, spent).otherwise(acc["spent"]).alias("spent"),
-            fits.alias("open"),
-        )
+    def leading(parts: Column, limit: Column) -> Column:
+        def take(acc: Column, line: Column) -> Column:
+            return let(acc["spent"] + token_estimate(line), lambda spent: F.struct(
+                F.when(acc["open"] & (spent <= limit), acc["kept"] + 1).otherwise(acc["kept"]).alias("kept"),
+                spent.alias("spent"), (acc["open"] & (spent <= limit)).alias("open"),
+            ))
+
+        return F.aggregate(parts, start, take)["kept"].cast("int")
+
+    def cut(parts: Column) -> Column:
+        return let(let(target, lambda limit: leading(parts, limit)), lambda kept: (
+            F.when(kept == 0, F.substring(text, 1, rc.CUT_FIRST_LINE))
+            .otherwise(F.concat(F.array_join(F.slice(parts, 1, kept), "\n"), F.lit(rc.TRUNCATION_NOTE)))
+        ))
 
-    kept = F.aggregate(parts, start, take)["kept"].cast("int")
     truncated = used > rc.MAX_CONTEXT_TOKENS
-    cut = (
-        F.when(target <= 0, F.substring(text, 1, rc.CUT_WITHOUT_BUDGET))
-        .when(kept == 0, F.substring(text, 1, rc.CUT_FIRST_LINE))
-        .otherwise(F.concat(F.array_join(F.slice(parts, 1, kept), "\n"), F.lit(rc.TRUNCATION_NOTE)))
-    )
-    return F.when(truncated, cut).otherwise(text), truncated
+    short = F.when(target <= 0, F.substring(text, 1, rc.CUT_WITHOUT_BUDGET)).otherwise(let(lines(text), cut))
+    return F.when(truncated, short).otherwise(text), truncated
 
 
 def query_words(query: Column) -> Column:

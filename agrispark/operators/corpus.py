@@ -13,8 +13,12 @@ from agrispark.rules import corpus as rc
 
 
 def clean_documents(documents: DataFrame) -> DataFrame:
-    """Cleaned text per document; documents without usable text are dropped."""
-    return documents.withColumn("text", tx.clean(F.col("text"))).where(F.col("text") != "")
+    """Cleaned text per document; documents without usable text are dropped.
+
+    Usable text is found in the raw text: a filter on the cleaned text would be pushed below the projection and
+    clean every document twice.
+    """
+    return documents.where(F.col("text").rlike(rc.USABLE)).withColumn("text", tx.clean(F.col("text")))
 
 
 def remove_boilerplate(documents: DataFrame) -> DataFrame:

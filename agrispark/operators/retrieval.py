@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agrispark.functions import text as tx
+from agrispark.functions.numeric import let
 from agrispark.rules import corpus as rc
 
 QUERY_TERMS_PER_BLOCK = 500_000
@@ -29,43 +30,46 @@ SCORE_DIGITS = 6
 
 @dataclass
 class SparseIndex:
-    """Stored postings (chunk_id, doc_len, term, tf) with corpus size and mean length."""
+    """Stored postings (chunk_id, doc_len, term, tf), vocabulary (term, df) and the corpus numbers that go with them."""
 
     postings: DataFrame
+    vocabulary: DataFrame
     chunks: int
     mean_length: float
+    mean_raw_idf: float
 
 
 def build_index(chunks: DataFrame, path: str) -> SparseIndex:
-    """Tokenise once and store the postings; corpus size and length are observed in the same pass."""
+    """Tokenise once and store postings and vocabulary; corpus size and lengths are observed in the same passes."""
     spark = chunks.sparkSession
-    seen = Observation()
+    sizes, idfs = Observation(), Observation()
     lengths = chunks.select("chunk_id", tx.tokens(F.col("text")).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
-    counted = lengths.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length"))
+    counted = lengths.observe(sizes, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length"))
     (
         counted.select("chunk_id", "doc_len", F.explode("tokens").alias("term"))
         .groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        .write.mode("overwrite").parquet(path)
+        .write.mode("overwrite").parquet(f"{path}/postings")
     )
-    n, length = seen.get["n"], seen.get["length"]
-    return SparseIndex(spark.read.parquet(path), n, length / n if n else 0.0)
+    postings = spark.read.parquet(f"{path}/postings")
+    n, length = sizes.get["n"], sizes.get["length"]
+    frequencies = document_frequency(postings).observe(idfs, F.avg(_raw_idf(n)).alias("mean"))
+    frequencies.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    return SparseIndex(postings, spark.read.parquet(f"{path}/vocabulary"), n, length / n if n else 0.0, idfs.get["mean"] or 0.0)
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _raw_idf(index: SparseIndex) -> Column:
-    return F.log(F.lit(index.chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+def _raw_idf(chunks: int) -> Column:
+    return F.log(F.lit(chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
 def idf(index: SparseIndex) -> DataFrame:
     """(term, df, idf); a negative idf becomes a quarter of the mean over the whole vocabulary."""
-    raw = document_frequency(index.postings).withColumn("raw_idf", _raw_idf(index))
-    mean = raw.agg(F.avg("raw_idf")).scalar()
-    return raw.select(
-        "term", "df", F.when(F.col("raw_idf") < 0, mean * rc.BM25_EPSILON).otherwise(F.col("raw_idf")).alias("idf")
-    )
+    raw = _raw_idf(index.chunks)
+    floor = F.lit(index.mean_raw_idf * rc.BM25_EPSILON)
+    return index.vocabulary.select("term", "df", F.when(raw < 0, floor).otherwise(raw).alias("idf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -103,8 +107,9 @@ def bm25_search(index: SparseIndex, queries: DataFrame, n: int, terms_per_block:
     ``score`` is raw, ``bm25_score`` divided by the query's best. Query terms are broadcast in blocks of bounded
     size, one pass over the postings per block.
     """
-    terms = query_terms(queries).join(idf(index), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("query_weight"))
-    size = query_terms(queries).count()
+    counted = query_terms(queries)
+    size = counted.count()
+    terms = counted.join(idf(index), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("query_weight"))
     k1, b = rc.BM25_K1, rc.BM25_B
     share = F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.lit(index.mean_length or 1.0)
     saturation = F.col("tf") * (k1 + 1.0) / (F.col("tf") + F.lit(k1) * share)
@@ -268,14 +273,13 @@ def hashing_embeddings(chunks: DataFrame, others: list[DataFrame], dimensions: i
     ]
 
 
-def letter_profile(text: Column) -> Column:
-    """A tiny deterministic encoder in plain expressions: unit vector of the 26 letter counts."""
-    low = F.lower(text)
-    counts = F.array(*[
-        (F.length(low) - F.length(F.replace(low, F.lit(chr(97 + i)), F.lit("")))).cast("double") for i in range(26)
-    ])
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.transform(counts, lambda v: F.coalesce(v / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
+def letter_profiles(frame: DataFrame) -> DataFrame:
+    """A tiny deterministic encoder in plain expressions: ``embedding`` is the unit vector of the 26 letter counts."""
+    low = F.col("_low")
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(chr(97 + i)), F.lit("")))).cast("double") for i in range(26)])
+    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda acc, v: acc + v * v))
+    unit = let(norm, lambda n: F.transform("_counts", lambda v: F.coalesce(v / F.nullif(n, F.lit(0.0)), F.lit(0.0))))
+    return frame.withColumn("_low", F.lower("text")).withColumn("_counts", counts).withColumn("embedding", unit).drop("_low", "_counts")
 
 
 def write_once(spark: SparkSession, frame: DataFrame, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Threshold evaluation, field health and suitability.
 
-A reading and its crop profile meet in one broadcast join; all parameters of a reading are then evaluated inside
-the row, so neither the flags nor the composite scores need a shuffle.
+A reading and its crop profile meet in one broadcast join. Composite scores zip the reading's values with the
+profile's parameters inside the row, flags unpivot into generated code; neither needs a shuffle.
 """
 
 from __future__ import annotations
@@ -10,108 +10,114 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrispark.functions import soil
-from agrispark.functions.numeric import rounded
+from agrispark.functions.numeric import let, rounded
 from agrispark.operators.cleanse import normalise_crop
 from agrispark.rules import crop_profile as cp
 
 
-def _value_of(param_key: Column, columns: dict[str, str]) -> Column:
-    value = F.lit(None).cast("double")
-    for key, column in columns.items():
-        value = F.when(param_key == key, F.col(column)).otherwise(value)
-    return value
-
-
 def _bounds(p: Column) -> list[Column]:
     return [p["optimal_min"], p["optimal_max"], p["critical_min"], p["critical_max"]]
 
 
-def _with_value(p: Column, columns: dict[str, str]) -> Column:
-    return F.struct(p.alias("p"), _value_of(p["param_key"], columns).alias("value"))
+def _aligned(profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Profiles with their parameters in the order of the given keys, NULL where a profile lacks one.
 
+    Runs on the profile table, one row per crop, so that each reading only zips two arrays.
+    """
+    slot = lambda k: F.try_element_at(F.filter("params", lambda p: p["param_key"] == k), F.lit(1))
+    others = F.filter("params", lambda p: ~p["param_key"].isin(keys))
+    return profiles.withColumn("params", F.concat(F.array(*[slot(k) for k in keys]), others))
 
-def _flag(x: Column) -> Column:
-    """Class, side and raw score of one parameter next to its profile row; texts are added where they are needed."""
-    v, bounds = x["value"], _bounds(x["p"])
-    return F.struct(
-        x["p"].alias("p"), v.alias("value"), soil.status(v, *bounds).alias("status"),
-        F.when(v.isNotNull(), soil.direction(v, *bounds)).alias("direction"), soil.health_score(v, *bounds).alias("score"),
-    )
+
+def _joined(payloads: DataFrame, profiles: DataFrame, crop: str, strict: bool) -> tuple[DataFrame, Column]:
+    """Payloads with their profile, and the parameter array; a strict join fails on a crop without a profile."""
+    renamed = F.broadcast(profiles.withColumnRenamed("crop_key", "_profile"))
+    joined = payloads.join(renamed, F.col(crop) == F.col("_profile"), "left" if strict else "inner")
+    if not strict:
+        return joined, F.col("params")
+    unknown = F.raise_error(F.concat(F.lit("no threshold profile for crop "), F.coalesce(F.col(crop), F.lit("NULL"))))
+    return joined, F.when(F.col("_profile").isNull(), unknown).otherwise(F.col("params"))
 
 
 def evaluate(payloads: DataFrame, profiles: DataFrame, keys: list[str], columns: dict[str, str] | None = None,
              crop: str = "crop_key", strict: bool = True) -> DataFrame:
     """One row per payload with its flags and field-health score.
 
-    A missing parameter adds its weight with score 0. ``strict`` fails the job on a crop without a profile.
+    ``flags`` holds name, value, status and score per profile parameter. A missing parameter adds its weight with
+    score 0. ``strict`` fails the job on a crop without a profile.
     """
     columns = columns or {k: k for k in cp.PARAM_KEYS if k in payloads.columns}
-    joined = payloads.join(F.broadcast(profiles.withColumnRenamed("crop_key", "_profile")),
-                           F.col(crop) == F.col("_profile"), "left")
-    params = F.col("params")
-    if strict:
-        params = F.when(
-            F.col("_profile").isNull(),
-            F.raise_error(F.concat(F.lit("no threshold profile for crop "), F.coalesce(F.col(crop), F.lit("NULL")))),
-        ).otherwise(params)
-    else:
-        joined = joined.where(F.col("_profile").isNotNull())
-    flags = F.transform(F.transform(params, lambda p: _with_value(p, columns)), _flag)
-    flagged = joined.select(*keys, F.col(crop).alias("crop_key"), "bands", flags.alias("flags"))
-    weight = lambda f: F.coalesce(f["p"]["weight"], F.lit(0.0))
-    total = F.aggregate("flags", F.lit(0.0), lambda acc, f: acc + weight(f))
-    weighted = F.aggregate("flags", F.lit(0.0), lambda acc, f: acc + F.coalesce(f["score"], F.lit(0.0)) * weight(f))
-    score = F.coalesce(rounded(weighted / F.nullif(total, F.lit(0.0)), 1), F.lit(0.0))
-    named = lambda s: F.transform(F.filter("flags", lambda f: f["status"] == s), lambda f: f["p"]["display_name"])
-    fitting = F.filter("bands", lambda b: (F.col("field_health_score") >= b["min"]) & (F.col("field_health_score") <= b["max"]))
+    slim = _aligned(profiles, list(columns)).select(
+        "crop_key", "bands",
+        F.transform("params", lambda p: F.struct(
+            p["ord"].alias("ord"), p["display_name"].alias("display_name"), F.coalesce(p["weight"], F.lit(0.0)).alias("weight"),
+            *[b.alias(n) for n, b in zip(("optimal_min", "optimal_max", "critical_min", "critical_max"), _bounds(p))],
+        )).alias("params"),
+    )
+    joined, params = _joined(payloads, slim, crop, strict)
+    values = F.array(*[F.col(c) for c in columns.values()])
+
+    def flag(p: Column, v: Column) -> Column:
+        return F.struct(
+            p["ord"].alias("ord"), p["display_name"].alias("display_name"), v.alias("value"),
+            soil.status(v, *_bounds(p)).alias("status"), soil.health_score(v, *_bounds(p)).alias("score"), p["weight"].alias("weight"),
+        )
+
+    flags = F.filter(F.zip_with(params, values, flag), lambda f: f["ord"].isNotNull())
+    flagged = joined.select(*keys, F.col(crop).alias("crop_key"), "bands", F.array_sort(flags).alias("flags"))
+    zero = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("weight"))
+    sums = F.aggregate("flags", zero, lambda acc, f: F.struct(
+        (acc["score"] + F.coalesce(f["score"], F.lit(0.0)) * f["weight"]).alias("score"), (acc["weight"] + f["weight"]).alias("weight"),
+    ), lambda acc: acc["score"] / F.nullif(acc["weight"], F.lit(0.0)))
+    named = lambda s: F.transform(F.filter("flags", lambda f: f["status"] == s), lambda f: f["display_name"])
+    fitting = let(F.col("field_health_score"), lambda score: F.filter("bands", lambda b: (score >= b["min"]) & (score <= b["max"])))
     lowest = F.filter("bands", lambda b: b["band"] == "CRITICAL")
     return (
-        flagged.withColumn("field_health_score", score)
-        .withColumns({
-            "_band": F.coalesce(F.try_element_at(fitting, F.lit(1)), F.try_element_at(lowest, F.lit(1))),
-            "ok_parameters": named("OK"), "warning_parameters": named("WARNING"),
-            "critical_parameters": named("CRITICAL"), "missing_parameters": named("MISSING"),
-        })
-        .withColumns({
-            "health_band": F.coalesce(F.col("_band")["band"], F.lit("CRITICAL")),
-            "health_band_label": F.coalesce(F.col("_band")["label"], F.lit("")),
-            "health_color": F.coalesce(F.col("_band")["color"], F.lit("#95a5a6")),
-            "warning_count": F.size("warning_parameters").cast("long"),
-            "critical_count": F.size("critical_parameters").cast("long"),
-            "missing_count": F.size("missing_parameters").cast("long"),
-        })
-        .withColumn("requires_intervention", F.col("warning_count") + F.col("critical_count") > 0)
-        .drop("_band", "bands")
+        flagged.select(
+            "*", F.coalesce(rounded(sums, 1), F.lit(0.0)).alias("field_health_score"),
+            *[named(s).alias(f"{s.lower()}_parameters") for s in ("OK", "WARNING", "CRITICAL", "MISSING")],
+        )
+        .withColumn("_band", F.coalesce(F.try_element_at(fitting, F.lit(1)), F.try_element_at(lowest, F.lit(1))))
+        .select(
+            *keys, "crop_key", "flags", "field_health_score", "ok_parameters", "warning_parameters", "critical_parameters", "missing_parameters",
+            F.coalesce(F.col("_band")["band"], F.lit("CRITICAL")).alias("health_band"),
+            F.coalesce(F.col("_band")["label"], F.lit("")).alias("health_band_label"),
+            F.coalesce(F.col("_band")["color"], F.lit("#95a5a6")).alias("health_color"),
+            *[F.size(f"{s}_parameters").cast("long").alias(f"{s}_count") for s in ("warning", "critical", "missing")],
+            (F.size("warning_parameters") + F.size("critical_parameters") > 0).alias("requires_intervention"),
+        )
     )
 
 
-def _by_side(direction: Column, p: Column, low: str, high: str, nominal: str) -> Column:
-    return F.when(direction == "LOW", p[low]).when(direction == "HIGH", p[high]).when(direction == "NONE", p[nominal])
-
+def param_flags(payloads: DataFrame, profiles: DataFrame, keys: list[str], columns: dict[str, str] | None = None,
+                crop: str = "crop_key") -> DataFrame:
+    """Long form: one row per (payload, parameter), missing parameters included.
 
-def _texts(f: Column) -> tuple[Column, Column, Column]:
-    """(direction label, summary sentence, hint) of a flag."""
-    p, v, side = f["p"], f["value"], f["direction"]
-    label = _by_side(side, p, "low_label", "high_label", "nominal_label")
+    Unpivot and a broadcast join with the exploded profile, all in generated code; crops without a profile drop out.
+    """
+    columns = columns or {k: k for k in cp.PARAM_KEYS if k in payloads.columns}
+    wide = payloads.select(*keys, F.col(crop).alias("crop_key"), *[F.col(c).alias(k) for k, c in columns.items()])
+    dim = F.broadcast(profiles.select("crop_key", F.inline("params")))
+    long = wide.unpivot([*keys, "crop_key"], list(columns), "param_key", "value").join(dim, ["crop_key", "param_key"])
+    v = F.col("value")
+    bounds = [F.col(c) for c in ("optimal_min", "optimal_max", "critical_min", "critical_max")]
+    classed = long.withColumns({
+        "status": soil.status(v, *bounds), "direction": F.when(v.isNotNull(), soil.direction(v, *bounds)),
+        "_dev": F.when(v.isNotNull(), soil.deviation(v, *bounds[:2])),
+        "_rel": F.when(v.isNotNull(), soil.relative_deviation(v, *bounds[:2])),
+        "_score": soil.health_score(v, *bounds),
+    })
+    side = F.col("direction")
+    pick = lambda low, high, ok: F.when(side == "LOW", F.col(low)).when(side == "HIGH", F.col(high)).when(side == "NONE", F.col(ok))
+    labelled = classed.withColumn("direction_label", pick("low_label", "high_label", "nominal_label"))
     summary = soil.alert_summary(
-        p["display_name"], p["unit"], v, p["optimal_min"], p["optimal_max"], f["status"], side, label,
-        soil.deviation(v, p["optimal_min"], p["optimal_max"]), soil.relative_deviation(v, p["optimal_min"], p["optimal_max"]),
+        F.col("display_name"), F.col("unit"), v, bounds[0], bounds[1], F.col("status"), side, F.col("direction_label"), F.col("_dev"), F.col("_rel")
     )
-    return label, summary, _by_side(side, p, "low_hint", "high_hint", "nominal_hint")
-
-
-def param_flags(evaluated: DataFrame, keys: list[str]) -> DataFrame:
-    """Long form: one row per (payload, parameter), missing parameters included."""
-    long = evaluated.select(*keys, "crop_key", F.explode("flags").alias("f"))
-    f, p, v = F.col("f"), F.col("f.p"), F.col("f.value")
-    label, summary, hint = _texts(f)
-    known = lambda c: F.when(v.isNotNull(), c)
-    return long.select(
-        *keys, "crop_key", "f.p.ord", "f.p.param_key", "f.p.display_name", "f.p.unit", "f.value", "f.status", "f.direction",
-        known(rounded(soil.deviation(v, p["optimal_min"], p["optimal_max"]), 3)).alias("absolute_deviation"),
-        known(rounded(soil.relative_deviation(v, p["optimal_min"], p["optimal_max"]), 1)).alias("relative_deviation"),
-        label.alias("direction_label"), summary.alias("alert_summary"), hint.alias("intervention_hint"),
-        rounded(F.col("f.score"), 1).alias("parameter_score"),
+    return labelled.select(
+        *keys, "crop_key", "ord", "param_key", "display_name", "unit", "value", "status", "direction",
+        rounded(F.col("_dev"), 3).alias("absolute_deviation"), rounded(F.col("_rel"), 1).alias("relative_deviation"),
+        "direction_label", summary.alias("alert_summary"), pick("low_hint", "high_hint", "nominal_hint").alias("intervention_hint"),
+        rounded(F.col("_score"), 1).alias("parameter_score"),
     )
 
 
@@ -119,24 +125,28 @@ def flagged_only(flags: DataFrame) -> DataFrame:
     return flags.where(F.col("status").isin("WARNING", "CRITICAL"))
 
 
-def report_block(evaluated: DataFrame, keys: list[str]) -> DataFrame:
-    """The evaluation as one text block per payload."""
-    flags = F.col("flags")
-
-    def flag_lines(status: str) -> Column:
-        def both(f: Column) -> Column:
-            _, summary, hint = _texts(f)
-            return F.array(F.concat(F.lit("  • "), summary), F.concat(F.lit("    Hint: "), hint))
-
-        return F.flatten(F.transform(F.filter(flags, lambda f: f["status"] == status), both))
-
-    def section(title: str, lines: Column, names: str) -> Column:
-        body = F.concat(F.array(F.lit(title)), lines, F.array(F.lit("")))
-        return F.when(F.size(names) > 0, body).otherwise(F.array().cast("array<string>"))
+def report_block(evaluated: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
+    """The evaluation as one text block per payload, from the score rows and the long flags of the same payloads."""
+    line = (
+        F.when(F.col("status").isin("CRITICAL", "WARNING"), F.concat(
+            F.lit("  • "), "alert_summary", F.lit("\n    Hint: "), "intervention_hint"))
+        .when(F.col("status") == "OK", F.concat(
+            F.lit("  ✓ "), "display_name", F.lit(": "), F.col("value").cast("string"), F.lit(" "), "unit"))
+        .otherwise(F.concat(F.lit("  ? "), "display_name", F.lit(": No reading received")))
+    )
+    titles = {
+        "CRITICAL": "--- CRITICAL FLAGS (Immediate action required) ---",
+        "WARNING": "--- WARNING FLAGS (Action recommended) ---",
+        "OK": "--- NOMINAL PARAMETERS ---",
+        "MISSING": "--- MISSING SENSOR DATA ---",
+    }
+    # A payload has one flag per parameter, so the collected groups are that small.
+    lines = flags.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "status", line.alias("line")))).alias("_lines"))
+
+    def section(status: str, title: str) -> Column:
+        body = F.transform(F.filter("_lines", lambda x: x["status"] == status), lambda x: x["line"])
+        return F.when(F.size(body) > 0, F.concat(F.array(F.lit(title)), body, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
 
-    nominal = F.transform(F.filter(flags, lambda f: f["status"] == "OK"), lambda f: F.concat(
-        F.lit("  ✓ "), f["p"]["display_name"], F.lit(": "), f["value"].cast("string"), F.lit(" "), f["p"]["unit"]))
-    missing = F.transform("missing_parameters", lambda name: F.concat(F.lit("  ? "), name, F.lit(": No reading received")))
     head = F.array(
         F.lit("=== FIELD EVALUATION REPORT ==="),
         F.concat(F.lit("Crop Profile  : "), "crop_key"),
@@ -145,15 +155,8 @@ def report_block(evaluated: DataFrame, keys: list[str]) -> DataFrame:
                  F.when(F.col("requires_intervention"), "INTERVENTION REQUIRED").otherwise("ALL PARAMETERS NOMINAL")),
         F.lit(""),
     )
-    lines = F.concat(
-        head,
-        section("--- CRITICAL FLAGS (Immediate action required) ---", flag_lines("CRITICAL"), "critical_parameters"),
-        section("--- WARNING FLAGS (Action recommended) ---", flag_lines("WARNING"), "warning_parameters"),
-        section("--- NOMINAL PARAMETERS ---", nominal, "ok_parameters"),
-        section("--- MISSING SENSOR DATA ---", missing, "missing_parameters"),
-        F.array(F.lit("=== END EVALUATION REPORT ===")),
-    )
-    return evaluated.select(*keys, F.array_join(lines, "\n").alias("report"))
+    report = F.concat(head, *[section(s, t) for s, t in titles.items()], F.array(F.lit("=== END EVALUATION REPORT ===")))
+    return evaluated.drop("flags").join(lines, keys).select(*keys, F.array_join(report, "\n").alias("report"))
 
 
 def suitability(readings: DataFrame, profiles: DataFrame, columns: dict[str, str] | None = None,
@@ -163,28 +166,25 @@ def suitability(readings: DataFrame, profiles: DataFrame, columns: dict[str, str
     Adds crop_key, parameter_scores, suitability_score and suitability_label.
     """
     columns = columns or {param: column for column, param in cp.SENSOR_PARAMETERS.items()}
-    scored_keys = F.array(*[F.lit(k) for k in columns])
-    joined = normalise_crop(readings, crop_names).join(F.broadcast(profiles.select("crop_key", "params")), "crop_key", "left")
-    parts = F.filter(
-        F.transform(
-            F.transform(
-                F.filter(F.coalesce("params", F.array().cast(profiles.schema["params"].dataType)),
-                         lambda p: F.array_contains(scored_keys, p["param_key"])),
-                lambda p: _with_value(p, columns),
-            ),
-            lambda x: F.struct(
-                x["p"]["param_key"].alias("param_key"),
-                soil.suitability_score(x["value"], *_bounds(x["p"])).alias("score"),
-                F.coalesce(x["p"]["weight"], F.lit(1.0)).alias("weight"),
-            ),
-        ),
+    slim = _aligned(profiles, list(columns)).select("crop_key", F.transform(
+        F.slice("params", 1, len(columns)), lambda p: F.struct(
+            p["ord"].alias("ord"), p["param_key"].alias("param_key"), F.coalesce(p["weight"], F.lit(1.0)).alias("weight"),
+            *[b.alias(n) for n, b in zip(("optimal_min", "optimal_max", "critical_min", "critical_max"), _bounds(p))],
+        )).alias("params"))
+    values = F.array(*[F.col(c) for c in columns.values()])
+    joined = normalise_crop(readings, crop_names).join(F.broadcast(slim), "crop_key", "left")
+    scored = F.filter(
+        F.zip_with("params", values, lambda p, v: F.struct(
+            p["ord"].alias("ord"), p["param_key"].alias("param_key"), soil.suitability_score(v, *_bounds(p)).alias("score"), p["weight"].alias("weight"),
+        )),
         lambda s: s["score"].isNotNull(),
     )
-    with_parts = joined.withColumn("_parts", parts)
-    total = F.aggregate("_parts", F.lit(0.0), lambda acc, s: acc + s["weight"])
-    weighted = F.aggregate("_parts", F.lit(0.0), lambda acc, s: acc + s["score"] * s["weight"])
-    composite = F.coalesce(weighted / F.nullif(total, F.lit(0.0)), F.lit(0.0))
-    return with_parts.withColumn("_composite", composite).withColumns({
+    parts = F.array_sort(F.coalesce(scored, F.array().cast("array<struct<ord:int,param_key:string,score:double,weight:double>>")))
+    zero = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("weight"))
+    composite = F.aggregate("_parts", zero, lambda acc, s: F.struct(
+        (acc["score"] + s["score"] * s["weight"]).alias("score"), (acc["weight"] + s["weight"]).alias("weight"),
+    ), lambda acc: F.coalesce(acc["score"] / F.nullif(acc["weight"], F.lit(0.0)), F.lit(0.0)))
+    return joined.withColumn("_parts", parts).withColumn("_composite", composite).withColumns({
         "parameter_scores": F.map_from_entries(F.transform("_parts", lambda s: F.struct(s["param_key"], rounded(s["score"], 2)))),
         "suitability_score": rounded(F.col("_composite"), 2),
         "suitability_label": soil.suitability_band(F.col("_composite")),

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agrispark.functions import text as tx
-from agrispark.functions.numeric import to_number
+from agrispark.functions.numeric import let, to_number
 from agrispark.operators.cleanse import valid_messages
 from agrispark.operators.latest import last_n_per_key
 from agrispark.operators.sequences import overlapping_blocks, with_position_in_key
@@ -56,23 +56,34 @@ def replace_keywords(table: DataFrame, intent: str, keywords: list[str | tuple[s
 def with_intents(messages: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Adds ``intents``: the matching intents, best first, each with confidence and matched keywords."""
     table = table if table is not None else lexicon(messages.sparkSession)
-    per_intent = table.groupBy("intent", "intent_ord").agg(
-        F.sort_array(F.collect_list(F.struct("kw_ord", F.lower("keyword").alias("needle"), "keyword", "weight"))).alias("keywords")
+    entries = table.agg(F.sort_array(F.collect_list(
+        F.struct("intent_ord", "kw_ord", "intent", "keyword", F.lower("keyword").alias("needle"), "weight")
+    ))).scalar()
+    hits = let(F.lower(F.col("text")), lambda low: F.filter(F.col("_lexicon"), lambda k: F.contains(low, k["needle"])))
+    # Only the hits travel on: the lexicon column is dropped where they are found.
+    found = messages.withColumn("_lexicon", entries).select(*messages.columns, hits.alias("_hits"))
+    matched = F.transform(
+        F.array_distinct(F.transform("_hits", lambda k: F.struct(k["intent_ord"].alias("ord"), k["intent"].alias("intent")))),
+        lambda i: F.struct(i.alias("i"), F.filter("_hits", lambda k: k["intent_ord"] == i["ord"]).alias("keywords")),
     )
-    whole = per_intent.agg(F.sort_array(F.collect_list(F.struct("intent_ord", "intent", "keywords")))).scalar()
-    low = F.lower(F.col("text"))
-
-    def score(entry: Column) -> Column:
-        hits = F.filter(entry["keywords"], lambda k: F.contains(F.col("_low"), k["needle"]))
-        weight = F.aggregate(hits, F.lit(0.0), lambda acc, k: acc + k["weight"])
-        confidence = F.least(F.lit(lx.CONFIDENCE_BASE) + F.lit(lx.CONFIDENCE_SPAN) * (weight / lx.CONFIDENCE_FULL_WEIGHT), F.lit(1.0))
+    weighed = F.transform("_matched", lambda m: F.struct(
+        m["i"].alias("i"), F.aggregate(m["keywords"], F.lit(0.0), lambda acc, k: acc + k["weight"]).alias("weight"),
+        F.transform(m["keywords"], lambda k: k["keyword"]).alias("keywords"),
+    ))
+
+    def score(m: Column) -> Column:
+        share = m["weight"] / F.lit(lx.CONFIDENCE_FULL_WEIGHT)
+        confidence = F.least(F.lit(lx.CONFIDENCE_BASE) + F.lit(lx.CONFIDENCE_SPAN) * share, F.lit(1.0))
         return F.struct(
-            (-confidence).alias("order"), entry["intent_ord"].alias("intent_ord"), entry["intent"].alias("intent"),
-            weight.alias("weight"), confidence.alias("confidence"), F.transform(hits, lambda k: k["keyword"]).alias("keywords"),
+            (-confidence).alias("order"), m["i"]["ord"].alias("intent_ord"), m["i"]["intent"].alias("intent"),
+            m["weight"].alias("weight"), confidence.alias("confidence"), m["keywords"].alias("keywords"),
         )
 
-    matched = F.array_sort(F.filter(F.transform(F.col("_lexicon"), score), lambda s: F.size(s["keywords"]) > 0))
-    return messages.withColumns({"_low": low, "_lexicon": whole}).withColumn("intents", matched).drop("_low", "_lexicon")
+    return (
+        found.withColumn("_matched", matched)
+        .withColumn("intents", F.array_sort(F.transform(weighed, score)))
+        .drop("_hits", "_matched")
+    )
 
 
 def intent_scores(messages: DataFrame, keys: list[str], table: DataFrame | None = None) -> DataFrame:
@@ -106,7 +117,10 @@ def activation(messages: DataFrame, context: str | None = None) -> DataFrame:
     combined = F.lower(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), other))
 
     def any_word(words: list[str]) -> Column:
-        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("_text"), w))
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | F.contains(F.col("_text"), F.lit(word))
+        return hit
 
     measured = F.lit(False)
     for pattern in lx.MEASUREMENT_ACTIVATION:
@@ -165,7 +179,7 @@ def relevant_history(messages: DataFrame, block_turns: int = 4096) -> DataFrame:
     before = W.partitionBy("conv_id", "_block").orderBy("seq").rowsBetween(-lx.HISTORY_MESSAGES, -1)
     recent = blocks.withColumn("recent", F.collect_list(F.struct("turn", "role", "text")).over(before))
     asked = recent.where(F.col("_own") & (F.col("role") == "user")).withColumn("_words", tx.query_words(F.col("text")))
-    shares = F.filter("recent", lambda m: F.exists("_words", lambda w: F.contains(F.lower(m["text"]), w)))
+    shares = F.filter("recent", lambda m: let(F.lower(m["text"]), lambda low: F.exists("_words", lambda w: F.contains(low, w))))
     latest = F.slice("recent", F.greatest(F.size("recent") - lx.HISTORY_FALLBACK + 1, F.lit(1)), lx.HISTORY_FALLBACK)
     kept = (
         F.when(F.size("_words") <= lx.HISTORY_FEW_WORDS, F.col("recent"))

@@ -13,27 +13,32 @@ from agrispark.sources.telemetry import payloads_from_events, readings_from_even
 KEYS = ["event_id"]
 
 
+def _payloads(spark, sf):
+    return payloads_from_events(spark, sf)
+
+
+def _for_maize(spark, sf):
+    return _payloads(spark, sf).withColumn("crop_key", F.lit("maize_corn"))
+
+
 def _evaluated(spark, sf):
-    payloads = payloads_from_events(spark, sf).withColumn("crop_key", F.lit("maize_corn"))
-    return scoring.evaluate(payloads, dims.crop_profiles(spark), KEYS)
+    return scoring.evaluate(_for_maize(spark, sf), dims.crop_profiles(spark), KEYS)
 
 
-def _payloads(spark, sf):
-    return payloads_from_events(spark, sf)
+def _flags(spark, sf):
+    return scoring.param_flags(_for_maize(spark, sf), dims.crop_profiles(spark), KEYS)
 
 
 def param_flags(spark, sf):
-    return scoring.param_flags(_evaluated(spark, sf), KEYS).drop("intervention_hint", "ord")
+    return _flags(spark, sf).drop("intervention_hint", "ord")
 
 
 def flagged_params(spark, sf):
-    return scoring.flagged_only(scoring.param_flags(_evaluated(spark, sf), KEYS)).select(
-        "event_id", "param_key", "status", "direction", "intervention_hint"
-    )
+    return scoring.flagged_only(_flags(spark, sf)).select("event_id", "param_key", "status", "direction", "intervention_hint")
 
 
 def missing_params(spark, sf):
-    return scoring.param_flags(_evaluated(spark, sf), KEYS).where("status = 'MISSING'").select("event_id", "param_key", "display_name")
+    return _flags(spark, sf).where("status = 'MISSING'").select("event_id", "param_key", "display_name")
 
 
 def field_health(spark, sf):
@@ -51,11 +56,11 @@ def health_band_distribution(spark, sf):
 
 
 def evaluation_reports(spark, sf):
-    return scoring.report_block(_evaluated(spark, sf), KEYS)
+    return scoring.report_block(_evaluated(spark, sf), _flags(spark, sf), KEYS)
 
 
 def _suitability(spark, sf):
-    return scoring.suitability(readings_from_events(spark, sf), dims.crop_profiles(spark))
+    return scoring.suitability(readings_from_events(spark, sf, heavy=True), dims.crop_profiles(spark))
 
 
 def suitability_scores(spark, sf):

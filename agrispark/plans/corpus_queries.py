@@ -131,13 +131,9 @@ def dense_topk(spark, sf):
     return found.select("query_id", "chunk_id", "dense_score", F.col("rank").cast("long").alias("rank"))
 
 
-def _profiled(frame):
-    return frame.withColumn("embedding", retrieval.letter_profile(F.col("text")))
-
-
 def _candidates(spark, sf):
     chunks, queries = _document_chunks(spark, sf), _benchmark(spark, sf)
-    return flows.hybrid_candidates(_index(spark, sf), _profiled(chunks), queries, _profiled(queries))
+    return flows.hybrid_candidates(_index(spark, sf), retrieval.letter_profiles(chunks), queries, retrieval.letter_profiles(queries))
 
 
 def rrf_topk(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agrispark.operators import cleanse, utterances
 from agrispark.rules import lexicon as lx
+from agrispark.session import spread
 from agrispark.sources.conversations import append_turns
 
 # Farm phrases added to the messages so that lexicon and patterns have something to find.
@@ -33,7 +34,7 @@ def _messages(spark, sf):
 def _utterances(spark, sf):
     """Message text followed by a farm phrase; every fiftieth message is empty."""
     text = F.expr(f"case when (conv_id+turn)%50=0 then '' else coalesce(text,'')||' '||{PHRASE_EXPR} end")
-    return _messages(spark, sf).withColumn("text", text)
+    return spread(_messages(spark, sf), "conv_id", "turn").withColumn("text", text)
 
 
 KEYS = ["conv_id", "turn"]

@@ -16,8 +16,17 @@ BOILERPLATE = [
     r"^(Here's a summary|Summary:|Key Points:|Questions:|Here are some key points).*",
 ]
 
-# Characters outside this set become a space; white space cut from both ends.
-UNPRINTABLE = "[^\\x{09}\\x{0A}\\x{20}-\\x{7E}\\x{A0}-\\x{FFFF}]"
+# Runs of blanks, tabs and characters outside tab, newline, U+0020-7E and U+00A0-FFFF become one
+# space; white space cut from both ends.
+BLANK_OR_UNPRINTABLE = "[^\\x{0A}\\x{21}-\\x{7E}\\x{A0}-\\x{FFFF}]+"
+USABLE = (
+    "[\\x{21}-\\x{7E}\\x{A1}-\\x{167F}\\x{1681}-\\x{1FFF}\\x{200B}-\\x{2027}\\x{202A}-\\x{202E}\\x{2030}-\\x{205E}"
+    "\\x{2060}-\\x{2FFF}\\x{3001}-\\x{FFFF}]"
+)
+SPACES = "".join(map(chr, [
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
 SPACE_CLASS = "[ \\t\\n\\r\\f\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 LINE_BREAK = "\\r\\n|[\\n\\r\\f\\x{0B}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}]"
 TOKEN_SPLIT = "[^a-zA-Z0-9]"

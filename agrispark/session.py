@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "agrispark", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,3 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/agrispark/{name}-{uuid.uuid4().hex}"
+
+
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores when the scan yields fewer partitions than there are cores, for heavy work per row.
+
+    A file with one row group is one partition however large the cluster is. The keys should be unique together.
+    Inputs with enough partitions pass through without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame._jdf.rdd().getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores, *keys)

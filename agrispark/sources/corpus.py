@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrispark import schemas
+from agrispark.session import spread
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +23,7 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table in corpus shape; each document is page 0 of its own source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     return docs.select(
         "doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"),
         F.col("source").alias("origin"), F.lit(0).alias("page"), "text",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agrispark import schemas
 from agrispark.functions.numeric import to_number
+from agrispark.session import spread
 
 # Readings derived from the events table. Integer arithmetic and one division by ten, so that any
 # engine produces the same doubles; {STR} is the engine's text type.
@@ -36,15 +37,20 @@ EVENT_EXTRA_EXPRS = [
 ]
 
 
-def readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings in canonical shape from ``events.parquet``; unused columns are pruned by the scan."""
+def readings_from_events(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Readings in canonical shape from ``events.parquet``; unused columns are pruned by the scan.
+
+    ``heavy`` spreads a scan of few partitions over all cores.
+    """
     events = spark.read.schema(schemas.EVENTS).parquet(f"{sf_dir}/events.parquet")
+    if heavy:
+        events = spread(events, "event_id")
     return events.selectExpr(*[e.format(STR="string") for e in EVENT_READING_EXPRS])
 
 
 def payloads_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-parameter payloads: the six sensor measures under their profile names plus four more."""
-    events = spark.read.schema(schemas.EVENTS).parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.schema(schemas.EVENTS).parquet(f"{sf_dir}/events.parquet"), "event_id")
     wide = events.selectExpr(*[e.format(STR="string") for e in EVENT_READING_EXPRS + EVENT_EXTRA_EXPRS])
     return sensor_to_profile_names(wide)
 
