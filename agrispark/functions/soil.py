@@ -45,8 +45,8 @@ def health_score(v: Column, opt_lo: Column, opt_hi: Column, crit_lo: Column, cri
     """100 at the optimal midpoint, 70 at its bounds, 30 at the critical bounds, 0 one shoulder further."""
     half = (opt_hi - opt_lo) / 2.0
     off_centre = F.abs(v - (opt_lo + opt_hi) / 2.0)
-    inside = F.coalesce(
-        F.greatest(F.lit(70.0), 100.0 - off_centre / F.nullif(half, F.lit(0.0)) * 30.0), F.lit(100.0)
+    inside = F.when(half == 0, F.lit(100.0)).otherwise(
+        F.greatest(F.lit(70.0), 100.0 - off_centre / F.nullif(half, F.lit(0.0)) * 30.0)
     )
     shoulder = F.when(v < opt_lo, F.abs(opt_lo - crit_lo)).otherwise(F.abs(opt_hi - crit_hi))
     outside = F.when(v < opt_lo, opt_lo - v).otherwise(v - opt_hi)

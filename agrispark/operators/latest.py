@@ -54,8 +54,8 @@ def last_readings(readings: DataFrame, n: int) -> DataFrame:
 
 def history_windows(readings: DataFrame, n: int, features: list[str]) -> DataFrame:
     """One row per node: its last n readings oldest first, how many there are, and whether that is enough."""
-    kept = last_readings(readings.select("node_id", "ts", "event_id", "target_crop", *features), n)
-    step = F.struct("ts", "event_id", "target_crop", *features)
+    kept = last_readings(readings.select("node_id", "ts", "event_id", *features), n)
+    step = F.struct("ts", "event_id", *features)
     return (
         kept.groupBy("node_id")
         .agg(F.sort_array(F.collect_list(step)).alias("rows"), F.count(F.lit(1)).alias("readings_used"))
