@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agrispark.functions.numeric import fixed
-from agrispark.operators.diagnosis import severity_rank
 from agrispark.rules import actions as ra
 from agrispark.sources import dims
 
@@ -63,49 +62,52 @@ def candidate_actions(issues: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def action_plan(issues: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranked plan: the first action per target parameter, priority 1..n.
+def ranked_issues(issues: DataFrame, keys: list[str]) -> DataFrame:
+    """Every issue with the first registered action for its parameter, ranked 1..n among the actions of its payload.
 
     Only the first registered action of a parameter can be first for its target, and a payload has one issue per
     parameter, so keeping order 1 is the whole de-duplication. A payload has at most eight issues: every window
-    group is that small.
+    group is that small, and the summary below groups by the same keys without another shuffle.
     """
+    registry = dims.corrective_actions(issues.sparkSession).where("action_ord = 1")
+    joined = issues.join(F.broadcast(registry), ["parameter", "side"], "left")
     per_payload = W.partitionBy(*keys)
-    firsts = candidate_actions(issues, keys).where(F.col("action_ord") == 1)
-    ph_critical = F.coalesce(
-        F.max((F.col("parameter") == "pH") & (F.col("severity") == "Critical")).over(per_payload), F.lit(False)
-    )
+    ph_critical = F.max((F.col("parameter") == "pH") & (F.col("severity") == "Critical")).over(per_payload)
     points = ranking_points(F.col("severity"), F.col("action"), F.col("_ph_critical"))
-    order = per_payload.orderBy("points", "severity_rank", "param_ord")
+    order = per_payload.orderBy(F.col("action").isNull(), "points", "severity_rank", "param_ord")
+    priority = F.when(F.col("action").isNotNull(), F.row_number().over(order).cast("long"))
     return (
-        firsts.withColumn("_ph_critical", ph_critical).withColumn("points", points)
-        .withColumn("priority", F.row_number().over(order).cast("long"))
+        joined.withColumn("_ph_critical", ph_critical).withColumn("points", points).withColumn("priority", priority)
         .drop("_ph_critical", "action_ord")
     )
 
 
-def plan_summary(issues: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per payload with issues: timeline, first steps, parameters to monitor."""
-    per_issue = issues.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("issues_count"),
-        F.min("severity_rank").alias("_worst"),
-        F.collect_set("parameter").alias("_parameters"),
+def action_plan(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """The ranked actions; an issue without a registered action has no row."""
+    return ranked.where(F.col("priority").isNotNull()).select(
+        *keys, "priority", "parameter", "severity", "action", "impact",
+        dosage(F.col("dosage_rule"), F.col("parameter"), F.col("measured_value"), F.col("optimal_low"), F.col("optimal_high")).alias("dosage"),
+        "timeline", "depends_on", "reasoning", "points",
     )
-    steps = plan.where(F.col("priority") <= ra.FIRST_STEPS).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("priority", "action"))).alias("_steps")
+
+
+def plan_summary(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per payload with issues: timeline, first steps, parameters to monitor."""
+    step = F.when(F.col("priority") <= ra.FIRST_STEPS, F.struct("priority", "action"))
+    per_payload = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("issues_count"), F.min("severity_rank").alias("_worst"),
+        F.collect_set("parameter").alias("_parameters"), F.sort_array(F.collect_list(step)).alias("_steps"),
     )
     worst = F.element_at(F.array(*[F.lit(s) for s in ra.SEVERITY_POINTS]), F.col("_worst"))
     timeline = F.lit(ra.TIMELINES["Low"])
     for name, text in ra.TIMELINES.items():
         timeline = F.when(F.col("overall_severity") == name, text).otherwise(timeline)
     always = F.array(*[F.lit(p) for p in ra.ALWAYS_MONITORED])
-    return (
-        per_issue.join(steps, keys, "left").withColumn("overall_severity", worst).select(
-            *keys, "issues_count", "overall_severity", timeline.alias("expected_timeline"),
-            F.transform(F.coalesce("_steps", F.array().cast("array<struct<priority:bigint,action:string>>")), lambda s: s["action"]).alias("critical_first_steps"),
-            F.array_sort(F.array_union("_parameters", always)).alias("monitoring_parameters"),
-        )
+    return per_payload.withColumn("overall_severity", worst).select(
+        *keys, "issues_count", "overall_severity", timeline.alias("expected_timeline"),
+        F.transform("_steps", lambda s: s["action"]).alias("critical_first_steps"),
+        F.array_sort(F.array_union("_parameters", always)).alias("monitoring_parameters"),
     )
 
 
-__all__ = ["action_plan", "candidate_actions", "dosage", "plan_summary", "ranking_points", "severity_rank"]
+__all__ = ["action_plan", "candidate_actions", "dosage", "plan_summary", "ranked_issues", "ranking_points"]

@@ -19,14 +19,28 @@ from agrispark.rules import limits
 from agrispark.sources import dims
 
 BLOCK_ROWS = 4096
-BUCKET_SECONDS = 86_400
+BUCKET_WIDTHS = (86_400, 3_600, 60, 1)
+ROWS_PER_BUCKET = 2_000_000
 
 
-def time_bucket(ts: str = "ts", seconds: int = BUCKET_SECONDS) -> Column:
-    """Bucket number that grows with time. Choose a width whose rows per key fit one task."""
+def time_bucket(ts: str = "ts", seconds: int = BUCKET_WIDTHS[0]) -> Column:
+    """Bucket number that grows with time."""
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def fitting_bucket(frame: DataFrame, key: list[str], ts: str = "ts", limit: int = ROWS_PER_BUCKET) -> int:
+    """Widest bucket in seconds whose fullest (key, bucket) group stays within the limit, measured on the data.
+
+    Only key and time are read, and counts are combined before the shuffle; one pass unless some key is that hot.
+    """
+    for seconds in BUCKET_WIDTHS[:-1]:
+        sizes = frame.groupBy(*key, time_bucket(ts, seconds).alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
+        fullest = sizes.agg(F.max("n")).first()[0]
+        if fullest is None or fullest <= limit:
+            return seconds
+    return BUCKET_WIDTHS[-1]
+
+
 def with_position_in_key(frame: DataFrame, key: list[str], order: list[str], bucket: Column) -> DataFrame:
     """Adds ``seq`` (0-based position within the key) and ``key_rows`` (rows of the key).
 
@@ -64,14 +78,15 @@ def overlapping_blocks(numbered: DataFrame, look_back: int, look_ahead: int, blo
 
 def sliding_windows(readings: DataFrame, length: int, features: list[str] = cp.FEATURES, horizon: int = 0,
                     target: str | None = None, carry: list[str] | None = None, key: list[str] | None = None,
-                    bucket_seconds: int = BUCKET_SECONDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    bucket_seconds: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All full windows of ``length`` consecutive readings per node, oldest row first.
 
     Output: key, seq and ts of the last row, ``carry`` columns of the last row, ``window`` as an array of feature
     arrays, and with a horizon the ``target`` value that many rows later (windows without one are dropped).
-    ``key=[]`` treats the whole table as one series.
+    ``key=[]`` treats the whole table as one series. Without a bucket width the data decides.
     """
     key = ["node_id"] if key is None else key
+    bucket_seconds = bucket_seconds or fitting_bucket(readings, key)
     carry = carry or []
     needed = list(dict.fromkeys([*key, "event_id", "ts", *features, *carry, *([target] if target else [])]))
     numbered = with_position_in_key(readings.select(*needed), key, ["ts", "event_id"], time_bucket("ts", bucket_seconds))
@@ -129,9 +144,8 @@ def chronological_split(samples: DataFrame, key: list[str], train: float = 0.70,
 
     ``key=[]`` splits the table as one series.
     """
-    placed = with_position_in_key(
-        samples.drop("seq", "key_rows"), key, order or ["ts", "event_id"], time_bucket() if bucket is None else bucket
-    )
+    bucket = time_bucket("ts", fitting_bucket(samples, key)) if bucket is None else bucket
+    placed = with_position_in_key(samples.drop("seq", "key_rows"), key, order or ["ts", "event_id"], bucket)
     train_end = F.floor(F.col("key_rows") * train)
     val_end = train_end + F.floor(F.col("key_rows") * validation)
     return placed.withColumn(
@@ -140,9 +154,10 @@ def chronological_split(samples: DataFrame, key: list[str], train: float = 0.70,
 
 
 def future_value(readings: DataFrame, column: str, horizon: int = limits.FORECAST_HORIZON,
-                 bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+                 bucket_seconds: int | None = None) -> DataFrame:
     """Each reading next to its own value ``horizon`` readings later."""
     slim = with_node_id(readings).select("node_id", "event_id", "ts", column)
+    bucket_seconds = bucket_seconds or fitting_bucket(slim, ["node_id"])
     numbered = with_position_in_key(slim, ["node_id"], ["ts", "event_id"], time_bucket("ts", bucket_seconds))
     blocks = overlapping_blocks(numbered, 0, horizon)
     ahead = F.lead(column, horizon).over(W.partitionBy("node_id", "_block").orderBy("seq"))

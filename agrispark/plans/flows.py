@@ -25,18 +25,16 @@ def current_alerts(readings: DataFrame, recent_rows: int | None = None, alert_li
 
 def plans_for(payloads: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(ranked actions, one summary row per payload with issues)."""
-    issues = diagnosis.soil_issues(payloads, keys)
-    plan = prescriptions.action_plan(issues, keys)
-    return plan, prescriptions.plan_summary(issues, plan, keys)
+    ranked = prescriptions.ranked_issues(diagnosis.soil_issues(payloads, keys), keys)
+    return prescriptions.action_plan(ranked, keys), prescriptions.plan_summary(ranked, keys)
 
 
 def suitability_samples(readings: DataFrame, length: int = limits.SUITABILITY_HISTORY) -> DataFrame:
-    """Scaled windows with the class of their last reading."""
-    profiles = dims.crop_profiles(readings.sparkSession)
-    scored = scoring.suitability(readings, profiles).select("event_id", "suitability_label")
-    scaled = sequences.scale(readings, sequences.scaler_params(readings))
-    windows = sequences.sliding_windows(cleanse.fill_features(scaled), length)
-    return models.as_features(sequences.window_labels(windows.join(scored, "event_id")), length)
+    """Scaled windows with the class of their last reading, which travels with the reading through the windows."""
+    labelled = scoring.suitability(readings, dims.crop_profiles(readings.sparkSession))
+    scaled = sequences.scale(labelled, sequences.scaler_params(readings))
+    windows = sequences.sliding_windows(cleanse.fill_features(scaled), length, carry=["suitability_label"])
+    return models.as_features(sequences.window_labels(windows), length)
 
 
 def verdict_report(readings: DataFrame, model: PipelineModel | None = None) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrispark import schemas
+from agrispark.operators.sequences import with_position_in_key
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
@@ -17,14 +17,15 @@ def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     ).select("conv_id", F.col("turn").cast("long").alias("turn"), "message.role", F.col("message.content").alias("text"))
 
 
-def append_turns(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
+def append_turns(existing: DataFrame, new: DataFrame, order: str, bucket: Column | None = None) -> DataFrame:
     """New messages numbered after the last stored turn of their conversation.
 
-    ``new`` carries conv_id, role, text and an ordering column; only the increment is numbered and returned,
-    ready to be appended to the stored table.
+    ``new`` carries conv_id, role, text and a numeric ordering column; only the increment is numbered and returned,
+    ready to be appended to the stored table. A busy conversation is numbered in buckets of the ordering column.
     """
     last = existing.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    numbered = new.withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy(order)))
+    bucket = F.floor(F.col(order) / 4096).cast("long") if bucket is None else bucket
+    numbered = with_position_in_key(new, ["conv_id"], [order], bucket)
     return numbered.join(last, "conv_id", "left").select(
-        "conv_id", (F.coalesce("last_turn", F.lit(-1)) + F.col("n")).cast("long").alias("turn"), "role", "text"
+        "conv_id", (F.coalesce("last_turn", F.lit(-1)) + 1 + F.col("seq")).cast("long").alias("turn"), "role", "text"
     )

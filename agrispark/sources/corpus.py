@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from agrispark import schemas
-from agrispark.session import spread
+from agrispark.session import spread, staging_path
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,25 +37,32 @@ def _store_exists(spark: SparkSession, path: str) -> bool:
 
 
 _STORE_COLUMNS = schemas.CHUNKS.fieldNames()
+BROADCAST_IDS = 1_000_000
 
 
-def write_chunks(spark: SparkSession, chunks: DataFrame, path: str, clear: bool = False) -> None:
+def write_chunks(spark: SparkSession, chunks: DataFrame, path: str, clear: bool = False, broadcast_ids: int = BROADCAST_IDS) -> None:
     """Idempotent upsert keyed by chunk id into an append-only parquet store.
 
-    Only rows whose id is new, or whose text or place changed, are written, so a repeated ingest writes
-    nothing and an incremental one costs the size of the increment. ``clear`` rebuilds the store.
+    Only rows whose id is new, or whose text or place changed, are written, so a repeated ingest writes nothing and
+    an incremental one costs the size of the increment: the increment is staged once, and the store is read for
+    its ids only, without a shuffle while the increment is small enough to broadcast. ``clear`` rebuilds the store.
     """
-    incoming = chunks.select(*_STORE_COLUMNS).withColumn(
-        "content_hash", F.xxhash64("text", "source", "page", "chunk_index")
-    ).dropDuplicates(["chunk_id"])
-    stamped = incoming.withColumn("stored_at", F.current_timestamp())
+    incoming = (
+        chunks.select(*_STORE_COLUMNS).withColumn("content_hash", F.xxhash64("text", "source", "page", "chunk_index"))
+        .dropDuplicates(["chunk_id"]).withColumn("stored_at", F.current_timestamp())
+    )
     if clear or not _store_exists(spark, path):
-        stamped.write.mode("overwrite").parquet(path)
+        incoming.write.mode("overwrite").parquet(path)
         return
-    current = latest_chunks(spark.read.parquet(path).select("chunk_id", "content_hash", "stored_at"))
-    stamped.join(current.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_anti").write.mode(
-        "append"
-    ).parquet(path)
+    stage, written = staging_path(spark, "increment"), Observation()
+    incoming.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(stage)
+    staged = spark.read.parquet(stage)
+    ids = staged.select("chunk_id")
+    if written.get["n"] <= broadcast_ids:
+        ids = F.broadcast(ids)
+    present = spark.read.parquet(path).select("chunk_id", "content_hash", "stored_at").join(ids, "chunk_id", "left_semi")
+    current = latest_chunks(present).select("chunk_id", "content_hash")
+    staged.join(current, ["chunk_id", "content_hash"], "left_anti").write.mode("append").parquet(path)
 
 
 def latest_chunks(stored: DataFrame) -> DataFrame:

@@ -20,12 +20,9 @@ from agrispark.sources.telemetry import EVENT_READING_EXPRS
 WATERMARK = "10 minutes"
 
 
-def reading_stream(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
-    """Readings appended to a folder, in canonical shape."""
-    reader = spark.readStream.schema(schemas.TELEMETRY).format(fmt)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path)
+def reading_stream(spark: SparkSession, path: str, fmt: str = "json", max_files: int = 100) -> DataFrame:
+    """Readings appended to a folder, in canonical shape. The files per trigger bound the rows of a micro-batch."""
+    return spark.readStream.schema(schemas.TELEMETRY).format(fmt).option("maxFilesPerTrigger", max_files).load(path)
 
 
 def kafka_readings(spark: SparkSession, servers: str, topic: str) -> DataFrame:

@@ -64,14 +64,15 @@ def test_action_plan(spark):
     # pH critical, N deficient, dry, hot and saline
     frame = spark.createDataFrame([(1, 3.9, 4.0, None, None, 4.0, 36.0, 3.0, None), (2, 7.6, 50.0, None, None, None, None, None, None)], SCHEMA)
     issues = diagnosis.soil_issues(frame, ["id"])
-    plan = prescriptions.action_plan(issues, ["id"])
+    ranked = prescriptions.ranked_issues(issues, ["id"])
+    plan = prescriptions.action_plan(ranked, ["id"])
     first = plan.where("id = 1").orderBy("priority").collect()
     assert [r["parameter"] for r in first] == ["pH", "Moisture", "Salinity (EC)", "Nitrogen", "Temperature"]
     assert [r["points"] for r in first] == [-50, -15, -15, 50, 65]
     assert first[0]["dosage"] == "8.0–9.0 tons/ha" and first[3]["dosage"] == "70 kg/ha of urea"
     second = plan.where("id = 2").collect()
     assert [(r["parameter"], r["dosage"]) for r in second] == [("pH", "500–1000 kg/ha")]  # excess nitrogen has no action
-    summary = {r["id"]: r for r in prescriptions.plan_summary(issues, plan, ["id"]).collect()}
+    summary = {r["id"]: r for r in prescriptions.plan_summary(ranked, ["id"]).collect()}
     assert summary[1]["overall_severity"] == "Critical" and len(summary[1]["critical_first_steps"]) == 3
     assert summary[2]["issues_count"] == 2 and summary[2]["monitoring_parameters"] == ["Moisture", "Nitrogen", "Temperature", "pH"]
 
