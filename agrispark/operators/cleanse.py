@@ -11,7 +11,7 @@ from agrispark.rules import crop_profile as cp
 from agrispark.rules import lexicon
 
 
-def for_node(readings: DataFrame, node_id: str) -> DataFrame:
+def for_node(readings: DataFrame, node_id: str | Column) -> DataFrame:
     return readings.where(F.col("node_id") == node_id)
 
 

@@ -39,10 +39,11 @@ def _entries(table: DataFrame, intent: str, keywords: list[str | tuple[str, floa
     fresh = table.sparkSession.createDataFrame(pa.table({
         "n": list(range(1, len(pairs) + 1)), "keyword": [p[0] for p in pairs], "weight": [float(p[1]) for p in pairs],
     }))
-    place = table.where(F.col("intent") == intent).groupBy("intent", "intent_ord").agg(F.max("kw_ord").alias("last"))
-    return fresh.join(F.broadcast(place), F.lit(True)).select(
-        "intent", "intent_ord", (F.col("last") + F.col("n")).cast("int").alias("kw_ord"), "keyword", "weight"
-    )
+    present = table.where(F.col("intent") == intent)
+    return fresh.select(
+        F.lit(intent).alias("intent"), present.agg(F.max("intent_ord")).scalar().alias("intent_ord"),
+        (present.agg(F.max("kw_ord")).scalar() + F.col("n")).cast("int").alias("kw_ord"), "keyword", "weight",
+    ).where(F.col("intent_ord").isNotNull())
 
 
 def add_keywords(table: DataFrame, intent: str, keywords: list[str | tuple[str, float]]) -> DataFrame:
@@ -87,8 +88,9 @@ def with_intents(messages: DataFrame, table: DataFrame | None = None) -> DataFra
 
 
 def intent_scores(messages: DataFrame, keys: list[str], table: DataFrame | None = None) -> DataFrame:
-    scored = with_intents(messages, table)
-    return scored.select(*keys, F.inline("intents")).select(*keys, "intent", "intent_ord", "weight", "confidence", "keywords")
+    # An outer inline: for a plain one the optimizer adds a filter on the array and computes the array twice.
+    scored = with_intents(messages, table).select(*keys, F.inline_outer("intents"))
+    return scored.where(F.col("intent").isNotNull()).select(*keys, "intent", "intent_ord", "weight", "confidence", "keywords")
 
 
 def top_intents(messages: DataFrame, table: DataFrame | None = None) -> DataFrame:

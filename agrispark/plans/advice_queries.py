@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agrispark.operators import diagnosis, prescriptions, scoring
+from agrispark.operators import cleanse, diagnosis, prescriptions, scoring
 from agrispark.plans import flows
 from agrispark.rules import severity as rs
-from agrispark.sources import dims
+from agrispark.session import staging_path
+from agrispark.sources import dims, profiles
 from agrispark.sources.telemetry import payloads_from_events, readings_from_events
 
 KEYS = ["event_id"]
@@ -17,16 +18,16 @@ def _payloads(spark, sf):
     return payloads_from_events(spark, sf)
 
 
-def _for_maize(spark, sf):
-    return _payloads(spark, sf).withColumn("crop_key", F.lit("maize_corn"))
+def _with_crop(spark, sf):
+    return cleanse.normalise_crop(_payloads(spark, sf))
 
 
 def _evaluated(spark, sf):
-    return scoring.evaluate(_for_maize(spark, sf), dims.crop_profiles(spark), KEYS)
+    return scoring.evaluate(_with_crop(spark, sf), dims.crop_profiles(spark), KEYS)
 
 
 def _flags(spark, sf):
-    return scoring.param_flags(_for_maize(spark, sf), dims.crop_profiles(spark), KEYS)
+    return scoring.param_flags(_with_crop(spark, sf), dims.crop_profiles(spark), KEYS)
 
 
 def param_flags(spark, sf):
@@ -55,6 +56,14 @@ def health_band_distribution(spark, sf):
     )
 
 
+def field_health_from_file(spark, sf):
+    """The same scores with limits, weights and bands read from a profile file."""
+    path = staging_path(spark, "profiles")
+    profiles.profile_document(spark, dims.crop_profiles(spark)).write.text(path)
+    nested = profiles.nest_profiles(*profiles.read_profile_dims(spark, path))
+    return scoring.evaluate(_with_crop(spark, sf), nested, KEYS).select("event_id", "field_health_score", "health_band", "health_color")
+
+
 def evaluation_reports(spark, sf):
     return scoring.report_block(_evaluated(spark, sf), _flags(spark, sf), KEYS)
 
@@ -129,7 +138,8 @@ def plan_summary(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    param_flags, flagged_params, missing_params, field_health, health_band_distribution, evaluation_reports,
+    param_flags, flagged_params, missing_params, field_health, health_band_distribution, field_health_from_file,
+    evaluation_reports,
     suitability_scores, suitability_distribution, severity_classes, severity_classes_variants, severity_bands,
     soil_issues, overall_severity, interactions, candidate_actions, action_plan, plan_summary,
 ]}

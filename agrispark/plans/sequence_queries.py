@@ -8,7 +8,8 @@ from agrispark.operators import cleanse, latest, models, scoring, sequences
 from agrispark.plans import flows
 from agrispark.rules import crop_profile as cp
 from agrispark.rules import limits
-from agrispark.sources import dims
+from agrispark.session import staging_path
+from agrispark.sources import dims, exports
 from agrispark.sources.telemetry import readings_from_events
 
 
@@ -35,6 +36,14 @@ def scaled_readings(spark, sf):
     return scaled.select("event_id", *[F.round(c, 9).alias(c) for c in cp.FEATURES])
 
 
+def scaled_with_saved_parameters(spark, sf):
+    """Scaler parameters saved, loaded and applied."""
+    readings, path = _readings(spark, sf), staging_path(spark, "scaler")
+    exports.save_scaler(sequences.scaler_params(readings), path)
+    scaled = sequences.scale(readings, exports.load_scaler(spark, path))
+    return scaled.select("event_id", *[F.round(c, 9).alias(c) for c in cp.FEATURES])
+
+
 def unscaled_moisture(spark, sf):
     """Scaled and scaled back: the stored parameters invert the transformation."""
     from agrispark.functions.numeric import min_max_unscale
@@ -177,7 +186,7 @@ def anomalous_windows(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    scaler_params, scaled_readings, unscaled_moisture, windows_24, windows_48_h24, windows_48_h24_one_series,
+    scaler_params, scaled_readings, scaled_with_saved_parameters, unscaled_moisture, windows_24, windows_48_h24, windows_48_h24_one_series,
     chronological_split, chronological_split_per_node, window_labels, label_distribution, class_weights,
     future_moisture, persistence_metrics, residual_histogram, class_argmax, class_share_metrics, merged_verdicts,
     verdict_report, forecast_metrics, model_verdicts, anomalous_windows,

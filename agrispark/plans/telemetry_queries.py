@@ -9,8 +9,9 @@ from agrispark.functions.numeric import to_number
 from agrispark.operators import alerts, cleanse, latest
 from agrispark.plans import flows
 from agrispark.rules import limits
-from agrispark.schemas import MEASURES
-from agrispark.sources import dims
+from agrispark.schemas import MEASURES, TELEMETRY
+from agrispark.session import staging_path
+from agrispark.sources import dims, exports
 from agrispark.sources.telemetry import readings_from_events
 
 ALERT_COLUMNS = [
@@ -202,7 +203,28 @@ def silent_nodes(spark, sf):
 
 
 def farm_snapshot(spark, sf):
-    return latest.farm_snapshot(_readings(spark, sf)).select("node_count", F.col("document").isNotNull().alias("has_document"))
+    snapshot = latest.farm_snapshot(_readings(spark, sf))
+    nodes = F.get_json_object("document", "$.nodes")
+    return snapshot.select(
+        "node_count", F.json_array_length(nodes).cast("long").alias("nodes_in_document"),
+        F.get_json_object("document", "$.nodes[0].node_id").alias("first_node"), F.get_json_object("document", "$.status").alias("status"),
+    )
+
+
+def busiest_node_log(spark, sf):
+    """All readings of the node that reports most."""
+    readings = _readings(spark, sf)
+    counts = cleanse.with_node_id(readings).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    busiest = counts.agg(F.max_by("node_id", F.struct("n", "node_id"))).scalar()
+    return cleanse.for_node(readings, busiest).select(*READING_COLUMNS)
+
+
+def exported_log(spark, sf):
+    """The filtered log written as CSV and read back with an explicit schema."""
+    path = staging_path(spark, "log")
+    exports.export_log_csv(_readings(spark, sf), path, "2024-01-05", "2024-01-20")
+    back = spark.read.schema(TELEMETRY).option("header", True).csv(path)
+    return back.select("event_id", "node_id", "ts", *MEASURES, "satellites", "communication_ok")
 
 
 def node_documents(spark, sf):
@@ -219,5 +241,5 @@ QUERIES = {f.__name__: f for f in [
     node_count, network_averages, node_status, map_layers, nodes_needing_attention, metric_tone, trend_series,
     date_range_log, date_range_whole_days, readings_with_node, coerced_measures, raw_readings_renamed,
     filled_features, complete_readings, feature_columns, crop_normalised, unknown_crops, online_flags,
-    positioned_nodes, readings_long, silent_nodes, farm_snapshot, node_documents,
+    positioned_nodes, readings_long, silent_nodes, farm_snapshot, node_documents, busiest_node_log, exported_log,
 ]}

@@ -12,7 +12,10 @@ def export_log_csv(readings: DataFrame, path: str, start: str | None = None, end
                    inclusive_end_day: bool = False) -> None:
     """Historical log between two dates as CSV with a header, newest first within each part."""
     log = time_range(readings, start, end, inclusive_end_day)
-    log.sortWithinPartitions("ts", ascending=False).write.mode("overwrite").option("header", True).csv(path)
+    # Microseconds survive, and columns are written in schema order for an explicit read.
+    log.sortWithinPartitions("ts", ascending=False).write.mode("overwrite").option("header", True).option(
+        "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+    ).csv(path)
 
 
 def save_scaler(params: DataFrame, path: str) -> None:

@@ -51,3 +51,23 @@ def nest_profiles(thresholds: DataFrame, weights: DataFrame, bands: DataFrame) -
         F.array_position(names, F.col("band")).cast("int").alias("ord"), "band", "min", "max", "label", "color",
     ))).alias("bands"))
     return params.join(nested_bands, "crop_key", "left")
+
+
+def profile_document(spark: SparkSession, nested: DataFrame) -> DataFrame:
+    """Nested profiles as one JSON document in the file shape that ``read_profile_dims`` reads."""
+    parameter = lambda p: F.struct(p["param_key"], F.struct(
+        p["display_name"].alias("display_name"), p["unit"].alias("unit"),
+        *[p[n].alias(n) for n in ("optimal_min", "optimal_max", "critical_min", "critical_max")],
+        F.create_map(F.lit("low"), p["low_label"], F.lit("high"), p["high_label"], F.lit("none"), p["nominal_label"]).alias("direction_labels"),
+        F.create_map(F.lit("low"), p["low_hint"], F.lit("high"), p["high_hint"], F.lit("none"), p["nominal_hint"]).alias("intervention_hints"),
+    ))
+    band = lambda b: F.struct(b["band"], F.struct(*[b[n].alias(n) for n in ("min", "max", "label", "color")]))
+    crop = F.struct("crop_key", F.struct(
+        F.map_from_entries(F.transform("params", parameter)).alias("parameters"),
+        F.struct(
+            F.map_from_entries(F.transform("params", lambda p: F.struct(p["param_key"], p["weight"]))).alias("weights"),
+            F.map_from_entries(F.transform("bands", band)).alias("score_bands"),
+        ).alias("composite_health_scoring"),
+    ))
+    # One row per crop: the table of profiles is small by nature.
+    return nested.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(crop)).alias("crop_profiles"))).alias("value"))

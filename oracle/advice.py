@@ -135,6 +135,7 @@ SQL = {
     "field_health": f"WITH {PAY}, {_PROFILE}, {_FLAGS}, {_HEALTH} SELECT * FROM banded",
     "health_band_distribution": f"""WITH {PAY}, {_PROFILE}, {_FLAGS}, {_HEALTH} SELECT health_band, count(*) AS n,
         min(field_health_score) AS lowest, max(field_health_score) AS highest FROM banded GROUP BY health_band""",
+    "field_health_from_file": f"WITH {PAY}, {_PROFILE}, {_FLAGS}, {_HEALTH} SELECT event_id, field_health_score, health_band, health_color FROM banded",
     "evaluation_reports": f"""WITH {PAY}, {_PROFILE}, {_FLAGS}, {_HEALTH},
         body AS (SELECT event_id, {_section('CRITICAL', '--- CRITICAL FLAGS (Immediate action required) ---')}
             || {_section('WARNING', '--- WARNING FLAGS (Action recommended) ---')}

@@ -67,3 +67,4 @@ SQL = {
         SELECT node_id, crop_key, suitability_label, suitability_score, readings_used, CASE WHEN readings_used >= 24 THEN 'ok' ELSE 'insufficient_data' END AS status,
           suitability_label AS verdict, 'threshold' AS source FROM lsuit JOIN h USING (node_id)""",
 }
+SQL["scaled_with_saved_parameters"] = SQL["scaled_readings"]

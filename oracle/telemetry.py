@@ -109,7 +109,11 @@ SQL = {
     "silent_nodes": f"""WITH {TEL} SELECT node_id, max(ts) AS last_seen FROM tel GROUP BY node_id
         HAVING max(ts) < (SELECT max(ts) FROM tel) - INTERVAL 12 HOUR""",
     "farm_snapshot": f"""WITH {TEL}, recent AS (SELECT * FROM tel ORDER BY ts DESC, event_id DESC LIMIT 500)
-        SELECT count(DISTINCT node_id) AS node_count, true AS has_document FROM recent""",
+        SELECT count(DISTINCT node_id) AS node_count, count(DISTINCT node_id) AS nodes_in_document, min(node_id) AS first_node, 'online' AS status FROM recent""",
+    "busiest_node_log": f"""WITH {TEL}, c AS (SELECT node_id, count(*) AS n FROM tel GROUP BY node_id ORDER BY n DESC, node_id DESC LIMIT 1)
+        SELECT {READING} FROM tel WHERE node_id = (SELECT node_id FROM c)""",
+    "exported_log": f"""WITH {TEL} SELECT event_id, node_id, ts, {', '.join(MEASURES)}, satellites, communication_ok FROM tel
+        WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'""",
     "node_documents": f"WITH {TEL}, {LATEST} SELECT node_id, moisture_pct, target_crop FROM latest",
 }
 SQL["history_windows"] = "SELECT node_id, readings_used, status, oldest_ts, newest_ts, oldest_moisture FROM (" + SQL["history_windows"] + ")"
