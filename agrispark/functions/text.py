@@ -40,7 +40,7 @@ def drop_boilerplate(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII alphanumeric runs of two characters or more."""
-    return F.filter(F.split(F.lower(text), rc.TOKEN_SPLIT), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(rc.TOKEN), F.lit(0))
 
 
 def token_estimate(text: Column) -> Column:

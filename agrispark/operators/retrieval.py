@@ -40,10 +40,13 @@ class SparseIndex:
 
 
 def build_index(chunks: DataFrame, path: str) -> SparseIndex:
-    """Tokenise once and store postings and vocabulary; corpus size and lengths are observed in the same passes."""
+    """Tokenise once and store postings and vocabulary; corpus size and lengths are observed in the same passes.
+
+    Texts are shuffled by chunk id before they are split, so the larger exploded postings are counted in place.
+    """
     spark = chunks.sparkSession
     sizes, idfs = Observation(), Observation()
-    lengths = chunks.select("chunk_id", tx.tokens(F.col("text")).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
+    lengths = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", tx.tokens(F.col("text")).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
     counted = lengths.observe(sizes, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length"))
     (
         counted.select("chunk_id", "doc_len", F.explode("tokens").alias("term"))

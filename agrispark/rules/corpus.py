@@ -29,7 +29,7 @@ SPACES = "".join(map(chr, [
 ]))
 SPACE_CLASS = "[ \\t\\n\\r\\f\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 LINE_BREAK = "\\r\\n|[\\n\\r\\f\\x{0B}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}]"
-TOKEN_SPLIT = "[^a-zA-Z0-9]"
+TOKEN = "[a-z0-9]{2,}"
 
 # Chunking.
 SEPARATORS = ["\n\n", "\n", ". ", "; ", ": ", ", ", " "]
