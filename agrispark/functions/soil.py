@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agrispark.functions.numeric import fixed
 from agrispark.rules import crop_profile as cp
 
 
@@ -86,23 +85,3 @@ def label_index(label: Column) -> Column:
     """Poor 0, Fair 1, Good 2."""
     labels = F.array(*[F.lit(x) for x in cp.SUITABILITY_LABELS])
     return (F.array_position(labels, label) - 1).cast("int")
-
-
-def alert_summary(
-    name: Column, unit: Column, v: Column, opt_lo: Column, opt_hi: Column,
-    status_: Column, direction_: Column, label: Column, abs_dev: Column, rel_dev: Column,
-) -> Column:
-    """One sentence about a parameter; numbers print in their shortest form."""
-    text = lambda c: c.cast("string")
-    nominal = F.concat(
-        F.lit("[OK] "), name, F.lit(": "), text(v), F.lit(" "), unit, F.lit(" (within optimal range "),
-        text(opt_lo), F.lit("–"), text(opt_hi), F.lit(" "), unit, F.lit(")."),
-    )
-    flagged = F.concat(
-        F.lit("["), status_, F.lit("] "), name, F.lit(": Observed "), text(v), F.lit(" "), unit,
-        F.lit(" (optimal: "), text(opt_lo), F.lit("–"), text(opt_hi), F.lit(" "), unit, F.lit("). Deviation: "),
-        fixed(abs_dev, 3), F.lit(" "), unit, F.lit(" "), F.lower(direction_),
-        F.when(label != "", F.concat(F.lit(" — "), label)).otherwise(F.lit("")),
-        F.lit(" ("), fixed(rel_dev, 1), F.lit("% outside optimal range)."),
-    )
-    return F.when(v.isNull(), None).when(status_ == "OK", nominal).otherwise(flagged)

@@ -17,18 +17,14 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in rs.SEVERITIES]), severity).cast("int")
 
 
-def _band_of(value: Column, bands: Column) -> Column:
-    """Severity of the first band whose upper bound the value does not pass."""
-    fits = F.filter(bands, lambda b: b["upper_bound"].isNull() | (value < b["upper_bound"]) | (b["inclusive"] & (value == b["upper_bound"])))
-    return F.element_at(fits, 1)["severity"]
-
-
 def severities(payloads: DataFrame, keys: list[str], variants: dict[str, str] | None = None) -> DataFrame:
-    """One row per (payload, parameter) that has a value, with its severity."""
+    """One row per (payload, parameter) that has a value, with its severity: the number of cuts passed picks it."""
     rules = F.broadcast(dims.diagnosis_rules(payloads.sparkSession, variants))
+    cuts = [f"cut_{k + 1}" for k in range(dims.CUTS)]
+    passed = sum(((F.col("value") > F.col(c)).cast("int") for c in cuts), F.lit(0))
     return (
         to_long(payloads, keys, PAYLOAD_COLUMNS).where(F.col("value").isNotNull()).join(rules, "column")
-        .withColumn("severity", _band_of(F.col("value"), F.col("bands"))).drop("bands")
+        .withColumn("severity", F.get("severities", passed)).drop("severities", *cuts)
     )
 
 
@@ -36,7 +32,7 @@ def soil_issues(payloads: DataFrame, keys: list[str], variants: dict[str, str] |
     """Diagnosed issues; values in the optimal class raise none. A value on the optimal lower edge is named as excess."""
     v = F.col("value")
     side = F.when(v < F.col("opt_low"), "low").otherwise("high")
-    strong = F.coalesce(F.when(F.col("side") == "low", v <= F.col("low_edge")).otherwise(v >= F.col("high_edge")), F.lit(False))
+    strong = (v <= F.col("low_edge")) | (v >= F.col("high_edge"))
     grade = F.when(F.col("graded"), F.col("severity")).when(strong, "strong").otherwise("plain")
     texts = F.broadcast(dims.issue_texts(payloads.sparkSession))
     number = F.when(F.col("decimals") == 2, fixed(v, 2)).otherwise(fixed(v, 1))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrispark.functions import soil
-from agrispark.functions.numeric import let, rounded
+from agrispark.functions.numeric import fixed, let, rounded
 from agrispark.operators.cleanse import normalise_crop
 from agrispark.rules import crop_profile as cp
 
@@ -64,7 +64,7 @@ def evaluate(payloads: DataFrame, profiles: DataFrame, keys: list[str], columns:
         )
 
     flags = F.filter(F.zip_with(params, values, flag), lambda f: f["ord"].isNotNull())
-    flagged = joined.select(*keys, F.col(crop).alias("crop_key"), "bands", F.array_sort(flags).alias("flags"))
+    flagged = joined.select(*keys, F.col(crop).alias("crop_key"), "bands", F.sort_array(flags).alias("flags"))
     zero = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("weight"))
     sums = F.aggregate("flags", zero, lambda acc, f: F.struct(
         (acc["score"] + F.coalesce(f["score"], F.lit(0.0)) * f["weight"]).alias("score"), (acc["weight"] + f["weight"]).alias("weight"),
@@ -89,35 +89,56 @@ def evaluate(payloads: DataFrame, profiles: DataFrame, keys: list[str], columns:
     )
 
 
+_CLASSES = [("OK", "NONE"), ("WARNING", "LOW"), ("WARNING", "HIGH"), ("CRITICAL", "LOW"), ("CRITICAL", "HIGH")]
+
+
+def flag_texts(profiles: DataFrame) -> DataFrame:
+    """Label, hint and the fixed pieces of the summary sentence per (crop, parameter, class): five rows a parameter."""
+    classes = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(d).alias("direction")) for s, d in _CLASSES])
+    rows = profiles.select("crop_key", F.inline("params")).withColumn("_class", F.explode(classes)).select("*", "_class.*")
+    side = F.col("direction")
+    pick = lambda low, high, ok: F.when(side == "LOW", F.col(low)).when(side == "HIGH", F.col(high)).otherwise(F.col(ok))
+    label = pick("low_label", "high_label", "nominal_label")
+    span = F.concat(F.col("optimal_min").cast("string"), F.lit("–"), F.col("optimal_max").cast("string"), F.lit(" "), F.col("unit"))
+    ok = F.col("status") == "OK"
+    return rows.select(
+        "crop_key", "param_key", "status", "direction", label.alias("direction_label"),
+        pick("low_hint", "high_hint", "nominal_hint").alias("intervention_hint"),
+        F.concat(F.lit("["), "status", F.lit("] "), "display_name", F.when(ok, ": ").otherwise(": Observed ")).alias("_before_value"),
+        F.when(ok, F.concat(F.lit(" "), "unit", F.lit(" (within optimal range "), span, F.lit(").")))
+        .otherwise(F.concat(F.lit(" "), "unit", F.lit(" (optimal: "), span, F.lit("). Deviation: "))).alias("_after_value"),
+        F.concat(F.lit(" "), "unit", F.lit(" "), F.lower("direction"), F.when(label != "", F.concat(F.lit(" — "), label)).otherwise(""), F.lit(" (")).alias("_after_deviation"),
+    )
+
+
 def param_flags(payloads: DataFrame, profiles: DataFrame, keys: list[str], columns: dict[str, str] | None = None,
                 crop: str = "crop_key") -> DataFrame:
     """Long form: one row per (payload, parameter), missing parameters included.
 
-    Unpivot and a broadcast join with the exploded profile, all in generated code; crops without a profile drop out.
+    Unpivot, a broadcast join with the parameter limits to class the value, and one with the texts of that class:
+    all in generated code, small enough to be compiled. Crops without a profile drop out.
     """
     columns = columns or {k: k for k in cp.PARAM_KEYS if k in payloads.columns}
     wide = payloads.select(*keys, F.col(crop).alias("crop_key"), *[F.col(c).alias(k) for k, c in columns.items()])
-    dim = F.broadcast(profiles.select("crop_key", F.inline("params")))
-    long = wide.unpivot([*keys, "crop_key"], list(columns), "param_key", "value").join(dim, ["crop_key", "param_key"])
+    limits = F.broadcast(profiles.select("crop_key", F.inline("params")).select(
+        "crop_key", "param_key", "ord", "display_name", "unit", "optimal_min", "optimal_max", "critical_min", "critical_max"
+    ))
+    long = wide.unpivot([*keys, "crop_key"], list(columns), "param_key", "value").join(limits, ["crop_key", "param_key"])
     v = F.col("value")
     bounds = [F.col(c) for c in ("optimal_min", "optimal_max", "critical_min", "critical_max")]
-    classed = long.withColumns({
-        "status": soil.status(v, *bounds), "direction": F.when(v.isNotNull(), soil.direction(v, *bounds)),
-        "_dev": F.when(v.isNotNull(), soil.deviation(v, *bounds[:2])),
-        "_rel": F.when(v.isNotNull(), soil.relative_deviation(v, *bounds[:2])),
-        "_score": soil.health_score(v, *bounds),
-    })
-    side = F.col("direction")
-    pick = lambda low, high, ok: F.when(side == "LOW", F.col(low)).when(side == "HIGH", F.col(high)).when(side == "NONE", F.col(ok))
-    labelled = classed.withColumn("direction_label", pick("low_label", "high_label", "nominal_label"))
-    summary = soil.alert_summary(
-        F.col("display_name"), F.col("unit"), v, bounds[0], bounds[1], F.col("status"), side, F.col("direction_label"), F.col("_dev"), F.col("_rel")
+    known = lambda c: F.when(v.isNotNull(), c)
+    classed = long.select(
+        *keys, "crop_key", "param_key", "ord", "display_name", "unit", "value", soil.status(v, *bounds).alias("status"),
+        known(soil.direction(v, *bounds)).alias("direction"), known(soil.deviation(v, *bounds[:2])).alias("_dev"),
+        known(soil.relative_deviation(v, *bounds[:2])).alias("_rel"), soil.health_score(v, *bounds).alias("_score"),
     )
-    return labelled.select(
+    described = classed.join(F.broadcast(flag_texts(profiles)), ["crop_key", "param_key", "status", "direction"], "left")
+    outside = F.concat(fixed(F.col("_dev"), 3), "_after_deviation", fixed(F.col("_rel"), 1), F.lit("% outside optimal range)."))
+    return described.select(
         *keys, "crop_key", "ord", "param_key", "display_name", "unit", "value", "status", "direction",
-        rounded(F.col("_dev"), 3).alias("absolute_deviation"), rounded(F.col("_rel"), 1).alias("relative_deviation"),
-        "direction_label", summary.alias("alert_summary"), pick("low_hint", "high_hint", "nominal_hint").alias("intervention_hint"),
-        rounded(F.col("_score"), 1).alias("parameter_score"),
+        rounded(F.col("_dev"), 3).alias("absolute_deviation"), rounded(F.col("_rel"), 1).alias("relative_deviation"), "direction_label",
+        F.concat("_before_value", v.cast("string"), "_after_value", F.when(F.col("status") == "OK", "").otherwise(outside)).alias("alert_summary"),
+        "intervention_hint", rounded(F.col("_score"), 1).alias("parameter_score"),
     )
 
 
@@ -179,7 +200,7 @@ def suitability(readings: DataFrame, profiles: DataFrame, columns: dict[str, str
         )),
         lambda s: s["score"].isNotNull(),
     )
-    parts = F.array_sort(F.coalesce(scored, F.array().cast("array<struct<ord:int,param_key:string,score:double,weight:double>>")))
+    parts = F.sort_array(F.coalesce(scored, F.array().cast("array<struct<ord:int,param_key:string,score:double,weight:double>>")))
     zero = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("weight"))
     composite = F.aggregate("_parts", zero, lambda acc, s: F.struct(
         (acc["score"] + s["score"] * s["weight"]).alias("score"), (acc["weight"] + s["weight"]).alias("weight"),

@@ -82,7 +82,7 @@ def with_intents(messages: DataFrame, table: DataFrame | None = None) -> DataFra
 
     return (
         found.withColumn("_matched", matched)
-        .withColumn("intents", F.array_sort(F.transform(weighed, score)))
+        .withColumn("intents", F.sort_array(F.transform(weighed, score)))
         .drop("_hits", "_matched")
     )
 

@@ -5,6 +5,8 @@ Their size is fixed by the rules (at most a few hundred rows), which is what mak
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,30 +85,30 @@ def severity_bands(spark: SparkSession) -> DataFrame:
     )
 
 
+CUTS = 7
+
+
 def diagnosis_rules(spark: SparkSession, variants: dict[str, str] | None = None) -> DataFrame:
-    """One row per diagnosed parameter with its bands as an array, for the chosen variants."""
+    """One row per diagnosed parameter for the chosen variants: seven ascending cuts and the severities between them.
+
+    A value lies past a cut when it is greater. A cut that belongs to the class above it is stored as the next
+    smaller double; parameters with fewer cuts are padded with infinity.
+    """
     variants = variants or {}
-    band = pa.struct([("upper_bound", pa.float64()), ("inclusive", pa.bool_()), ("severity", pa.string())])
     rows = []
     for i, (parameter, column, lo, hi) in enumerate(severity.DIAGNOSIS_PARAMETERS):
         key = (parameter, variants.get(parameter, "default"))
         if key in severity.SALINITY_CUTS:
-            cuts, names, inclusive = severity.SALINITY_CUTS[key], severity.SALINITY_SEVERITIES, True
+            cuts, names = severity.SALINITY_CUTS[key], severity.SALINITY_SEVERITIES
         elif key in severity.ORGANIC_CUTS:
-            cuts, names, inclusive = severity.ORGANIC_CUTS[key], severity.ORGANIC_SEVERITIES, False
+            cuts, names = [math.nextafter(c, -math.inf) for c in severity.ORGANIC_CUTS[key]], severity.ORGANIC_SEVERITIES
         else:
-            cuts, names, inclusive = severity.TWO_SIDED_CUTS[key], severity.TWO_SIDED, True
-        bands = [
-            {"upper_bound": cuts[j] if j < len(cuts) else None, "inclusive": inclusive, "severity": name}
-            for j, name in enumerate(names)
-        ]
-        low_edge, high_edge = severity.STRONG_EDGES.get(parameter, (None, None))
-        rows.append((parameter, column, i, lo, hi, low_edge, high_edge, parameter in severity.GRADED_BY_SEVERITY, bands))
-    names = ["parameter", "column", "param_ord", "opt_low", "opt_high", "low_edge", "high_edge", "graded", "bands"]
-    return _local(
-        spark, _by_column(names, rows),
-        {"param_ord": pa.int32(), "low_edge": pa.float64(), "high_edge": pa.float64(), "bands": pa.list_(band)},
-    )
+            cuts, names = severity.TWO_SIDED_CUTS[key], severity.TWO_SIDED
+        low_edge, high_edge = severity.STRONG_EDGES.get(parameter, (-math.inf, math.inf))
+        padded = [*cuts, *[math.inf] * (CUTS - len(cuts))]
+        rows.append((parameter, column, i, lo, hi, low_edge, high_edge, parameter in severity.GRADED_BY_SEVERITY, names, *padded))
+    columns = ["parameter", "column", "param_ord", "opt_low", "opt_high", "low_edge", "high_edge", "graded", "severities"]
+    return _local(spark, _by_column([*columns, *[f"cut_{k + 1}" for k in range(CUTS)]], rows), {"param_ord": pa.int32()})
 
 
 def issue_texts(spark: SparkSession) -> DataFrame:
