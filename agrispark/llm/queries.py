@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agrispark.llm import media, mixing, phrases, pieces, tokencount
+from agrispark.llm import language, media, mixing, phrases, pieces, quality, tokencount
+from agrispark.llm.folds import fold
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.scored(documents(spark, sf_dir), labels, threshold=0.3)
+
+
 def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_pairs(documents(spark, sf_dir))
 
@@ -36,6 +43,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(documents(spark, sf_dir))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(documents(spark, sf_dir), fold(F.col("doc_id"), 4) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op6_phrase_fingerprints, op8_token_counts, op9_media_columns)
+    f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op5_quality, op6_phrase_fingerprints, op8_token_counts, op9_media_columns, op10_language)
 }
