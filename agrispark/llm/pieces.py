@@ -17,6 +17,7 @@ alike; other columns pass through unread, except that columns named like a resul
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-REMEMBERED = 500_000  # words per worker
+REMEMBERED = 300_000  # words per worker
 LONGEST_REMEMBERED = 10_000  # a batch with a longer word is forgotten
 PAIRS = 1_000_000  # remembered decisions about neighbouring pieces
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 NORMAL, UNKNOWN, USER, BYTE, BPE = 1, 2, 4, 6, 2  # types of pieces and of models in the file format
 
 
@@ -252,9 +253,27 @@ def decode(frame: DataFrame, model: str, ids: str = "ids", text: str = "decoded"
 
 
 def round_trip(documents: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256 and whether decoding gives the text back, for every whole text."""
-    coded = decode(encode(documents.select("doc_id", "text"), model), model)
-    return coded.select(
-        "doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("same"),
-    )
+    """doc_id, n_tokens, ids, decoded_sha256 and whether decoding gives the text back, for every whole text.
+
+    The same as ``decode`` after ``encode``, in one pass with one Python worker a task.
+    """
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _model(model)
+        for batch in batches:
+            at = 0
+            for group in _groups(batch["text"]):
+                flat, lengths = pieces.encode([t or "" for t in group])
+                ends = np.cumsum(lengths)
+                missing = [t is None for t in group]
+                decoded = [pieces.decode(flat[e - n:e].tolist()) for e, n in zip(ends, lengths)]
+                yield pa.RecordBatch.from_arrays([
+                    batch["doc_id"].slice(at, len(group)),
+                    pa.array([None if m else int(n) for m, n in zip(missing, lengths)], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat), mask=pa.array(missing)),
+                    pa.array([None if m else hashlib.sha256(d).hexdigest() for m, d in zip(missing, decoded)], pa.string()),
+                    pa.array([m or d == t.encode("utf-8") for m, d, t in zip(missing, decoded, group)]),
+                ], ["doc_id", "n_tokens", "ids", "decoded_sha256", "same"])
+                at += len(group)
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(both, "doc_id long, n_tokens int, ids array<int>, decoded_sha256 string, same boolean")
