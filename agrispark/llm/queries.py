@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrispark.llm import language, media, mixing, phrases, pieces, quality, tokencount
+from agrispark.llm import language, media, mixing, neardup, phrases, pieces, quality, tokencount
 from agrispark.llm.folds import fold
 
 
@@ -24,6 +24,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), size=2, percent=80)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality.scored(documents(spark, sf_dir), labels, threshold=0.3)
@@ -48,5 +52,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op5_quality, op6_phrase_fingerprints, op8_token_counts, op9_media_columns, op10_language)
+    f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op4_near_duplicates, op5_quality, op6_phrase_fingerprints, op8_token_counts, op9_media_columns, op10_language)
 }
