@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrispark.llm import language, media, mixing, neardup, phrases, pieces, quality, tokencount
+from agrispark.llm import language, media, mixing, neardup, phrases, pieces, quality, repeats, tokencount
 from agrispark.llm.folds import fold
 
 
@@ -37,6 +37,10 @@ def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_pairs(documents(spark, sf_dir))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removals(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 1024
@@ -52,5 +56,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op4_near_duplicates, op5_quality, op6_phrase_fingerprints, op8_token_counts, op9_media_columns, op10_language)
+    f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op4_near_duplicates, op5_quality, op6_phrase_fingerprints, op7_repeated_passages, op8_token_counts, op9_media_columns, op10_language)
 }
