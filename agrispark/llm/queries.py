@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrispark.llm import language, media, mixing, neardup, phrases, pieces, quality, repeats, tokencount
+from agrispark.llm import katz, language, media, mixing, neardup, phrases, pieces, quality, repeats, tokencount
 from agrispark.llm.folds import fold
 
 
@@ -24,6 +24,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(documents(spark, sf_dir), fold(F.col("doc_id"), 5) == 1)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), size=2, percent=80)
 
@@ -56,5 +60,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op4_near_duplicates, op5_quality, op6_phrase_fingerprints, op7_repeated_passages, op8_token_counts, op9_media_columns, op10_language)
+    f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op3_lm_scores, op4_near_duplicates, op5_quality, op6_phrase_fingerprints, op7_repeated_passages, op8_token_counts, op9_media_columns, op10_language)
 }
