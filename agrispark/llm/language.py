@@ -165,3 +165,10 @@ def predicted(documents: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous, by a model of the rows that are not held out."""
     model = learn(documents.filter(~held_out))
     return identify(documents.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def identified(documents: DataFrame, held_out: Column) -> DataFrame:
+    """The documents, with all their columns, whose language is found: not ``und`` and not ambiguous."""
+    model = learn(documents.filter(~held_out))
+    found = identify(documents.select(F.struct("*").alias("row"), "text"), model)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select("row.*")

@@ -31,6 +31,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def shuffle_key() -> Column:
+    """What the shuffled order of documents goes by: a hash of id and text that any engine can compute."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+
+
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES
 ) -> DataFrame:
@@ -84,7 +89,7 @@ def mix(
     sized = staged(
         documents.select(
             "doc_id", n_words(F.col("text")).alias("size"), F.coalesce(F.col("source"), F.lit("")).alias("name"),
-            F.col("source").isNull().alias("unnamed"), F.xxhash64("doc_id", "text").alias("shuffled"),
+            F.col("source").isNull().alias("unnamed"), shuffle_key().alias("shuffled"),
         ), "mix-sizes",
     )
     per_source = sized.groupBy("name", "unnamed").agg(F.sum("size").alias("source_size"))
@@ -123,11 +128,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
         .groupBy(F.col("doc_id").alias("_id"), F.col("shuffled").alias("_key"), F.col("source").alias("_source"))
         .agg(F.max("times").alias("_times"))
     )
-    match = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.xxhash64("doc_id", "text") == F.col("_key"))
-    )
-    taken = documents.join(times, match)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(
-        *[documents[c] for c in documents.columns]
-    )
+    rows = documents.select(F.struct("*").alias("row"), shuffle_key().alias("key"))
+    match = F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key"))
+    taken = rows.join(times, match).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    return taken.select("row.*")

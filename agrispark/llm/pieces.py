@@ -252,8 +252,8 @@ def decode(frame: DataFrame, model: str, ids: str = "ids", text: str = "decoded"
     return _with_column(frame, text, T.StringType(), compute)
 
 
-def round_trip(documents: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256 and whether decoding gives the text back, for every whole text.
+def round_trip(documents: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns to keep, n_tokens, ids, decoded_sha256 and whether decoding gives the text back, for every whole text.
 
     The same as ``decode`` after ``encode``, in one pass with one Python worker a task.
     """
@@ -267,13 +267,17 @@ def round_trip(documents: DataFrame, model: str) -> DataFrame:
                 missing = [t is None for t in group]
                 decoded = [pieces.decode(flat[e - n:e].tolist()) for e, n in zip(ends, lengths)]
                 yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].slice(at, len(group)),
+                    *[batch[c].slice(at, len(group)) for c in keep],
                     pa.array([None if m else int(n) for m, n in zip(missing, lengths)], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat), mask=pa.array(missing)),
                     pa.array([None if m else hashlib.sha256(d).hexdigest() for m, d in zip(missing, decoded)], pa.string()),
                     pa.array([m or d == t.encode("utf-8") for m, d, t in zip(missing, decoded, group)]),
-                ], ["doc_id", "n_tokens", "ids", "decoded_sha256", "same"])
+                ], [*keep, "n_tokens", "ids", "decoded_sha256", "same"])
                 at += len(group)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(both, "doc_id long, n_tokens int, ids array<int>, decoded_sha256 string, same boolean")
+    rows = documents.select(*keep, "text")
+    results = [
+        T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("decoded_sha256", T.StringType()), T.StructField("same", T.BooleanType()),
+    ]
+    return rows.mapInArrow(both, T.StructType([*documents.select(*keep).schema.fields, *results]))

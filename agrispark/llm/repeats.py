@@ -259,8 +259,10 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     lost = removals(documents, with_text=True).filter("n_removed > 0").select(
         F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), (F.col("n_removed") == F.col("n_words")).alias("_all"), F.col("kept").alias("_kept")
     ).dropDuplicates(["_id", "_tag"])
-    joined = documents.join(lost, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left")
-    new = joined.filter("_all IS NULL OR NOT _all").withColumn("text", F.coalesce("_kept", "text"))
+    rows = documents.select(F.struct("*").alias("row"), F.xxhash64("text").alias("key"))
+    joined = rows.join(lost, (F.col("row.doc_id") == F.col("_id")) & (F.col("key") == F.col("_tag")), "left")
+    new = {"text": F.coalesce("_kept", "row.text")}
     if "n_chars" in documents.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return new.select(*documents.columns)
+        kind = documents.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(kind)).otherwise(F.col("row.n_chars"))
+    return joined.filter("_all IS NULL OR NOT _all").select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])

@@ -1,5 +1,91 @@
-"""SQL twins of the training-data queries, where SQL can express them."""
+"""SQL twins of the training-data queries, where SQL can express them.
+
+Not expressible: subword pieces and merges (1, 8), crc32 folds and learnt models (3, 5, 10), phrase parsing (6), image
+files (9). Those are tested against brute force, exact round trips and held-out accuracy.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from agrispark.llm import mixing, repeats
+
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SOURCE_MIX = f"""
+WITH sized AS (
+  SELECT doc_id, source, len({_WORDS.format(text="text")})::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS shuffled
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, ([{", ".join(map(str, mixing.WEIGHTS))}])[(place % {len(mixing.WEIGHTS)} + 1)::INT]::DOUBLE AS weight,
+         source_size * {mixing.PASSES}::DOUBLE AS cap
+  FROM sources
+), filled AS (
+  SELECT *, cap / weight AS ratio,
+         sum(source_size) OVER ()::DOUBLE * {mixing.BUDGET} - coalesce(sum(cap) OVER earlier, 0) AS rest,
+         sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS rest_weight
+  FROM weighed
+  WINDOW earlier AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levelled AS (
+  SELECT *, max(CASE WHEN ratio > rest / rest_weight THEN rest / rest_weight END) OVER () AS level FROM filled
+), targets AS (
+  SELECT source, source_size, weight, least(cap, coalesce(weight * level, cap)) AS target FROM levelled
+), served AS (
+  SELECT s.*, t.source_size, t.weight, t.target,
+         sum(size) OVER (PARTITION BY s.source ORDER BY shuffled, doc_id, size ROWS UNBOUNDED PRECEDING) AS served
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), queued AS (
+  SELECT *, sum(size) OVER (
+           ORDER BY (served + pass * source_size)::DOUBLE / weight, coalesce(source, ''), source IS NULL, pass, shuffled, doc_id, size, served
+           ROWS UNBOUNDED PRECEDING) AS queue
+  FROM served, range({mixing.PASSES}) AS passes(pass)
+)
+SELECT doc_id, size, source_size, target,
+       (size * count(*) FILTER (WHERE queue <= (SELECT sum(size)::DOUBLE * {mixing.BUDGET} FROM sized)))::BIGINT AS taken
+FROM queued GROUP BY doc_id, shuffled, source, served, size, source_size, target
+"""
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, {_WORDS.format(text=f"translate(text, '{_UPPER}', '{_LOWER}')")} AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s FROM words, unnest(range(1, len(w))) AS t(i) WHERE len(w) > 1
+  UNION ALL SELECT doc_id, w[1] FROM words WHERE len(w) = 1
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 80 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id) + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))
+), near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT reached.doc_id, near.b FROM reached JOIN near ON reached.other = near.a
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM reached d LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+"""
+
+REPEATED_PASSAGES = f"""
+WITH words AS (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + {repeats.WINDOW - 1}], ' ')) AS h
+  FROM words, unnest(range(1, len(w) - {repeats.WINDOW - 2})) AS t(p) WHERE len(w) >= {repeats.WINDOW}
+), firsts AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, i FROM windows JOIN firsts USING (h), unnest(range(p, p + {repeats.WINDOW})) AS t(i) WHERE doc_id > least
+), kept AS (
+  SELECT k.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k.i) AS text
+  FROM (SELECT doc_id, i, w[i] AS word FROM words, unnest(range(1, len(w) + 1)) AS t(i)) k
+  LEFT JOIN gone g ON g.doc_id = k.doc_id AND g.i = k.i WHERE g.i IS NULL GROUP BY k.doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op2_source_mix": SOURCE_MIX, "op4_near_duplicates": NEAR_DUPLICATES, "op7_repeated_passages": REPEATED_PASSAGES,
+}
