@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrispark.llm.components import components
-from agrispark.llm.shingles import HASHES, bands, set_id, shingle_set, signature, similar
+from agrispark.llm.shingles import BANDS, HASHES, ROWS, bands, set_id, shingle_set, signature, similar
 from agrispark.llm.staging import staged
 from agrispark.llm.words import WordHashes, texts_of
 
@@ -134,15 +134,15 @@ def _confirmed(tests: DataFrame, groups: DataFrame, sets: DataFrame, percent: in
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """(node, group) for members of a bucket that may be similar to a member of another component of it.
 
-    ``rows`` has (bucket, node, n, sign, root, n_root). The smaller component's members are tested against the greater
-    one, named by its root.
+    ``rows`` has (bucket, band, node, n, sign, root, n_root). The smaller component's members are tested against the
+    greater one, named by its root. Of the buckets that two members share only that of the first band compares them.
     """
     blocks = F.ceil(F.count("*") / F.lit(BUCKET_BLOCK))
     shaped = rows.join(rows.groupBy("bucket").agg(blocks.alias("blocks")), "bucket")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = shaped.withColumn("mine", mine).withColumn("other", other).select(
-        "bucket", "node", "n", "sign", "root", "n_root", "mine",
+        "bucket", "band", "node", "n", "sign", "root", "n_root",
         F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
     )
 
@@ -150,7 +150,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         frame = frame.sort_values(["n_root", "root", "node"]).reset_index(drop=True)
         signs = np.frombuffer(b"".join(frame["sign"]), np.uint8).reshape(len(frame), HASHES)
         n, root = frame["n"].to_numpy(), frame["root"].to_numpy()
-        node = frame["node"].to_numpy()
+        node, band = frame["node"].to_numpy(), int(frame["band"].iloc[0])
         after = np.flatnonzero(np.diff(root, append=root[-1] + 1)) + 1  # where the next component begins
         ends = np.repeat(after, np.diff(after, prepend=0))
         found = set()
@@ -159,7 +159,9 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             fit = percent * np.maximum(n[rest], n[x]) <= 100 * np.minimum(n[rest], n[x])
             if fit.any():
                 which = ends[x] + np.flatnonzero(fit)
-                near = which[(signs[which] == signs[x]).mean(1) >= ESTIMATE]
+                equal = signs[which] == signs[x]
+                shared = equal.reshape(-1, BANDS, ROWS).all(2)
+                near = which[(equal.mean(1) >= ESTIMATE) & ~shared[:, :band].any(1)]
                 found.update((int(node[x]), int(r)) for r in np.unique(root[near]))
         return pd.DataFrame(sorted(found), columns=["node", "group"]).astype({"node": "int64", "group": "int64"})
 
@@ -174,9 +176,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
             F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sign").alias("sign")
         ), "nodes",
     )
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    members = staged(placed.join(shared, "bucket").select("bucket", "first", "node"), "members")
+    members = staged(placed.join(shared, "bucket").select("bucket", "band", "first", "node"), "members")
 
     described = nodes.select("node", "n", "sign")
     a = described.select(F.col("node").alias("first"), F.col("n").alias("n_a"), F.col("sign").alias("sign_a"))
@@ -187,7 +189,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     links = staged(_confirmed(tests, tests.select("group", F.col("group").alias("member")).distinct(), sets, percent), "confirmed")
 
     roots = components(links)
-    rooted = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
     sizes = rooted.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("n_root"))
     rows = rooted.join(several.select("bucket"), "bucket", "left_semi").join(sizes, "root").join(described, "node")
