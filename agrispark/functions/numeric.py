@@ -36,8 +36,13 @@ def zero_if_missing(value: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    """At most one decimal, without a trailing ".0"."""
-    return F.regexp_replace(F.format_string("%.1f", value), r"\.0$", "")
+    """At most one decimal, without a trailing ".0": the exact binary value decides, exact ties go away from zero, and
+    nothing is ever a negative zero."""
+    quarters = value * 4
+    tie = (quarters == F.floor(quarters)) & (F.abs(quarters) % 2 == 1)
+    away = value + F.when(value < 0, F.lit(-0.05)).otherwise(F.lit(0.05))
+    text = F.regexp_replace(fixed(F.when(tie, away).otherwise(value), 1), r"\.0$", "")
+    return F.when(text == "-0", "0").otherwise(text)
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -12,21 +12,33 @@ from agrispark.schemas import MEASURES
 from agrispark.sources import dims
 
 
-def effective_limits(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
+def effective_limits(defaults: DataFrame, overrides: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """Limits after user overrides (metric, min_text, max_text); an override counts only if both ends are finite
-    numbers and min < max. One override row per metric and user; extra key columns of the overrides are kept."""
+    numbers and min < max. One override row per metric and user.
+
+    Extra columns of the overrides identify a user. Every user gets every default, merged with that user's overrides;
+    ``users`` names users beyond those who override something. Without extra columns the overrides are everybody's.
+    """
     parsed = overrides.withColumns({"_min": to_number(F.col("min_text")), "_max": to_number(F.col("max_text"))})
     valid = F.col("_min").isNotNull() & F.col("_max").isNotNull() & (F.col("_min") < F.col("_max"))
     extra = [c for c in overrides.columns if c not in ("metric", "min_text", "max_text")]
-    return defaults.join(parsed, "metric", "left").withColumns({
+    base = defaults
+    if extra:
+        every = defaults.agg(F.collect_list(F.struct(*defaults.columns))).scalar()  # the rules' six rows
+        known = overrides.select(*extra) if users is None else overrides.select(*extra).unionByName(users.select(*extra))
+        base = known.distinct().select(*extra, F.inline(every))
+    return base.join(parsed, [*extra, "metric"], "left").withColumns({
         "limit_min": F.when(valid, F.col("_min")).otherwise(F.col("limit_min")),
         "limit_max": F.when(valid, F.col("_max")).otherwise(F.col("limit_max")),
     }).select(*defaults.columns, *extra)
 
 
 def threshold_alerts(readings: DataFrame, alert_limits: DataFrame | None = None, null_as_zero: bool = False) -> DataFrame:
-    """One row per breached limit. Narrow: unpivot, then a broadcast join with the six limits."""
-    table = F.broadcast(alert_limits if alert_limits is not None else dims.alert_limits(readings.sparkSession))
+    """One row per breached limit. Narrow: unpivot, then a broadcast join with the six limits.
+
+    Limits per user have no size bound, so only the default table is broadcast by request.
+    """
+    table = F.broadcast(dims.alert_limits(readings.sparkSession)) if alert_limits is None else alert_limits
     extra = [c for c in table.columns if c not in _LIMIT_COLUMNS]
     value: Column = F.coalesce("value", F.lit(0.0)) if null_as_zero else F.col("value")
     side = F.when(value < F.col("limit_min"), "low").when(value > F.col("limit_max"), "high")

@@ -91,8 +91,12 @@ def action_plan(ranked: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def plan_summary(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per payload with issues: timeline, first steps, parameters to monitor."""
+def plan_summary(ranked: DataFrame, keys: list[str], healthy: DataFrame | None = None) -> DataFrame:
+    """One row per payload: timeline, first steps, parameters to monitor.
+
+    ``healthy`` holds the keys of payloads without issues, which have no row in ``ranked``; their plan is to go on
+    monitoring.
+    """
     step = F.when(F.col("priority") <= ra.FIRST_STEPS, F.struct("priority", "action"))
     per_payload = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("issues_count"), F.min("severity_rank").alias("_worst"),
@@ -103,11 +107,18 @@ def plan_summary(ranked: DataFrame, keys: list[str]) -> DataFrame:
     for name, text in ra.TIMELINES.items():
         timeline = F.when(F.col("overall_severity") == name, text).otherwise(timeline)
     always = F.array(*[F.lit(p) for p in ra.ALWAYS_MONITORED])
-    return per_payload.withColumn("overall_severity", worst).select(
+    summary = per_payload.withColumn("overall_severity", worst).select(
         *keys, "issues_count", "overall_severity", timeline.alias("expected_timeline"),
         F.transform("_steps", lambda s: s["action"]).alias("critical_first_steps"),
         F.array_sort(F.array_union("_parameters", always)).alias("monitoring_parameters"),
     )
+    if healthy is None:
+        return summary
+    return summary.unionByName(healthy.select(
+        *keys, F.lit(0).cast("long").alias("issues_count"), F.lit("Low").alias("overall_severity"),
+        F.lit(ra.TIMELINES["Low"]).alias("expected_timeline"), F.array().cast("array<string>").alias("critical_first_steps"),
+        F.array_sort(always).alias("monitoring_parameters"),
+    ))
 
 
 __all__ = ["action_plan", "candidate_actions", "dosage", "plan_summary", "ranked_issues", "ranking_points"]

@@ -116,10 +116,12 @@ def param_flags(payloads: DataFrame, profiles: DataFrame, keys: list[str], colum
     """Long form: one row per (payload, parameter), missing parameters included.
 
     Unpivot, a broadcast join with the parameter limits to class the value, and one with the texts of that class:
-    all in generated code, small enough to be compiled. Crops without a profile drop out.
+    all in generated code, small enough to be compiled. A crop without a profile fails the job, as in ``evaluate``.
     """
     columns = columns or {k: k for k in cp.PARAM_KEYS if k in payloads.columns}
-    wide = payloads.select(*keys, F.col(crop).alias("crop_key"), *[F.col(c).alias(k) for k, c in columns.items()])
+    named, profile = _joined(payloads, profiles.select("crop_key", "params"), crop, strict=True)
+    known_crop = F.when(F.size(profile) >= 0, F.col(crop))  # raises for an unknown crop
+    wide = named.select(*keys, known_crop.alias("crop_key"), *[F.col(c).alias(k) for k, c in columns.items()])
     limits = F.broadcast(profiles.select("crop_key", F.inline("params")).select(
         "crop_key", "param_key", "ord", "display_name", "unit", "optimal_min", "optimal_max", "critical_min", "critical_max"
     ))
@@ -184,6 +186,8 @@ def suitability(readings: DataFrame, profiles: DataFrame, columns: dict[str, str
                 crop_names: list[str] | None = None) -> DataFrame:
     """Suitability of each reading for its crop: missing parameters are skipped, unknown crops use the default.
 
+    The known crops are those of the profile table, one small row each, unless ``crop_names`` lists them.
+
     Adds crop_key, parameter_scores, suitability_score and suitability_label.
     """
     columns = columns or {param: column for column, param in cp.SENSOR_PARAMETERS.items()}
@@ -193,6 +197,7 @@ def suitability(readings: DataFrame, profiles: DataFrame, columns: dict[str, str
             *[b.alias(n) for n, b in zip(("optimal_min", "optimal_max", "critical_min", "critical_max"), _bounds(p))],
         )).alias("params"))
     values = F.array(*[F.col(c) for c in columns.values()])
+    crop_names = crop_names or [r["crop_key"] for r in profiles.select("crop_key").distinct().orderBy("crop_key").collect()]
     joined = normalise_crop(readings, crop_names).join(F.broadcast(slim), "crop_key", "left")
     scored = F.filter(
         F.zip_with("params", values, lambda p, v: F.struct(

@@ -24,8 +24,10 @@ ROWS_PER_BUCKET = 2_000_000
 
 
 def time_bucket(ts: str = "ts", seconds: int = BUCKET_WIDTHS[0]) -> Column:
-    """Bucket number that grows with time."""
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    """Bucket number that grows with a zone-less time, whatever the session's time zone."""
+    c = F.col(ts)
+    total = F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60 + F.floor(F.second(c))
+    return F.floor(total / F.lit(seconds)).cast("long")
 
 
 def fitting_bucket(frame: DataFrame, key: list[str], ts: str = "ts", limit: int = ROWS_PER_BUCKET) -> int:
@@ -44,7 +46,8 @@ def fitting_bucket(frame: DataFrame, key: list[str], ts: str = "ts", limit: int
 def with_position_in_key(frame: DataFrame, key: list[str], order: list[str], bucket: Column) -> DataFrame:
     """Adds ``seq`` (0-based position within the key) and ``key_rows`` (rows of the key).
 
-    ``bucket`` must not decrease along the order.
+    ``bucket`` must not decrease along the order. Rows with a NULL key form a key of their own, and rows whose order is
+    NULL come first in theirs: no row is lost.
     """
     bucketed = frame.withColumn("_bucket", bucket)
     counts = bucketed.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -56,8 +59,13 @@ def with_position_in_key(frame: DataFrame, key: list[str], order: list[str], buc
     )
     inside = F.row_number().over(W.partitionBy(*key, "_bucket").orderBy(*order))
     numbered = bucketed.withColumn("_inside", inside)
+    both = [*key, "_bucket"]
+    right = placed.select(*[F.col(c).alias(f"_of_{c}") for c in both], "_before", "key_rows")
+    same = F.lit(True)
+    for c in both:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     return (
-        numbered.join(placed, [*key, "_bucket"])
+        numbered.join(right, same).drop(*[f"_of_{c}" for c in both])
         .withColumn("seq", (F.col("_before") + F.col("_inside") - 1).cast("long"))
         .drop("_bucket", "_inside", "_before")
     )
@@ -83,8 +91,10 @@ def sliding_windows(readings: DataFrame, length: int, features: list[str] = cp.F
 
     Output: key, seq and ts of the last row, ``carry`` columns of the last row, ``window`` as an array of feature
     arrays, and with a horizon the ``target`` value that many rows later (windows without one are dropped).
-    ``key=[]`` treats the whole table as one series. Without a bucket width the data decides.
+    ``key=[]`` treats the whole table as one series. Without a bucket width the data decides. Readings without a time
+    have no place in a window.
     """
+    readings = readings.where(F.col("ts").isNotNull())
     key = ["node_id"] if key is None else key
     bucket_seconds = bucket_seconds or fitting_bucket(readings, key)
     carry = carry or []

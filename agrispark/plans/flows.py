@@ -24,9 +24,10 @@ def current_alerts(readings: DataFrame, recent_rows: int | None = None, alert_li
 
 
 def plans_for(payloads: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(ranked actions, one summary row per payload with issues)."""
+    """(ranked actions, one summary row per payload)."""
     ranked = prescriptions.ranked_issues(diagnosis.soil_issues(payloads, keys), keys)
-    return prescriptions.action_plan(ranked, keys), prescriptions.plan_summary(ranked, keys)
+    healthy = diagnosis.overall_severity(payloads, keys).where("overall_severity = 'Low'")
+    return prescriptions.action_plan(ranked, keys), prescriptions.plan_summary(ranked, keys, healthy)
 
 
 def suitability_samples(readings: DataFrame, length: int = limits.SUITABILITY_HISTORY) -> DataFrame:

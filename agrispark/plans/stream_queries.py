@@ -42,9 +42,8 @@ def stream_silent_nodes(spark, sf):
 
 def stream_chunk_store(spark, sf):
     """Documents ingested as a stream into a chunk store."""
-    docs = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").option(
-        "pathGlobFilter", "documents.parquet"
-    ).parquet(sf).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), F.lit(0).alias("page"), "text")
+    table = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long")
+    docs = table.parquet(sr.table_pattern(f"{sf}/documents.parquet")).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), F.lit(0).alias("page"), "text")
     path = staging_path(spark, "chunks")
     sc.ingest_stream(docs, f"{path}/store", f"{path}/checkpoint")
     return read_chunks(spark, f"{path}/store").select("chunk_id", "source", "chunk_index", "char_count")

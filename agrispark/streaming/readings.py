@@ -31,9 +31,15 @@ def kafka_readings(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return raw.select(F.from_json(F.col("value").cast("string"), schemas.TELEMETRY).alias("r")).select("r.*")
 
 
+def table_pattern(path: str) -> str:
+    """A pattern that only the table's own path matches: a stream reads a file or a folder of part files through it,
+    while a plain path must be a folder."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of readings."""
-    events = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table, a file or a folder of part files, as a stream of readings."""
+    events = spark.readStream.schema(schemas.EVENTS).parquet(table_pattern(f"{sf_dir}/events.parquet"))
     return events.selectExpr(*[e.format(STR="string") for e in EVENT_READING_EXPRS])
 
 

@@ -120,7 +120,7 @@ _PLAN = f"""{_ACTIONS},
       + CASE WHEN lower(action) LIKE '%irrigation%' OR lower(action) LIKE '%moisture%' THEN -15 ELSE 0 END
       + CASE WHEN lower(action) LIKE '%fertilizer%' THEN 50 ELSE 0 END AS points FROM firsts),
   plan AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY points, srank, pord) AS priority FROM pointed)"""
-_TIMELINE = "CASE min(srank) " + " ".join(f"WHEN {i + 1} THEN {literal(t)}" for i, t in enumerate(ra.TIMELINES.values())) + " END"
+_TIMELINE = "CASE coalesce(min(srank), 4) " + " ".join(f"WHEN {i + 1} THEN {literal(t)}" for i, t in enumerate(ra.TIMELINES.values())) + " END"
 
 _VARIANTS = {"pH": "acid_loving", "Moisture": "clay", "Temperature": "cool_season", "Salinity (EC)": "tolerant"}
 _ALL_VARIANTS = [*rs.TWO_SIDED_CUTS, *rs.SALINITY_CUTS, *rs.ORGANIC_CUTS]
@@ -165,8 +165,9 @@ SQL = {
     "candidate_actions": f"WITH {PAY}, {ISSUES}, {_PLAN} SELECT event_id, parameter, severity, action, impact, dosage, timeline, depends_on FROM cand",
     "action_plan": f"WITH {PAY}, {ISSUES}, {_PLAN} SELECT event_id, priority, parameter, severity, action, dosage, cast(points AS BIGINT) AS points FROM plan",
     "plan_summary": f"""WITH {PAY}, {ISSUES}, {_PLAN},
-        per AS (SELECT event_id, count(*) AS issues_count, CASE min(srank) WHEN 1 THEN 'Critical' WHEN 2 THEN 'High' ELSE 'Moderate' END AS overall_severity,
-          {_TIMELINE} AS expected_timeline FROM issues GROUP BY event_id),
+        per AS (SELECT event_id, count(srank) AS issues_count,
+          CASE coalesce(min(srank), 4) WHEN 1 THEN 'Critical' WHEN 2 THEN 'High' WHEN 3 THEN 'Moderate' ELSE 'Low' END AS overall_severity,
+          {_TIMELINE} AS expected_timeline FROM pay LEFT JOIN issues USING (event_id) GROUP BY event_id),
         mon AS (SELECT event_id, string_agg(parameter, '|' ORDER BY parameter) AS monitoring FROM
           (SELECT event_id, parameter FROM issues UNION SELECT event_id, unnest(['Moisture', 'Temperature']) FROM per) GROUP BY event_id),
         steps AS (SELECT event_id, string_agg(action, '|' ORDER BY priority) AS first_steps FROM plan WHERE priority <= 3 GROUP BY event_id)

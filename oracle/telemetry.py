@@ -48,9 +48,10 @@ SQL = {
     "alerts_with_overrides": f"""WITH {TEL}, {LATEST}, {LIMITS}, ov AS (SELECT {_OVERRIDES} FROM region),
         parsed AS (SELECT *, CASE WHEN regexp_matches(min_text, '{NUMBER}') THEN try_cast(min_text AS double) END AS mn,
                           CASE WHEN regexp_matches(max_text, '{NUMBER}') THEN try_cast(max_text AS double) END AS mx FROM ov),
-        eff AS (SELECT lim.* EXCLUDE (lo, hi), parsed.user_id,
+        eff AS (SELECT lim.* EXCLUDE (lo, hi), users.user_id,
                   CASE WHEN mn < mx THEN mn ELSE lo END AS lo, CASE WHEN mn < mx THEN mx ELSE hi END AS hi
-                FROM lim LEFT JOIN parsed ON parsed.metric = lim.metric),
+                FROM (SELECT DISTINCT user_id FROM ov) AS users, lim
+                LEFT JOIN parsed ON parsed.metric = lim.metric AND parsed.user_id = users.user_id),
         {_alerts('latest', 'eff', 'user_id,')} SELECT * FROM alerts""",
     "alert_counts": f"""WITH {TEL}, {LIMITS}, {_alerts('tel')}
         SELECT metric, direction, severity, count(*) AS alerts FROM alerts GROUP BY ALL""",
