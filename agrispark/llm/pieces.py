@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-REMEMBERED = 300_000  # words per worker
+REMEMBERED = 800_000  # words per worker
 LONGEST_REMEMBERED = 10_000  # a batch with a longer word is forgotten
 PAIRS = 1_000_000  # remembered decisions about neighbouring pieces
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 NORMAL, UNKNOWN, USER, BYTE, BPE = 1, 2, 4, 6, 2  # types of pieces and of models in the file format
 
 
