@@ -37,8 +37,8 @@ from agrispark.llm.words import WordHashes, mixed, texts_of
 
 CUT = 5
 HALF = 0.5
-BLOCK_BYTES = 12 << 20
-PART_BYTES = 12 << 20  # text per partition of a table
+BLOCK_BYTES = 5 << 20
+PART_BYTES = 8 << 20  # text per partition of a table
 BLOCK_ROWS = 1 << 18
 BLOCKS_PER_TASK = 1 << 20
 START, END = np.uint64(0x1F0E5C0FFEE), np.uint64(0x2F0E5C0FFEE)
