@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from agrispark.plans import (
-    advice_queries, corpus_queries, message_queries, sequence_queries, stream_queries, telemetry_queries,
+    advice_queries, corpus_queries, message_queries, sequence_queries, store_queries, stream_queries, telemetry_queries,
 )
 
-FAMILIES = [telemetry_queries, advice_queries, sequence_queries, corpus_queries, message_queries, stream_queries]
+FAMILIES = [telemetry_queries, advice_queries, sequence_queries, corpus_queries, message_queries, stream_queries, store_queries]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,3 +29,21 @@ def append_turns(existing: DataFrame, new: DataFrame, order: str, bucket: Column
     return numbered.join(last, "conv_id", "left").select(
         "conv_id", (F.coalesce("last_turn", F.lit(-1)) + 1 + F.col("seq")).cast("long").alias("turn"), "role", "text"
     )
+
+
+def write_conversations(turns: DataFrame, path: str, files: int = 8) -> None:
+    """Conversations as JSON files that ``read_conversations`` reads: each file holds one array of them.
+
+    A file is one row, so their number should grow with the table.
+    """
+    messages = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    whole = turns.groupBy("conv_id").agg(messages.alias("messages")).select(F.col("conv_id").alias("conversation_id"), "messages")
+    arrays = whole.groupBy(F.pmod(F.xxhash64("conversation_id"), F.lit(files)).alias("file")).agg(
+        F.to_json(F.collect_list(F.struct("conversation_id", "messages"))).alias("value")
+    )
+    arrays.write.mode("overwrite").partitionBy("file").text(path)
+
+
+def store_turns(spark: SparkSession, new: DataFrame, path: str, order: str) -> None:
+    """New messages numbered after the stored ones and appended to the stored table."""
+    append_turns(spark.read.parquet(path), new, order).write.mode("append").parquet(path)

@@ -28,3 +28,7 @@ def load_scaler(spark: SparkSession, path: str) -> DataFrame:
 
 def save_label_map(spark: SparkSession, path: str) -> None:
     dims.suitability_labels(spark).write.mode("overwrite").parquet(path)
+
+
+def load_label_map(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

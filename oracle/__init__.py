@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oracle import advice, corpus, messages, sequences, streams, telemetry
+from oracle import advice, corpus, messages, sequences, stores, streams, telemetry
 
-FAMILIES = [telemetry, advice, sequences, corpus, messages, streams]
+FAMILIES = [telemetry, advice, sequences, corpus, messages, streams, stores]
 
 
 def all_sql() -> dict[str, str]:
