@@ -1,8 +1,8 @@
 """Sparse, dense and fused retrieval for tables of queries.
 
 Corpus rows never meet queries in a Spark cross join. The sparse leg joins postings on terms, co-partitioned by
-chunk so that pair scores are summed where they arise; the dense leg multiplies Arrow batches of vectors with a
-block of query vectors and keeps the running best per query. Both legs shuffle only top-n candidates.
+chunk so that pair scores are summed where they arise; the dense leg multiplies blocks of vectors with
+blocks of query vectors and keeps the running best per query. Both legs shuffle only top-n candidates.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from agrispark.rules import corpus as rc
 
 QUERY_TERMS_PER_BLOCK = 500_000
 QUERY_VECTORS_PER_BLOCK = 1_024
-SCORE_DIGITS = 6
+CORPUS_VECTORS_PER_BLOCK = 2_048
+RANK_DIGITS = 11  # scores are ranked this fine: only the noise of summation order, which would split equal texts, goes
 
 
 @dataclass
@@ -126,7 +127,7 @@ def bm25_search(index: SparseIndex, queries: DataFrame, n: int, terms_per_block:
         pairs = matched.join(F.broadcast(block), "term").groupBy("chunk_id", "query_id").agg(
             F.sum(F.col("term_weight") * F.col("query_weight")).alias("_raw")
         )
-        found.append(top_n(pairs.withColumn("score", F.round("_raw", SCORE_DIGITS)).drop("_raw"), n, "score"))
+        found.append(top_n(pairs.withColumn("score", F.round("_raw", RANK_DIGITS)).drop("_raw"), n, "score"))
     best = F.max("score").over(W.partitionBy("query_id"))
     return _union(found).withColumn("_best", best).select(
         "query_id", "chunk_id", "score",
@@ -134,11 +135,6 @@ def bm25_search(index: SparseIndex, queries: DataFrame, n: int, terms_per_block:
     )
 
 
-def cosine_score(dot: Column) -> Column:
-    """Similarity in 0..1 of two unit vectors."""
-    return F.greatest(F.lit(0.0), (F.lit(1.0) + dot) / 2.0)
-
-
 def _best_per_query(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, id, score) of the n best rows per column; ties go to the smaller id."""
     if len(ids) > n:
@@ -155,42 +151,47 @@ def _best_per_query(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.nda
     return col[keep], name[keep], value[keep]
 
 
+def _vector_blocks(frame: DataFrame, name: str, rows: int) -> DataFrame:
+    """Blocks of vectors as (names, vectors): ids and one matrix of little-endian doubles."""
+    kind = frame.schema[name].dataType.simpleString()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                part = batch.iloc[start:start + rows]
+                matrix = np.stack(part["embedding"]).astype("<f8")
+                yield pd.DataFrame({f"{name}s": [part[name].to_numpy()], f"{name}_vectors": [matrix.tobytes()]})
+
+    return frame.select(name, "embedding").mapInPandas(pack, f"{name}s array<{kind}>, {name}_vectors binary")
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, n: int, vectors_per_block: int = QUERY_VECTORS_PER_BLOCK) -> DataFrame:
     """(query_id, chunk_id, dense_score, rank): nearest n vectors per query vector, exact.
 
-    ``vectors`` has chunk_id and embedding, ``queries`` query_id and embedding, all unit length. Query vectors are
-    shipped to the tasks in blocks of bounded size; each task returns at most n rows per query.
+    ``vectors`` has chunk_id and embedding, ``queries`` query_id and embedding, all unit length. Both sides are packed
+    into blocks, and every block of the corpus meets every block of queries as one matrix product: the corpus is scanned
+    once, nothing passes through the driver, and a task returns at most n rows per query.
     """
     id_type = vectors.schema["chunk_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
-    corpus = vectors.select("chunk_id", "embedding")
-    found = []
-    for block in _blocks(queries, queries.count(), vectors_per_block):
-        local = block.select("query_id", "embedding").toPandas()
-        if local.empty:
-            continue
-        names = local["query_id"].to_numpy()
-        shared = vectors.sparkSession.sparkContext.broadcast(np.stack(local["embedding"]).astype("float64").T)
-
-        def nearest(batches: Iterator[pd.DataFrame], names=names, shared=shared) -> Iterator[pd.DataFrame]:
-            kept: pd.DataFrame | None = None
-            for batch in batches:
-                for start in range(0, len(batch), 2048):
-                    part = batch.iloc[start:start + 2048]
-                    dots = np.stack(part["embedding"]).astype("float64") @ shared.value
-                    scores = np.round(np.maximum(0.0, (1.0 + dots) / 2.0), SCORE_DIGITS)
-                    col, ids, value = _best_per_query(scores, part["chunk_id"].to_numpy(), n)
-                    fresh = pd.DataFrame({"col": col, "chunk_id": ids, "dense_score": value})
-                    merged = fresh if kept is None else pd.concat([kept, fresh])
-                    merged = merged.sort_values(["col", "dense_score", "chunk_id"], ascending=[True, False, True])
-                    kept = merged.groupby("col", sort=False).head(n)
-            if kept is not None:
-                yield pd.DataFrame({"query_id": names[kept["col"]], "chunk_id": kept["chunk_id"].to_numpy(), "dense_score": kept["dense_score"].to_numpy()})
-
-        found.append(top_n(corpus.mapInPandas(nearest, f"query_id {query_type}, chunk_id {id_type}, dense_score double"), n, "dense_score"))
-    if not found:
-        return vectors.sparkSession.createDataFrame([], f"query_id {query_type}, chunk_id {id_type}, dense_score double, rank int")
-    return _union(found)
+    met = _vector_blocks(vectors, "chunk_id", CORPUS_VECTORS_PER_BLOCK).crossJoin(_vector_blocks(queries, "query_id", vectors_per_block))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[object, tuple[np.ndarray, pd.DataFrame]] = {}  # by the first query of a block
+        for batch in batches:
+            for ids, matrix, names, asked in batch.itertuples(index=False):
+                left, right = np.frombuffer(matrix, "<f8").reshape(len(ids), -1), np.frombuffer(asked, "<f8").reshape(len(names), -1)
+                scores = np.round(np.maximum(0.0, (1.0 + left @ right.T) / 2.0), RANK_DIGITS)
+                col, found, value = _best_per_query(scores, np.asarray(ids), n)
+                fresh = pd.DataFrame({"col": col, "chunk_id": found, "dense_score": value})
+                if names[0] in kept:
+                    merged = pd.concat([kept[names[0]][1], fresh]).sort_values(["col", "dense_score", "chunk_id"], ascending=[True, False, True])
+                    fresh = merged.groupby("col", sort=False).head(n)
+                kept[names[0]] = (np.asarray(names), fresh)
+        for names, best in kept.values():
+            yield pd.DataFrame({"query_id": names[best["col"]], "chunk_id": best["chunk_id"].to_numpy(), "dense_score": best["dense_score"].to_numpy()})
+
+    return top_n(met.mapInPandas(nearest, f"query_id {query_type}, chunk_id {id_type}, dense_score double"), n, "dense_score")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def corpus_stats(spark, sf):
 def bm25_topk(spark, sf):
     found = retrieval.bm25_search(_index(spark, sf), _benchmark(spark, sf), rc.DEFAULT_TOP_K * rc.CANDIDATE_FACTOR)
     return found.select(
-        "query_id", "chunk_id", "score", F.round("bm25_score", 6).alias("bm25_score"), F.col("rank").cast("long").alias("rank")
+        "query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("bm25_score", 6).alias("bm25_score"), F.col("rank").cast("long").alias("rank")
     )
 
 
@@ -128,7 +128,7 @@ def dense_topk(spark, sf):
     queries = means.select(F.col("label").alias("query_id"), F.transform("mean", lambda v: v / norm).alias("embedding"))
     corpus_vectors = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
     found = retrieval.dense_search(corpus_vectors, queries, rc.DEFAULT_TOP_K * rc.CANDIDATE_FACTOR)
-    return found.select("query_id", "chunk_id", "dense_score", F.col("rank").cast("long").alias("rank"))
+    return found.select("query_id", "chunk_id", F.round("dense_score", 6).alias("dense_score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _candidates(spark, sf):
@@ -139,7 +139,7 @@ def _candidates(spark, sf):
 def rrf_topk(spark, sf):
     final = retrieval.final_ranking(retrieval.rescore(_candidates(spark, sf)), rc.DEFAULT_TOP_K * rc.CANDIDATE_FACTOR)
     return final.select(
-        "query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "dense_score",
+        "query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.round("dense_score", 6).alias("dense_score"),
         F.round("bm25_score", 6).alias("bm25_score"), F.col("rank").cast("long").alias("rank"),
     )
 

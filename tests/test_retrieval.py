@@ -42,7 +42,7 @@ def test_bm25(spark, tmp_path, block):
     index = retrieval.build_index(spark.createDataFrame(list(corpus.items()), "chunk_id string, text string"), str(tmp_path / "i"))
     found = retrieval.bm25_search(index, spark.createDataFrame(list(queries.items()), "query_id long, text string"), 6, block).collect()
     for q, text in queries.items():
-        expected = sorted(((-round(s, 6), k) for k, s in okapi(corpus, text).items()))[:6]
+        expected = sorted(((-round(s, 11), k) for k, s in okapi(corpus, text).items()))[:6]
         got = sorted((r["rank"], r["chunk_id"], r["score"]) for r in found if r["query_id"] == q)
         assert [(k, pytest.approx(-s)) for s, k in expected] == [(k, s) for _, k, s in got]
         if got and got[0][2] > 0:
@@ -60,7 +60,7 @@ def test_dense_with_ties(spark, block):
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
     got = retrieval.dense_search(frame, asked, 7, block).collect()
     for i, q in enumerate(queries):
-        scores = np.round(np.maximum(0, (1 + vectors @ q) / 2), 6)
+        scores = np.round(np.maximum(0, (1 + vectors @ q) / 2), 11)
         expected = sorted(((-s, k) for k, s in enumerate(scores)))[:7]
         rows = sorted((r["rank"], r["chunk_id"], r["dense_score"]) for r in got if r["query_id"] == i)
         assert [(k, s) for _, k, s in rows] == [(k, -s) for s, k in expected]
