@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrispark import schemas
@@ -31,35 +32,41 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    try:
+        spark.read.schema(schemas.CHUNKS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 _STORE_COLUMNS = schemas.CHUNKS.fieldNames()
-BROADCAST_IDS = 1_000_000
 
 
-def write_chunks(spark: SparkSession, chunks: DataFrame, path: str, clear: bool = False, broadcast_ids: int = BROADCAST_IDS) -> None:
+def write_chunks(spark: SparkSession, chunks: DataFrame, path: str, clear: bool = False) -> None:
     """Idempotent upsert keyed by chunk id into an append-only parquet store.
 
     Only rows whose id is new, or whose text or place changed, are written, so a repeated ingest writes nothing and
     an incremental one costs the size of the increment: the increment is staged once, and the store is read for
-    its ids only, without a shuffle while the increment is small enough to broadcast. ``clear`` rebuilds the store.
+    its ids only; Spark broadcasts the increment's ids where it measures them as small. Of rows with one id the one
+    with the greatest content hash is taken. ``clear`` rebuilds the store.
     """
     incoming = (
         chunks.select(*_STORE_COLUMNS).withColumn("content_hash", F.xxhash64("text", "source", "page", "chunk_index"))
-        .dropDuplicates(["chunk_id"]).withColumn("stored_at", F.current_timestamp())
+    )
+    rest = [c for c in incoming.columns if c != "chunk_id"]
+    incoming = (
+        incoming.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), "content_hash").alias("r")).select("chunk_id", "r.*")
+        .withColumn("stored_at", F.current_timestamp())
     )
     if clear or not _store_exists(spark, path):
         incoming.write.mode("overwrite").parquet(path)
         return
-    stage, written = staging_path(spark, "increment"), Observation()
-    incoming.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(stage)
+    stage = staging_path(spark, "increment")
+    incoming.write.parquet(stage)
     staged = spark.read.parquet(stage)
     ids = staged.select("chunk_id")
-    if written.get["n"] <= broadcast_ids:
-        ids = F.broadcast(ids)
     present = spark.read.parquet(path).select("chunk_id", "content_hash", "stored_at").join(ids, "chunk_id", "left_semi")
     current = latest_chunks(present).select("chunk_id", "content_hash")
     staged.join(current, ["chunk_id", "content_hash"], "left_anti").write.mode("append").parquet(path)
