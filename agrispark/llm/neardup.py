@@ -31,7 +31,8 @@ from agrispark.llm.words import WordHashes, texts_of
 
 ESTIMATE = 0.6  # share of equal coordinates from which a pair is checked exactly
 BUCKET_BLOCK = 2048  # members of a bucket compared in one task
-CHECK_BLOCK = 256  # sets checked against others in one task
+CHECK_BLOCK = 256  # sets of a block, checked against those of another
+CHECK_PACK = 2048  # sets that travel together
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], size: int):
@@ -87,48 +88,62 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(sized).filter(agreement("sign_a", "sign_b") >= ESTIMATE)
 
 
+def _similar_pairs(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """For every node of ``a`` one member of ``b``, if any, with a similar set."""
+    members = [np.frombuffer(s, np.uint64) for s in b["shingles_"]]
+    names, sizes = b["node_"].to_numpy(), np.array([len(m) for m in members])
+    owner, values = np.repeat(np.arange(len(members)), sizes), np.concatenate(members)
+    if len(members) > 1:
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+    found = []
+    for node, data in zip(a["node"].to_numpy(), a["shingles"]):
+        own = np.frombuffer(data, np.uint64)
+        lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(members))
+        ok = (100 * both >= percent * (len(own) + sizes - both)) & (names != node)
+        if ok.any():
+            found.append((int(node), int(names[ok.argmax()])))
+    return found
+
+
 def _confirmed(tests: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the nodes and groups of ``tests`` (node, group): one for each block of a group that holds a
-    similar member. ``groups`` has (group, member). Both sides of a group are dealt into blocks."""
+    similar member. ``groups`` has (group, member). Both sides of a group are dealt into blocks, and pairs of blocks are
+    packed together, about CHECK_PACK sets a pack, since most groups are small."""
     block = lambda n: F.ceil(F.col(n) / CHECK_BLOCK)
     shape = (
         tests.groupBy("group").agg(F.count("*").alias("n_left"))
         .join(groups.groupBy("group").agg(F.count("*").alias("n_right")), "group")
-        .select("group", block("n_left").alias("lefts"), block("n_right").alias("rights"))
+        .select("group", "n_left", "n_right", block("n_left").alias("lefts"), block("n_right").alias("rights"))
     )
+    shape = staged(shape, "check-shape")
+    rows = shape.agg(F.sum(F.col("n_left") * F.col("rights") + F.col("n_right") * F.col("lefts"))).first()[0] or 0
+    packs = max(1, -(-rows // CHECK_PACK))
     dealt = lambda who, n: F.pmod(F.xxhash64(who), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pack = F.pmod(F.xxhash64("group", "i", "j"), F.lit(packs))
     left = tests.join(shape, "group").select("group", F.col("node"), dealt("node", "lefts").alias("i"), every("rights").alias("j"))
     right = groups.join(shape, "group").select("group", F.col("member").alias("node"), dealt("member", "rights").alias("j"), "lefts").select(
         "group", "node", "j", every("lefts").alias("i")
     )
-    left = left.join(sets, "node")
-    right = right.join(sets, "node").select(*[F.col(c).alias(f"{c}_") for c in ("group", "i", "j", "node", "shingles")])
+    left = left.withColumn("pack", pack).join(sets, "node")
+    right = right.withColumn("pack", pack).join(sets, "node").select(
+        *[F.col(c).alias(f"{c}_") for c in ("pack", "group", "i", "j", "node", "shingles")]
+    )
 
     def check(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(a) and len(b):
-            members = [np.frombuffer(s, np.uint64) for s in b["shingles_"]]
-            names, sizes = b["node_"].to_numpy(), np.array([len(m) for m in members])
-            owner = np.repeat(np.arange(len(members)), sizes)
-            values = np.concatenate(members)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            for node, data in zip(a["node"], a["shingles"]):
-                own = np.frombuffer(data, np.uint64)
-                lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(members))
-                ok = (100 * both >= percent * (len(own) + sizes - both)) & (names != node)
-                if ok.any():
-                    found.append((int(node), int(names[ok.argmax()])))
+            others = b.groupby(["group_", "i_", "j_"]).indices
+            for name, rows in a.groupby(["group", "i", "j"]).indices.items():
+                if name in others:
+                    found += _similar_pairs(a.iloc[rows], b.iloc[others[name]], percent)
         return pd.DataFrame(found, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
-    return (
-        left.groupBy("group", "i", "j").cogroup(right.groupBy("group_", "i_", "j_"))
-        .applyInPandas(check, "a long, b long")
-    )
+    return left.groupBy("pack").cogroup(right.groupBy("pack_")).applyInPandas(check, "a long, b long")
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
