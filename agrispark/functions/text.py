@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agrispark.functions.numeric import let
 from agrispark.rules import corpus as rc
+from agrispark.rules import lexicon
 
 
 def strip(text: Column) -> Column:
@@ -91,4 +92,4 @@ def query_words(query: Column) -> Column:
     words = F.transform(
         F.split(query, rc.SPACE_CLASS + "+"), lambda w: F.regexp_replace(w, "^[.,!?;:]+|[.,!?;:]+$", "")
     )
-    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: F.lower(w)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > lexicon.HISTORY_WORD_LENGTH), lambda w: F.lower(w)))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from agrispark.functions.numeric import rounded
 from agrispark.rules import crop_profile as cp
-from agrispark.rules import limits
 
 
 def as_features(windows: DataFrame, length: int) -> DataFrame:
@@ -114,10 +113,3 @@ def merge_verdicts(rules: DataFrame, predictions: DataFrame, keys: list[str]) ->
         "verdict": F.coalesce("model_label", "suitability_label"),
         "source": F.when(F.col("model_label").isNotNull(), "model").otherwise("threshold"),
     })
-
-
-def assemble(columns: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
-
-
-WINDOW = limits.SUITABILITY_HISTORY

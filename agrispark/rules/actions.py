@@ -68,5 +68,6 @@ TIMELINES = {
     "Low": "Ongoing monitoring; improvements expected within growing season",
 }
 
+# How many actions are first steps, and what is monitored in any case.
 FIRST_STEPS = 3
 ALWAYS_MONITORED = ("Moisture", "Temperature")

@@ -51,10 +51,6 @@ def crop_profiles(spark: SparkSession) -> DataFrame:
     )
 
 
-def crop_aliases(spark: SparkSession) -> DataFrame:
-    return _local(spark, {"alias": list(cp.CROP_ALIASES), "crop_key": list(cp.CROP_ALIASES.values())})
-
-
 def alert_limits(spark: SparkSession) -> DataFrame:
     names = ["metric", "label", "unit", "column", "limit_min", "limit_max", "low_advice", "high_advice"]
     columns = _by_column(names, limits.ALERT_LIMITS)
