@@ -27,7 +27,8 @@ def stream_latest(spark, sf):
 
 
 def stream_windows(spark, sf):
-    windows = sr.run_to_end(sr.rolling_windows(sr.event_stream(spark, sf)), staging_path(spark, "windows"))
+    """Windows of all readings that the watermark, ten minutes behind the newest, has passed."""
+    windows = sr.run_to_end(sr.rolling_windows(sr.event_stream(spark, sf), sr.WATERMARK), staging_path(spark, "windows"))
     return windows.select(
         "node_id", "event_id", F.size("window").cast("long").alias("length"),
         F.element_at("window", 1)[3].alias("first_moisture"), F.element_at("window", -1)[3].alias("last_moisture"),

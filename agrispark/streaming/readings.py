@@ -39,7 +39,7 @@ def table_pattern(path: str) -> str:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table, a file or a folder of part files, as a stream of readings."""
-    events = spark.readStream.schema(schemas.EVENTS).parquet(table_pattern(f"{sf_dir}/events.parquet"))
+    events = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 100).parquet(table_pattern(f"{sf_dir}/events.parquet"))
     return events.selectExpr(*[e.format(STR="string") for e in EVENT_READING_EXPRS])
 
 
@@ -67,44 +67,52 @@ WINDOW_OUTPUT = T.StructType([
     T.StructField("node_id", T.StringType()), T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampType()), T.StructField("window", _VALUES),
 ])
-_BUFFER = T.StructType([
-    T.StructField("micros", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType())),
-    T.StructField("rows", _VALUES),
-])
-
-
-def rolling_windows(readings: DataFrame, length: int = limits.SUITABILITY_HISTORY, features: list[str] = cp.FEATURES,
-                    watermark: str = WATERMARK) -> DataFrame:
-    """The last ``length`` readings of a node with every reading that fills the buffer.
-
-    State per node is the last length - 1 readings. Rows of one micro-batch are put in time order; a row older than
-    the buffer's newest reading is merged where it belongs but emits no window again.
+_ROWS = [
+    ("micros", T.ArrayType(T.LongType())), ("ids", T.ArrayType(T.LongType())), ("rows", _VALUES),
+]
+_BUFFER = T.StructType(
+    [T.StructField(f"sent_{n}", t) for n, t in _ROWS] + [T.StructField(f"held_{n}", t) for n, t in _ROWS]
+)
+
+
+def rolling_windows(readings: DataFrame, watermark: str, length: int = limits.SUITABILITY_HISTORY,
+                    features: list[str] = cp.FEATURES) -> DataFrame:
+    """The last ``length`` readings of a node for every reading, in time order, as the batch windows give them.
+
+    A reading waits until the watermark passes it, so readings that come late by no more than the watermark are in
+    their place; each reading emits once. State per node is the last length - 1 sent readings and those that wait,
+    which the watermark and the files per trigger bound. Readings later than the watermark are dropped by Spark and
+    counted in the query's progress (``numRowsDroppedByWatermark``).
     """
     features = list(features)
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        micros, ids, rows = ([list(x) for x in state.get] if state.exists else [[], [], []])
-        newest = max(zip(micros, ids), default=(-(2**63), -1))
-        fresh = pd.concat(list(batches)).sort_values(["ts", "event_id"]).drop_duplicates("event_id")
-        stamps = fresh["ts"].astype("datetime64[us]").astype("int64").tolist()
-        values = fresh[features].fillna(0.0).to_numpy("float64").tolist()
-        known = set(ids)
-        merged = sorted(
-            [*zip(micros, ids, map(list, rows)), *[r for r in zip(stamps, fresh["event_id"].tolist(), values) if r[1] not in known]],
-            key=lambda r: (r[0], r[1]),
-        )
+        kept = state.get if state.exists else [[] for _ in range(6)]
+        sent, held = list(zip(*kept[:3])), {r[1]: r for r in zip(*kept[3:])}
+        known = {r[1] for r in sent}
+        for batch in batches:  # none when the timer fires
+            stamps = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
+            values = batch[features].fillna(0.0).to_numpy("float64").tolist()
+            held.update({i: (t, i, v) for t, i, v in zip(stamps, batch["event_id"].tolist(), values) if i not in known})
+        passed = state.getCurrentWatermarkMs()
+        ready = sorted((r for r in held.values() if r[0] // 1000 <= passed), key=lambda r: r[:2])
+        waiting = [r for r in held.values() if r[0] // 1000 > passed]
+        merged = [*sent, *ready]
         out = [
-            (key[0], merged[i][1], pd.Timestamp(merged[i][0], unit="us"), [r[2] for r in merged[i - length + 1:i + 1]])
-            for i in range(length - 1, len(merged)) if (merged[i][0], merged[i][1]) > newest
+            (key[0], merged[i][1], pd.Timestamp(merged[i][0], unit="us"), [list(r[2]) for r in merged[i - length + 1:i + 1]])
+            for i in range(max(length - 1, len(sent)), len(merged))
         ]
-        tail = merged[-(length - 1):] if length > 1 else merged[-1:]
-        state.update(([r[0] for r in tail], [r[1] for r in tail], [list(r[2]) for r in tail]))
+        tail = merged[len(merged) - (length - 1):] if len(merged) >= length else merged
+        unzip = lambda rows: [[r[0] for r in rows], [r[1] for r in rows], [list(r[2]) for r in rows]]
+        state.update(tuple([*unzip(tail if length > 1 else merged[-1:]), *unzip(waiting)]))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(r[0] for r in waiting) // 1000, passed + 1))
         if out:
             yield pd.DataFrame(out, columns=WINDOW_OUTPUT.fieldNames())
 
     slim = with_node_id(readings).select("node_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), *features)
     return slim.withWatermark("ts", watermark).groupBy("node_id").applyInPandasWithState(
-        step, WINDOW_OUTPUT, _BUFFER, "append", GroupStateTimeout.NoTimeout
+        step, WINDOW_OUTPUT, _BUFFER, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
