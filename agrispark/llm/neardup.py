@@ -207,6 +207,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     rooted = members.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
     sizes = rooted.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("n_root"))
+    sizes = staged(sizes, "sizes")  # so a large component's join can split
     rows = rooted.join(several.select("bucket"), "bucket", "left_semi").join(sizes, "root").join(described, "node")
     more = staged(_across(rows, percent), "across")
     grouped = rooted.select(F.col("root").alias("group"), F.col("node").alias("member")).distinct()

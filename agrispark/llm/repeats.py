@@ -204,7 +204,7 @@ def repeated_windows(documents: DataFrame, outlines: DataFrame) -> DataFrame:
         .applyInPandas(lambda key, frame: _subtree(frame), "doc_id long, tag long, starts array<int>")
     )
     nodes = suffixes.filter("anchor IS NULL").select("doc_id", "tag", "node_a", "node_b", "starts")
-    least = nodes.groupBy("node_a", "node_b").agg(F.min("doc_id").alias("least"))
+    least = staged(nodes.groupBy("node_a", "node_b").agg(F.min("doc_id").alias("least")), "least")  # so a hot node's join can split
     deep = nodes.join(least, ["node_a", "node_b"]).filter("doc_id > least").select("doc_id", "tag", "starts")
     return trees.unionByName(deep)
 
