@@ -56,10 +56,11 @@ def verdict_report(readings: DataFrame, model: PipelineModel | None = None) -> D
 
 
 def forecast_samples(readings: DataFrame) -> DataFrame:
-    """48-row windows with the moisture 24 rows later, split by time."""
+    """48-row windows with the moisture 24 rows later, split by time. Readings that lack a feature are left out."""
+    readings = cleanse.complete_rows(readings, cp.FEATURES)
     scaled = sequences.scale(readings, sequences.scaler_params(readings))
     windows = sequences.sliding_windows(
-        cleanse.fill_features(scaled), limits.FORECAST_HISTORY, horizon=limits.FORECAST_HORIZON, target="moisture_pct"
+        scaled, limits.FORECAST_HISTORY, horizon=limits.FORECAST_HORIZON, target="moisture_pct"
     )
     return models.as_features(sequences.chronological_split(windows, ["node_id"]), limits.FORECAST_HISTORY)
 

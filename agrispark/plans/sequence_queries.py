@@ -167,10 +167,36 @@ def verdict_report(spark, sf):
 def forecast_metrics(spark, sf):
     samples = flows.forecast_samples(_readings(spark, sf))
     model = models.fit_forecast(samples.where("split = 'train'"))
-    predicted = model.transform(samples.where("split = 'test'"))
+    predicted = _in_units(model.transform(samples.where("split = 'test'")), cleanse.complete_rows(_readings(spark, sf), cp.FEATURES), ["prediction", "target_value"])
     return models.regression_metrics(predicted, "prediction", "target_value")
 
 
+def _in_units(frame, readings, columns):
+    """Scaled moisture values back in their own unit."""
+    from agrispark.functions.numeric import min_max_unscale
+
+    ends = sequences.scaler_params(readings).where("feature = 'moisture_pct'").agg(F.first(F.struct("data_min", "data_max"))).scalar()
+    low, high = F.col("_e")["data_min"], F.col("_e")["data_max"]
+    return frame.withColumn("_e", ends).withColumns({c: min_max_unscale(F.col(c), low, high) for c in columns}).drop("_e")
+
+
+def line_forecast_metrics(spark, sf):
+    """A line from moisture to moisture a day later, fitted to scaled training pairs, judged in its own unit on test pairs."""
+    from agrispark.functions.numeric import min_max_scale
+
+    readings = _readings(spark, sf)
+    pairs = sequences.future_value(readings, "moisture_pct").where("moisture_pct IS NOT NULL AND future_value IS NOT NULL")
+    split = sequences.chronological_split(pairs, [])
+    ends = sequences.scaler_params(readings).where("feature = 'moisture_pct'").agg(F.first(F.struct("data_min", "data_max"))).scalar()
+    scaled = split.withColumn("_s", ends).select("split", *[
+        min_max_scale(F.col(c), F.col("_s")["data_min"], F.col("_s")["data_max"]).alias(n) for c, n in (("moisture_pct", "x"), ("future_value", "y"))
+    ])
+    line = scaled.where("split = 'train'").agg(F.struct(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))).scalar()
+    test = scaled.where("split = 'test'").withColumn("_l", line).select("y", (F.col("_l")["a"] + F.col("_l")["b"] * F.col("x")).alias("prediction"))
+    metrics = models.regression_metrics(_in_units(test, readings, ["prediction", "y"]), "prediction", "y")
+    return metrics.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2", "residual_mean")])
+
+
 def model_verdicts(spark, sf):
     readings = _readings(spark, sf)
     samples = flows.suitability_samples(readings)
@@ -189,5 +215,5 @@ QUERIES = {f.__name__: f for f in [
     scaler_params, scaled_readings, scaled_with_saved_parameters, unscaled_moisture, windows_24, windows_48_h24, windows_48_h24_one_series,
     chronological_split, chronological_split_per_node, window_labels, label_distribution, class_weights,
     future_moisture, persistence_metrics, residual_histogram, class_argmax, class_share_metrics, merged_verdicts,
-    verdict_report, forecast_metrics, model_verdicts, anomalous_windows,
+    verdict_report, forecast_metrics, line_forecast_metrics, model_verdicts, anomalous_windows,
 ]}

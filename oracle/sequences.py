@@ -24,6 +24,12 @@ _LABEL = "CASE suitability_label WHEN 'Poor' THEN 0 WHEN 'Fair' THEN 1 ELSE 2 EN
 _SUIT_WINDOWS = f"sw AS (SELECT *, row_number() OVER ({_W}) AS rn FROM suit QUALIFY rn >= 24)"
 
 SQL = {
+    "line_forecast_metrics": f"""WITH {TEL}, w AS (SELECT event_id, ts, moisture_pct AS x, lead(moisture_pct, 24) OVER (PARTITION BY node_id ORDER BY ts, event_id) AS y
+          FROM tel WHERE node_id IS NOT NULL AND node_id <> ''),
+        p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, count(*) OVER () AS n FROM w WHERE x IS NOT NULL AND y IS NOT NULL),
+        fit AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p WHERE seq < floor(n * 0.70::DOUBLE)),
+        t AS (SELECT y, y - (a + b * x) AS r FROM p, fit WHERE seq >= floor(n * 0.70::DOUBLE) + floor(n * 0.15::DOUBLE))
+        SELECT count(*) AS n, round(avg(abs(r)), 6) AS mae, round(sqrt(avg(r * r)), 6) AS rmse, round(1 - avg(r * r) / var_pop(y), 6) AS r2, round(avg(r), 6) AS residual_mean FROM t""",
     "scaler_params": f"WITH {TEL} " + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, min(coalesce({c}, 0.0)) AS data_min, max(coalesce({c}, 0.0)) AS data_max FROM tel" for c in MEASURES),
     "scaled_readings": f"WITH {TEL} SELECT event_id, {', '.join('round(' + _SCALE.format(c=c) + ', 9) AS ' + c for c in MEASURES)} FROM tel",
