@@ -17,10 +17,12 @@ from agrispark.rules import limits
 from agrispark.sources import dims
 
 
-def current_alerts(readings: DataFrame, recent_rows: int | None = None, alert_limits: DataFrame | None = None) -> DataFrame:
-    """Alerts on the latest reading of every node, critical first."""
+def current_alerts(readings: DataFrame, recent_rows: int | None = None, alert_limits: DataFrame | None = None,
+                   ordered: bool = True) -> DataFrame:
+    """Alerts on the latest reading of every node, critical first if ``ordered``: a global sort is a shuffle of its own."""
     newest = latest.latest_in_recent_rows(readings, recent_rows) if recent_rows else latest.latest_per_node(readings)
-    return alerts.threshold_alerts(newest, alert_limits).orderBy(*alerts.alert_order())
+    found = alerts.threshold_alerts(newest, alert_limits)
+    return found.orderBy(*alerts.alert_order()) if ordered else found
 
 
 def plans_for(payloads: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

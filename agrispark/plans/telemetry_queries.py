@@ -26,11 +26,11 @@ def _readings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def threshold_alerts(spark, sf):
-    return flows.current_alerts(_readings(spark, sf)).select(*ALERT_COLUMNS)
+    return flows.current_alerts(_readings(spark, sf), ordered=False).select(*ALERT_COLUMNS)
 
 
 def threshold_alerts_recent(spark, sf):
-    return flows.current_alerts(_readings(spark, sf), limits.RECENT_ROWS["alerts"]).select(*ALERT_COLUMNS)
+    return flows.current_alerts(_readings(spark, sf), limits.RECENT_ROWS["alerts"], ordered=False).select(*ALERT_COLUMNS)
 
 
 def threshold_alerts_null_as_zero(spark, sf):
