@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 REMEMBERED = 300_000  # words per worker
 LONGEST_REMEMBERED = 10_000  # a batch with a longer word is forgotten
-PAIRS = 1_000_000  # remembered decisions about neighbouring pieces
+PAIRS = 500_000  # remembered decisions about neighbouring pieces
 BATCH_CHARS = 1_000_000
 NORMAL, UNKNOWN, USER, BYTE, BPE = 1, 2, 4, 6, 2  # types of pieces and of models in the file format
 
@@ -74,7 +74,7 @@ class PieceModel:
             node[""] = i
         self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall if "\n" not in self.trie else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.forget()
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by left * number of pieces + right, and by -1 - piece for standing alone
 
     def merged(self, text: str) -> list[str]:
         """The merges of a short text, best score first, leftmost among equals."""
@@ -91,13 +91,14 @@ class PieceModel:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
     def may_follow(self, left: int, right: int) -> bool:
-        found = self.follows.get((left, right))
+        key = left * len(self.bytes_of) + right
+        found = self.follows.get(key)
         if found is None:
             a, b = self.texts[left], self.texts[right]
             found = self.merged(a + b) == [a, b]
             if len(self.follows) >= PAIRS:
                 self.follows.clear()
-            self.follows[left, right] = found
+            self.follows[key] = found
         return found
 
     def fallback(self, character: str) -> list[int]:
@@ -155,7 +156,7 @@ class PieceModel:
 
     def may_stand(self, text: str) -> bool:
         """Whether merging a piece's own text gives the piece."""
-        key = (-1, self.ids[text])
+        key = -1 - self.ids[text]
         found = self.follows.get(key)
         if found is None:
             found = self.follows[key] = self.merged(text) == [text]
