@@ -161,6 +161,21 @@ def test_near_duplicates_equal_brute_force(docs, size):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [d for d in ids if find(d) == d]
 
 
+def test_low_bytes_of_a_band_are_no_shared_bucket(spark):
+    """Nodes 1 and 2 meet in band 5 only, though the low bytes of all bands agree; 3 and 4 meet in bands 2 and 5."""
+    def row(node, band, apart):
+        names = [k if k in apart else 1000 * node + k for k in range(28)]
+        return names[band], band, node, 100, bytes(112), names, node, 1
+
+    def found(*rows):
+        frame = spark.createDataFrame(list(rows), "bucket long, band int, node long, n long, sign binary, bands array<long>, root long, n_root long")
+        return [tuple(r) for r in neardup._across(frame, 80).collect()]
+
+    assert found(row(1, 5, {5}), row(2, 5, {5})) == [(1, 2)]
+    assert found(row(3, 5, {2, 5}), row(4, 5, {2, 5})) == []
+    assert found(row(3, 2, {2, 5}), row(4, 2, {2, 5})) == [(3, 4)]
+
+
 def test_a_large_group_of_near_copies_is_one_class(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BUCKET_BLOCK", 8)
     monkeypatch.setattr(neardup, "CHECK_BLOCK", 4)
