@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agrispark.operators.cleanse import with_node_id
 from agrispark.plans.telemetry_queries import ALERT_COLUMNS, READING_COLUMNS
 from agrispark.session import staging_path
 from agrispark.sources.corpus import read_chunks
+from agrispark.sources.telemetry import readings_from_events
 from agrispark.streaming import corpus as sc
 from agrispark.streaming import readings as sr
 
@@ -17,9 +19,10 @@ def stream_alerts(spark, sf):
 
 def stream_deduplicated(spark, sf):
     """The events replayed once: every reading arrives twice and passes once."""
-    events = sr.event_stream(spark, sf)
-    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return sr.run_to_end(sr.deduplicated(twice), staging_path(spark, "readings")).select("event_id", "node_id", "moisture_pct")
+    def once(events):
+        return sr.deduplicated(events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy"))
+
+    return sr.drain_in_order(spark, sf, once, staging_path(spark, "readings")).select("event_id", "node_id", "moisture_pct")
 
 
 def stream_latest(spark, sf):
@@ -28,7 +31,7 @@ def stream_latest(spark, sf):
 
 def stream_windows(spark, sf):
     """Windows of all readings that the watermark, ten minutes behind the newest, has passed."""
-    windows = sr.run_to_end(sr.rolling_windows(sr.event_stream(spark, sf), sr.WATERMARK), staging_path(spark, "windows"))
+    windows = sr.drain_in_order(spark, sf, lambda r: sr.rolling_windows(r, sr.WATERMARK), staging_path(spark, "windows"))
     return windows.select(
         "node_id", "event_id", F.size("window").cast("long").alias("length"),
         F.element_at("window", 1)[3].alias("first_moisture"), F.element_at("window", -1)[3].alias("last_moisture"),
@@ -36,9 +39,14 @@ def stream_windows(spark, sf):
 
 
 def stream_silent_nodes(spark, sf):
-    """Nodes silent for twelve hours at the end of the stream, the watermark trailing it by ten minutes."""
-    silent = sr.run_to_end(sr.silence_stream(sr.event_stream(spark, sf), 12 * 3600), staging_path(spark, "silent"))
-    return silent.select("node_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+    """Nodes silent for twelve hours at the end of the stream, the watermark trailing it by ten minutes.
+
+    The stream also reports nodes that came back later; only a silence after a node's newest reading lasts to the end.
+    """
+    silent = sr.drain_in_order(spark, sf, lambda r: sr.silence_stream(r, 12 * 3600), staging_path(spark, "silent"))
+    silent = silent.select("node_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+    newest = with_node_id(readings_from_events(spark, sf)).groupBy("node_id").agg(F.max("ts").alias("last_seen"))
+    return silent.join(newest, ["node_id", "last_seen"], "left_semi")
 
 
 def stream_chunk_store(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +15,10 @@ from agrispark.operators.alerts import threshold_alerts
 from agrispark.operators.cleanse import with_node_id
 from agrispark.rules import crop_profile as cp
 from agrispark.rules import limits
-from agrispark.sources.telemetry import EVENT_READING_EXPRS
+from agrispark.sources.telemetry import EVENT_READING_EXPRS, readings_from_events
 
 WATERMARK = "10 minutes"
+SLICE_ROWS = 1_000_000  # readings of a micro-batch when a table is streamed in time order, about
 
 
 def reading_stream(spark: SparkSession, path: str, fmt: str = "json", max_files: int = 100) -> DataFrame:
@@ -38,7 +39,10 @@ def table_pattern(path: str) -> str:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table, a file or a folder of part files, as a stream of readings."""
+    """The events table, a file or a folder of part files, as a stream of readings.
+
+    Files come in no order of time: for stateless and order-free streams only. With a watermark, ``drain_in_order``.
+    """
     events = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 100).parquet(table_pattern(f"{sf_dir}/events.parquet"))
     return events.selectExpr(*[e.format(STR="string") for e in EVENT_READING_EXPRS])
 
@@ -152,6 +156,35 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
+def drain_in_order(
+    spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], path: str, slice_rows: int | None = None
+) -> DataFrame:
+    """The result of the stream ``build(readings)`` over the whole events table, whatever its files and their order.
+
+    The table is written once in slices of time, about ``slice_rows`` (``SLICE_ROWS``) each. They arrive one after the other, a micro-batch
+    each, on one checkpoint, so no reading is ever behind the watermark; if Spark drops one nevertheless, the job fails.
+    """
+    readings = readings_from_events(spark, sf_dir)
+    slices = max(1, -(-readings.count() // (slice_rows or SLICE_ROWS)))
+    ordered, arrived = f"{path}/ordered", f"{path}/arrived"
+    placed = readings.repartitionByRange(slices, "ts").withColumn("slice", F.spark_partition_id())
+    placed.write.partitionBy("slice").parquet(ordered)
+    filled = spark.read.schema(placed.schema).parquet(ordered).select("slice").distinct().collect()
+    for k in sorted(r["slice"] for r in filled) or [None]:
+        now = readings.limit(0) if k is None else spark.read.schema(readings.schema).parquet(f"{ordered}/slice={k}")
+        now.write.mode("append").parquet(arrived)
+        stream = build(spark.readStream.schema(readings.schema).parquet(arrived))
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True).start(f"{path}/data")
+        )
+        query.awaitTermination()
+        late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+        if late:
+            raise RuntimeError(f"{late} readings of slice {k} came behind the watermark")
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
 def run_latest_to_end(stream: DataFrame, path: str) -> DataFrame:
     """Drain an update-mode state stream into a log of updates and return the newest row per node."""
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from agrispark.functions.numeric import one_decimal
@@ -10,6 +11,8 @@ from agrispark.operators import alerts, scoring, sequences
 from agrispark.plans import flows, stream_queries, telemetry_queries
 from agrispark.rules import actions as ra
 from agrispark.sources import dims
+from agrispark.sources.telemetry import readings_from_events
+from agrispark.streaming import readings
 
 SF = "/root/testdata/sf0.001"
 PAYLOAD = "id long, soil_ph double, soil_moisture double, soil_temperature double, nitrogen_ppm double, phosphorus_ppm double, potassium_ppm double, electrical_conductivity double, organic_matter_percent double"
@@ -29,6 +32,36 @@ def test_streams_read_folders_like_files(spark, folder_tables, query):
     assert count > 0 and query(spark, folder_tables).count() == count
 
 
+@pytest.fixture(scope="module")
+def shuffled_parts(spark, tmp_path_factory):
+    """The events in over 300 part files, each from all times; Spark drops late rows from the third micro-batch on."""
+    base = tmp_path_factory.mktemp("parts")
+    spark.read.parquet(f"{SF}/events.parquet").repartition(320, F.xxhash64("event_id")).write.parquet(f"{base}/events.parquet")
+    assert len(list((base / "events.parquet").glob("*.parquet"))) > 200
+    return str(base)
+
+
+@pytest.mark.parametrize("name", ["stream_deduplicated", "stream_windows", "stream_silent_nodes"])
+def test_streams_behind_a_watermark_read_every_part(spark, shuffled_parts, name, monkeypatch):
+    """Over more part files than a micro-batch takes, and in several slices of time, the result is the batch result."""
+    monkeypatch.setattr(readings, "SLICE_ROWS", 300, raising=False)
+    events = readings_from_events(spark, SF)
+    end = events.agg(F.max("ts")).first()[0] - dt.timedelta(minutes=10)
+    if name == "stream_deduplicated":
+        expected = events.select("event_id", "node_id", "moisture_pct")
+    elif name == "stream_silent_nodes":
+        last = events.groupBy("node_id").agg(F.max("ts").alias("last_seen"))
+        expected = last.where(F.col("last_seen") <= F.lit(end - dt.timedelta(hours=12)).cast("timestamp_ntz"))
+    else:
+        order = Window.partitionBy("node_id").orderBy("ts", "event_id")
+        old, new = F.coalesce(F.lag("moisture_pct", 23).over(order), F.lit(0.0)), F.coalesce("moisture_pct", F.lit(0.0))
+        numbered = events.select("node_id", "event_id", F.lit(24).alias("length"), old.alias("a"), new.alias("b"), "ts", F.row_number().over(order).alias("rn"))
+        expected = numbered.where((F.col("rn") >= 24) & (F.col("ts") <= F.lit(end).cast("timestamp_ntz"))).drop("rn", "ts")
+    wanted = sorted(map(str, map(tuple, expected.collect())))
+    got = sorted(map(str, map(tuple, getattr(stream_queries, name)(spark, shuffled_parts).collect())))
+    assert wanted and got == wanted
+
+
 def test_healthy_payloads_have_a_plan(spark):
     payloads = spark.createDataFrame([(1, 6.5, 22.0, 24.0, None, None, None, None, None), (2, 3.0, 22.0, 24.0, None, None, None, None, None), (3, *[None] * 8)], PAYLOAD)
     _, summary = flows.plans_for(payloads, ["id"])
