@@ -5,7 +5,8 @@ A window of ``WINDOW`` words goes if the same words also start a window of a doc
 Suffixes are partitioned by prefixes. Of every window's runs of ``PREFIX`` words the one with the least hash is its
 anchor, so equal windows have equal anchors at equal places, and a few per cent of a text's positions are anchors. The
 suffixes around an anchor go to the partition that its run of words names; a prefix that only one document has is
-dropped, since nothing below it can repeat. Prefixes that keep up to ``HEAVY`` suffixes are packed into groups that fit in memory, and
+dropped, since nothing below it can repeat. Prefixes that keep up to ``HEAVY`` suffixes, counted with every repetition
+within a document, and ``HEAVY_WORDS`` words are packed into groups that fit in memory, and
 each group's subtree is built by naming ever longer words (1, 2, 4 ... ``WINDOW``), which sorts its suffixes; leaves that
 share a node of depth ``WINDOW`` are its deep repeats. A heavier prefix is lengthened to the full depth at once: its
 nodes are then named by 128-bit hashes, the smallest document per node is combined before the shuffle, and no group
@@ -37,7 +38,10 @@ from agrispark.llm.words import WordHashes, mixed, texts_of
 WINDOW = 50
 PREFIX = 8
 HEAVY = 4096  # suffixes of a prefix up to which its subtree is built in memory
+HEAVY_WORDS = 1 << 19  # words of a prefix's suffixes up to which
 GROUP = 8192  # suffixes that a group of prefixes holds, about
+GROUP_WORDS = 1 << 20  # and words
+FLUSH = 4096  # rows of suffixes that a batch holds
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -98,7 +102,14 @@ def _plain(documents: DataFrame) -> DataFrame:
 
 
 def _outlines(documents: DataFrame) -> DataFrame:
-    """doc_id, tag, n_words, sequence (name of all its words), whole_sha256 and the distinct anchors of every document."""
+    """doc_id, tag, n_words, sequence (name of all its words), whole_sha256 and the distinct anchors of every document,
+    with the suffixes of each and the words that these cover."""
+    def counted(words: np.ndarray) -> list[dict]:
+        found, _, windows = anchors(words)
+        names, which, times = np.unique(found, return_inverse=True, return_counts=True)
+        covered = np.bincount(which, weights=windows + WINDOW - 1, minlength=len(names)).astype(np.int64)
+        return [{"anchor": a, "times": n, "words": w} for a, n, w in zip(names.view(np.int64).tolist(), times.tolist(), covered.tolist())]
+
     def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(seed=17, lower=False)
         for batch in batches:
@@ -111,11 +122,12 @@ def _outlines(documents: DataFrame) -> DataFrame:
                     rows["doc_id"], rows["tag"], pa.array([len(w) for w in own], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in own], pa.binary()),
                     pa.array([hashlib.sha256(b" ".join(data[a:b].tobytes().split())).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]),
-                    pa.array([np.unique(anchors(w)[0]).view(np.int64).tolist() for w in own], pa.list_(pa.int64())),
+                    pa.array([counted(w) for w in own], pa.list_(pa.struct([("anchor", pa.int64()), ("times", pa.int64()), ("words", pa.int64())]))),
                 ], ["doc_id", "tag", "n_words", "sequence", "whole_sha256", "anchors"])
 
     return _plain(documents).mapInArrow(
-        outlined, "doc_id long, tag long, n_words long, sequence binary, whole_sha256 string, anchors array<long>"
+        outlined, "doc_id long, tag long, n_words long, sequence binary, whole_sha256 string, "
+        "anchors array<struct<anchor: long, times: long, words: long>>"
     )
 
 
@@ -133,6 +145,7 @@ def _suffixes(chosen: DataFrame) -> DataFrame:
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unpack = WordHashes(seed=17, lower=False), zstandard.ZstdDecompressor().decompress
         rows: list[tuple] = []
+        full = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         for batch in batches:
             for doc_id, tag, packed, light, heavy in zip(*(batch[c] for c in ("doc_id", "tag", "packed", "light", "heavy"))):
                 data = np.frombuffer(unpack(packed.as_py()), np.uint8)
@@ -143,6 +156,9 @@ def _suffixes(chosen: DataFrame) -> DataFrame:
                 for k in np.flatnonzero(np.isin(marks, np.array(light.as_py() or [], np.int64))):
                     span = words[first[k]:first[k] + count[k] + WINDOW - 1]
                     rows.append((*key, int(marks[k]), int(first[k]), int(count[k]), span.tobytes(), None, None, None))
+                    if len(rows) >= FLUSH:
+                        yield full()
+                        rows = []
                 if heavy.as_py():
                     some = np.flatnonzero(np.isin(marks, np.array(heavy.as_py(), np.int64)))
                     starts = np.concatenate([np.arange(first[k], first[k] + count[k]) for k in some])
@@ -152,11 +168,11 @@ def _suffixes(chosen: DataFrame) -> DataFrame:
                     cuts = np.flatnonzero(np.diff(a, prepend=a[0] - 1) | np.diff(b, prepend=b[0] - 1))
                     for i, j in zip(cuts, np.append(cuts[1:], len(a))):
                         rows.append((*key, None, None, None, None, int(a[i]), int(b[i]), starts[i:j].tolist()))
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows = []
+                        if len(rows) >= FLUSH:
+                            yield full()
+                            rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            yield full()
 
     return chosen.mapInArrow(collected, _SUFFIXES)
 
@@ -182,15 +198,20 @@ def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def _shared_prefixes(outlines: DataFrame) -> DataFrame:
+    """(anchor, is_heavy) of the prefixes that several documents have; all their suffixes count, within documents too."""
+    return (
+        outlines.filter("NOT copy").select("doc_id", F.inline("anchors")).groupBy("anchor")
+        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("times").alias("n"), F.sum("words").alias("n_words"))
+        .filter("least < most").select("anchor", ((F.col("n") > HEAVY) | (F.col("n_words") > HEAVY_WORDS)).alias("is_heavy"))
+    )
+
+
 def repeated_windows(documents: DataFrame, outlines: DataFrame) -> DataFrame:
     """(doc_id, tag, starts) of the repeated windows of documents whose words no smaller document has as a whole."""
-    shared = staged(
-        outlines.filter("NOT copy").select("doc_id", F.explode("anchors").alias("anchor")).groupBy("anchor")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-        .filter("least < most").select("anchor", (F.col("n") > HEAVY).alias("is_heavy")), "shared-prefixes",
-    )
+    shared = staged(_shared_prefixes(outlines), "shared-prefixes")
     per_document = (
-        outlines.filter("NOT copy").select("doc_id", "tag", F.explode("anchors").alias("anchor")).join(shared, "anchor")
+        outlines.filter("NOT copy").select("doc_id", "tag", F.explode("anchors.anchor").alias("anchor")).join(shared, "anchor")
         .groupBy("doc_id", "tag").agg(
             F.collect_list(F.when(~F.col("is_heavy"), F.col("anchor"))).alias("light"),
             F.collect_list(F.when(F.col("is_heavy"), F.col("anchor"))).alias("heavy"),
@@ -198,7 +219,8 @@ def repeated_windows(documents: DataFrame, outlines: DataFrame) -> DataFrame:
     )
     suffixes = staged(_suffixes(_packed(documents).join(per_document, ["doc_id", "tag"])), "suffixes")
     light = suffixes.filter("anchor IS NOT NULL").select("doc_id", "tag", "anchor", "start", "windows", "words")
-    groups = max(1, -(-light.count() // GROUP))
+    held = light.agg(F.count("*").alias("n"), F.sum(F.col("windows") + F.lit(WINDOW - 1)).alias("n_words")).first()
+    groups = max(1, -(-held["n"] // GROUP), -(-(held["n_words"] or 0) // GROUP_WORDS))
     trees = (
         light.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups))).groupBy("group")
         .applyInPandas(lambda key, frame: _subtree(frame), "doc_id long, tag long, starts array<int>")

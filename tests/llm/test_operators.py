@@ -395,3 +395,31 @@ def test_quality_is_learnt_and_calibrated(spark):
 def test_pooling_is_monotone():
     knots, values = quality.pooled(np.arange(5.0), np.array([1.0, 0.0, 3.0, 1.0, 4.0]), np.array([2, 2, 4, 4, 4]))
     assert (np.diff(values) > 0).all() and (np.diff(knots) > 0).all() and values[-1] == 1.0 and values[0] == 0.25
+
+
+def test_a_prefix_repeated_within_a_document_is_heavy(spark):
+    """Two documents share a prefix that one of them repeats a thousand times: its suffixes are no light group."""
+    rng = random.Random(6)
+    passage = prose(rng, 60)
+    texts = [(1, passage + " " + prose(rng, 20)), (2, " ".join([passage] * 6000))]
+    outlines = repeats._outlines(spark.createDataFrame(texts, "doc_id long, text string")).withColumn("copy", F.lit(False))
+    assert any(r["is_heavy"] for r in repeats._shared_prefixes(outlines).collect())
+    frame = spark.createDataFrame([texts[0], (2, " ".join([passage] * 2)), (3, "a " * 9000)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.removals(frame).collect()}
+    assert got == {1: (80, 0), 2: (120, 120), 3: (9000, 0)}
+
+
+def test_suffixes_of_one_document_leave_in_batches(monkeypatch):
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(repeats, "FLUSH", 10)
+    words = WordHashes(seed=17, lower=False).of(np.frombuffer(b"a " * 500, np.uint8), np.array([0, 1000]))[0]
+    anchor = int(repeats.anchors(words)[0].view(np.int64)[0])
+    row = pa.RecordBatch.from_pydict({"doc_id": [1], "tag": [1], "packed": [zstandard.compress(b"a " * 500)], "light": [[anchor]], "heavy": [[]]})
+
+    class Chosen:
+        def mapInArrow(self, collected, schema):
+            return list(collected(iter([row])))
+
+    assert max(len(b) for b in repeats._suffixes(Chosen())) <= 10
