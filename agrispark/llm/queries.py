@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators, over the whole ``documents`` table."""
+"""Registered queries of the training-data operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrispark.llm import katz, language, media, mixing, neardup, phrases, pieces, quality, repeats, tokencount
+from agrispark.llm import (
+    katz, language, media, mixing, neardup, phrases, pieces, quality, repeats, resampling, sharding, tokencount, veccodes,
+)
 from agrispark.llm.folds import fold
 
 
@@ -59,6 +61,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(documents(spark, sf_dir), fold(F.col("doc_id"), 4) == 2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_resharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.grown(documents(spark, sf_dir))
+
+
+def op13_importance_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_ranks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op3_lm_scores, op4_near_duplicates, op5_quality, op6_phrase_fingerprints, op7_repeated_passages, op8_token_counts, op9_media_columns, op10_language)
+    f.__name__: f for f in (
+        op1_sentencepiece, op2_source_mix, op3_lm_scores, op4_near_duplicates, op5_quality, op6_phrase_fingerprints,
+        op7_repeated_passages, op8_token_counts, op9_media_columns, op10_language, op11_vector_codes, op12_resharded,
+        op13_importance_ranks,
+    )
 }
