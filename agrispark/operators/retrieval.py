@@ -26,7 +26,8 @@ from agrispark.rules import corpus as rc
 QUERY_TERMS_PER_BLOCK = 500_000
 QUERY_VECTORS_PER_BLOCK = 1_024
 CORPUS_VECTORS_PER_BLOCK = 2_048
-RANK_DIGITS = 11  # scores are ranked this fine: only the noise of summation order, which would split equal texts, goes
+SCORE_UNITS = 1e9  # sparse contributions are whole numbers of this fraction: their sums don't hang on any order
+GRID = float(1 << 26)  # unit vectors are laid on this grid: products and their sums are whole numbers below 2**53, exact
 
 
 @dataclass
@@ -105,6 +106,32 @@ def top_n(scored: DataFrame, n: int, score: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
+def saturation(index: SparseIndex) -> Column:
+    """What term frequency and length make of a posting, before the query's weight."""
+    k1, b = rc.BM25_K1, rc.BM25_B
+    share = F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.lit(index.mean_length or 1.0)
+    return F.col("tf") * (k1 + 1.0) / (F.col("tf") + F.lit(k1) * share)
+
+
+def contribution(term_weight: Column, query_weight: Column) -> Column:
+    """A term's part of a score in whole units; it grows with the term's weight if the query's weight is positive."""
+    return F.floor(term_weight * query_weight * F.lit(SCORE_UNITS) + F.lit(0.5)).cast("long")
+
+
+def weighted_terms(index: SparseIndex, counted: DataFrame) -> DataFrame:
+    """(query_id, term, query_weight) of the query terms that the corpus has."""
+    return counted.join(idf(index), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("query_weight"))
+
+
+def with_share_of_best(found: DataFrame) -> DataFrame:
+    score = F.col("units") / F.lit(SCORE_UNITS)
+    best = F.max("units").over(W.partitionBy("query_id")) / F.lit(SCORE_UNITS)
+    return found.withColumn("score", score).withColumn("_best", best).select(
+        "query_id", "chunk_id", "score",
+        (F.col("score") / F.when(F.col("_best") > 0, F.col("_best")).otherwise(F.lit(1.0))).alias("bm25_score"), "rank",
+    )
+
+
 def bm25_search(index: SparseIndex, queries: DataFrame, n: int, terms_per_block: int = QUERY_TERMS_PER_BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, bm25_score, rank): best n matching chunks per query.
 
@@ -113,29 +140,22 @@ def bm25_search(index: SparseIndex, queries: DataFrame, n: int, terms_per_block:
     """
     counted = query_terms(queries)
     size = counted.count()
-    terms = counted.join(idf(index), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("query_weight"))
-    k1, b = rc.BM25_K1, rc.BM25_B
-    share = F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.lit(index.mean_length or 1.0)
-    saturation = F.col("tf") * (k1 + 1.0) / (F.col("tf") + F.lit(k1) * share)
+    terms = weighted_terms(index, counted)
     found = []
     for block in _blocks(terms, size, terms_per_block):
         vocabulary = F.broadcast(block.select("term").distinct())
         matched = (
             index.postings.join(vocabulary, "term", "left_semi")
-            .select("chunk_id", "term", saturation.alias("term_weight")).repartition("chunk_id")
+            .select("chunk_id", "term", saturation(index).alias("term_weight")).repartition("chunk_id")
         )
         pairs = matched.join(F.broadcast(block), "term").groupBy("chunk_id", "query_id").agg(
-            F.sum(F.col("term_weight") * F.col("query_weight")).alias("_raw")
+            F.sum(contribution(F.col("term_weight"), F.col("query_weight"))).alias("units")
         )
-        found.append(top_n(pairs.withColumn("score", F.round("_raw", RANK_DIGITS)).drop("_raw"), n, "score"))
-    best = F.max("score").over(W.partitionBy("query_id"))
-    return _union(found).withColumn("_best", best).select(
-        "query_id", "chunk_id", "score",
-        (F.col("score") / F.when(F.col("_best") > 0, F.col("_best")).otherwise(F.lit(1.0))).alias("bm25_score"), "rank",
-    )
+        found.append(top_n(pairs, n, "units"))
+    return with_share_of_best(_union(found))
 
 
-def _best_per_query(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_per_query(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, id, score) of the n best rows per column; ties go to the smaller id."""
     if len(ids) > n:
         edge = np.partition(scores, len(ids) - n, axis=0)[len(ids) - n]
@@ -152,19 +172,24 @@ def _best_per_query(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.nda
 
 
 def _vector_blocks(frame: DataFrame, name: str, rows: int) -> DataFrame:
-    """Blocks of vectors as (names, vectors): ids and one matrix of little-endian doubles."""
+    """Blocks of vectors as (names, vectors): ids and one matrix of whole numbers in little-endian doubles."""
     kind = frame.schema[name].dataType.simpleString()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), rows):
                 part = batch.iloc[start:start + rows]
-                matrix = np.stack(part["embedding"]).astype("<f8")
+                matrix = np.floor(np.stack(part["embedding"]).astype("<f8") * GRID + 0.5)
                 yield pd.DataFrame({f"{name}s": [part[name].to_numpy()], f"{name}_vectors": [matrix.tobytes()]})
 
     return frame.select(name, "embedding").mapInPandas(pack, f"{name}s array<{kind}>, {name}_vectors binary")
 
 
+def likeness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(1 + cosine) / 2 of all pairs of unit vectors on the grid, the same whatever the order of summation."""
+    return np.maximum(0.0, (1.0 + (left @ right.T) / (GRID * GRID)) / 2.0)
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, n: int, vectors_per_block: int = QUERY_VECTORS_PER_BLOCK) -> DataFrame:
     """(query_id, chunk_id, dense_score, rank): nearest n vectors per query vector, exact.
 
@@ -181,8 +206,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, n: int, vectors_per_blo
         for batch in batches:
             for ids, matrix, names, asked in batch.itertuples(index=False):
                 left, right = np.frombuffer(matrix, "<f8").reshape(len(ids), -1), np.frombuffer(asked, "<f8").reshape(len(names), -1)
-                scores = np.round(np.maximum(0.0, (1.0 + left @ right.T) / 2.0), RANK_DIGITS)
-                col, found, value = _best_per_query(scores, np.asarray(ids), n)
+                scores = likeness(left, right)
+                col, found, value = best_per_query(scores, np.asarray(ids), n)
                 fresh = pd.DataFrame({"col": col, "chunk_id": found, "dense_score": value})
                 if names[0] in kept:
                     merged = pd.concat([kept[names[0]][1], fresh]).sort_values(["col", "dense_score", "chunk_id"], ascending=[True, False, True])

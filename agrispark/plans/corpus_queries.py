@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agrispark.functions import text as tx
-from agrispark.operators import cleanse, context, corpus, retrieval
+from agrispark.operators import cells, cleanse, context, corpus, pruned, retrieval
 from agrispark.plans import flows
 from agrispark.rules import corpus as rc
 from agrispark.session import staging_path
@@ -128,6 +128,28 @@ def bm25_topk(spark, sf):
     )
 
 
+def _pruned(spark, sf):
+    path, index = staging_path(spark, "pruned"), _index(spark, sf)
+    bounds = pruned.impact_bounds(index, f"{path}/bounds")
+    return index, pruned.pruned_search(index, bounds, _benchmark(spark, sf), rc.DEFAULT_TOP_K * rc.CANDIDATE_FACTOR, path)
+
+
+def bm25_pruned_topk(spark, sf):
+    """The rows of ``bm25_topk`` from a search that skips what can't be among them."""
+    found = _pruned(spark, sf)[1].rows
+    return found.select(
+        "query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("bm25_score", 6).alias("bm25_score"), F.col("rank").cast("long").alias("rank")
+    )
+
+
+def bm25_pruned_pairs(spark, sf):
+    """Pairs of chunk and query term in the corpus, and whether fewer had to be formed to find candidates."""
+    index, search = _pruned(spark, sf)
+    every = retrieval.query_terms(_benchmark(spark, sf)).join(index.vocabulary, "term").agg(F.sum("df").alias("all_pairs"))
+    formed = search.pairs.where("step = 'essential'").agg(F.sum("formed").alias("formed"))
+    return every.join(formed).select("all_pairs", (F.col("formed") < F.col("all_pairs")).alias("fewer"))
+
+
 def dense_topk(spark, sf):
     """Vectors nearest to the unit-length mean vector of each label."""
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -142,6 +164,33 @@ def dense_topk(spark, sf):
     return found.select("query_id", "chunk_id", F.round("dense_score", 6).alias("dense_score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _cells(spark, sf):
+    """Vectors by cell, and as queries those whose id is divisible by 100."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    queries = vectors.where(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    path = staging_path(spark, "cells")
+    return vectors, queries, cells.build_cells(vectors, path, cells.fit_centres(vectors)), path
+
+
+def cells_topk(spark, sf):
+    """The vectors nearest to each query, from an inverted file searched until no other cell can have a nearer one."""
+    _, queries, index, path = _cells(spark, sf)
+    found = cells.cell_search(index, queries, rc.DEFAULT_TOP_K * rc.CANDIDATE_FACTOR, 1, path, exact=True)
+    return found.select("query_id", "chunk_id", F.round("dense_score", 6).alias("dense_score"), F.col("rank").cast("long").alias("rank"))
+
+
+def cells_recall(spark, sf):
+    """Vectors in the inverted file, rows asked for, and whether the probed cells alone have nine tenths of them."""
+    vectors, queries, index, path = _cells(spark, sf)
+    n = rc.DEFAULT_TOP_K * rc.CANDIDATE_FACTOR
+    found = cells.cell_search(index, queries, n, cells.enough_probes(index, n), path).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    whole = retrieval.dense_search(vectors, queries, n).join(found, ["query_id", "chunk_id"], "left")
+    recall = whole.agg(F.count(F.lit(1)).alias("asked"), F.count("hit").alias("hits"))
+    return index.cells.agg(F.sum("rows").alias("indexed")).join(recall).select(
+        "indexed", "asked", (F.col("hits") >= 0.9 * F.col("asked")).alias("recalled")
+    )
+
+
 def _candidates(spark, sf):
     chunks, queries = _document_chunks(spark, sf), _benchmark(spark, sf)
     return flows.hybrid_candidates(_index(spark, sf), retrieval.letter_profiles(chunks), queries, retrieval.letter_profiles(queries))
@@ -188,6 +237,6 @@ def hashed_retrieval(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     clean_documents, boilerplate_removed, chunk_ids, long_enough_chunks, ingest_stats, document_chunks, chunk_coverage, chunk_store,
-    token_stats, term_frequencies, corpus_stats, bm25_topk, dense_topk, rrf_topk, retrieval_context, context_budget,
+    token_stats, term_frequencies, corpus_stats, bm25_topk, bm25_pruned_topk, bm25_pruned_pairs, dense_topk, cells_topk, cells_recall, rrf_topk, retrieval_context, context_budget,
     relevance_cut, hashed_retrieval,
 ]}

