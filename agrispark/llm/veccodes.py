@@ -29,9 +29,9 @@ from agrispark.llm.staging import staged
 from agrispark.session import spread
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
-COARSE = 4  # coefficients summed for all entries before the first are ruled out
-STEP = 4  # coefficients between two later eliminations
-ROWS = 256  # parts compared at once
+STEP = 4  # coefficients between two eliminations
+FEW = 8  # once one entry in so many is left, only those that are left are compared
+ROWS = 128  # parts compared at once: their sums stay in a core's cache
 
 
 @dataclass
@@ -72,18 +72,24 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     columns = np.ascontiguousarray(entries.T)
     for start in range(0, len(x), ROWS):
         rows = x[start:start + ROWS]
-        sums = np.zeros((len(rows), len(entries)), x.dtype)
-        for c in range(min(COARSE, size)):
-            apart = rows[:, c, None] - columns[c]
-            apart *= apart
-            sums += apart
-        leader = rows - entries[sums.argmin(1)]
-        limit = (leader * leader).sum(1, dtype=x.dtype)
-        row, entry = np.nonzero(sums <= limit[:, None])
+        sums, apart = np.zeros((2, len(rows), len(entries)), x.dtype)
+        done, limit = 0, np.full(len(rows), np.iinfo(x.dtype).max, x.dtype)
+        while True:
+            for c in range(done, min(done + STEP, size)):
+                np.subtract(rows[:, c, None], columns[c], out=apart)
+                np.multiply(apart, apart, out=apart)
+                sums += apart
+            done = min(done + STEP, size)
+            leader = rows - entries[sums.argmin(1)]
+            limit = np.minimum(limit, (leader * leader).sum(1, dtype=x.dtype))
+            left = sums <= limit[:, None]
+            if done == size or np.count_nonzero(left) * FEW <= left.size:
+                break
+        row, entry = np.nonzero(left)
         so_far = sums[row, entry]
-        for c in range(COARSE, size, STEP):
-            apart = rows[row, c:c + STEP] - entries[entry, c:c + STEP]
-            so_far = so_far + (apart * apart).sum(1, dtype=x.dtype)
+        for c in range(done, size, STEP):
+            far = rows[row, c:c + STEP] - entries[entry, c:c + STEP]
+            so_far = so_far + (far * far).sum(1, dtype=x.dtype)
             left = so_far <= limit[row]
             row, entry, so_far = row[left], entry[left], so_far[left]
         least = np.minimum.reduceat(so_far, np.searchsorted(row, np.arange(len(rows))))
@@ -123,7 +129,7 @@ def _parts(column: pa.Array, width: int, parts: int, kind: type) -> np.ndarray:
 
 def _first_entries(kept: DataFrame, parts: int, width: int, entries: int) -> np.ndarray:
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).select("x").collect()
-    return np.array([r["x"] for r in first], np.int64).reshape(-1, parts, width).swapaxes(0, 1)
+    return np.array([r["x"] for r in first], np.int64).reshape(len(first), parts, width).swapaxes(0, 1)
 
 
 def _moved(kept: DataFrame, books: np.ndarray, kind: type) -> np.ndarray:
