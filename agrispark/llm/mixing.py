@@ -76,7 +76,7 @@ def _running(rows: DataFrame, keys: list[str], order: list[str], value: str, nam
     within = Window.partitionBy("part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         placed.withColumn(name, F.sum(value).over(within))
-        .join(F.broadcast(offsets) if not keys else offsets, ["part", *keys])
+        .join(offsets, ["part", *keys])
         .withColumn(name, F.col(name) + F.col("offset")).drop("part", "offset")
     )
 
@@ -90,7 +90,7 @@ def mix(
         documents.select(
             "doc_id", n_words(F.col("text")).alias("size"), F.coalesce(F.col("source"), F.lit("")).alias("name"),
             F.col("source").isNull().alias("unnamed"), shuffle_key().alias("shuffled"),
-        ), "mix-sizes",
+        ).withColumn("row", F.monotonically_increasing_id()), "mix-sizes",
     )
     per_source = sized.groupBy("name", "unnamed").agg(F.sum("size").alias("source_size"))
     targets = source_targets(
@@ -100,7 +100,7 @@ def mix(
     order = ["shuffled", "doc_id", "size"]
     served = _running(sized, ["name", "unnamed"], order, "size", "served", parts).join(targets, ["name", "unnamed"])
     copies = served.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).select(
-        "doc_id", "name", "unnamed", "shuffled", "size", "source_size", "target", "served", "pass",
+        "row", "doc_id", "name", "unnamed", "shuffled", "size", "source_size", "target", "served", "pass",
         ((F.col("served") + F.col("pass") * F.col("source_size")) / F.col("weight")).alias("finish"),
     )
     queued = _running(
@@ -109,7 +109,7 @@ def mix(
     total = (sized.agg(F.sum("size")).first()[0] or 0) * float(budget)
     return (
         queued.withColumn("took", (F.col("queued") <= F.lit(total)) & (F.col("size") > 0))
-        .groupBy("doc_id", "shuffled", "name", "unnamed", "served", "size", "source_size", "target")
+        .groupBy("row", "doc_id", "shuffled", "name", "unnamed", "size", "source_size", "target")
         .agg(F.sum(F.col("took").cast("long")).alias("times"))
         .select(
             "doc_id", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"),

@@ -6,26 +6,24 @@ files (9), flows over stored blocks (12). Those are tested against brute force,
 
 from __future__ import annotations
 
-from agrispark.llm import mixing, repeats
-
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SOURCE_MIX = f"""
 WITH sized AS (
-  SELECT doc_id, source, len({_WORDS.format(text="text")})::BIGINT AS size,
+  SELECT row_number() OVER () AS row, doc_id, source, len({_WORDS.format(text="text")})::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS shuffled
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
   FROM sized GROUP BY source
 ), weighed AS (
-  SELECT *, ([{", ".join(map(str, mixing.WEIGHTS))}])[(place % {len(mixing.WEIGHTS)} + 1)::INT]::DOUBLE AS weight,
-         source_size * {mixing.PASSES}::DOUBLE AS cap
+  SELECT *, ([5, 2, 1])[(place % 3 + 1)::INT]::DOUBLE AS weight,
+         source_size * 2::DOUBLE AS cap
   FROM sources
 ), filled AS (
   SELECT *, cap / weight AS ratio,
-         sum(source_size) OVER ()::DOUBLE * {mixing.BUDGET} - coalesce(sum(cap) OVER earlier, 0) AS rest,
+         sum(source_size) OVER ()::DOUBLE * 1.5 - coalesce(sum(cap) OVER earlier, 0) AS rest,
          sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS rest_weight
   FROM weighed
   WINDOW earlier AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
@@ -41,11 +39,11 @@ WITH sized AS (
   SELECT *, sum(size) OVER (
            ORDER BY (served + pass * source_size)::DOUBLE / weight, coalesce(source, ''), source IS NULL, pass, shuffled, doc_id, size, served
            ROWS UNBOUNDED PRECEDING) AS queue
-  FROM served, range({mixing.PASSES}) AS passes(pass)
+  FROM served, range(2) AS passes(pass)
 )
 SELECT doc_id, size, source_size, target,
-       (size * count(*) FILTER (WHERE queue <= (SELECT sum(size)::DOUBLE * {mixing.BUDGET} FROM sized)))::BIGINT AS taken
-FROM queued GROUP BY doc_id, shuffled, source, served, size, source_size, target
+       (size * count(*) FILTER (WHERE queue <= (SELECT sum(size)::DOUBLE * 1.5 FROM sized)))::BIGINT AS taken
+FROM queued GROUP BY row, doc_id, size, source_size, target
 """
 
 NEAR_DUPLICATES = f"""
@@ -72,11 +70,11 @@ FROM reached d LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
 REPEATED_PASSAGES = f"""
 WITH words AS (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
 windows AS (
-  SELECT doc_id, p, md5(array_to_string(w[p:p + {repeats.WINDOW - 1}], ' ')) AS h
-  FROM words, unnest(range(1, len(w) - {repeats.WINDOW - 2})) AS t(p) WHERE len(w) >= {repeats.WINDOW}
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+  FROM words, unnest(range(1, len(w) - 48)) AS t(p) WHERE len(w) >= 50
 ), firsts AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
 gone AS (
-  SELECT DISTINCT doc_id, i FROM windows JOIN firsts USING (h), unnest(range(p, p + {repeats.WINDOW})) AS t(i) WHERE doc_id > least
+  SELECT DISTINCT doc_id, i FROM windows JOIN firsts USING (h), unnest(range(p, p + 50)) AS t(i) WHERE doc_id > least
 ), kept AS (
   SELECT k.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k.i) AS text
   FROM (SELECT doc_id, i, w[i] AS word FROM words, unnest(range(1, len(w) + 1)) AS t(i)) k
