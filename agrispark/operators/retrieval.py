@@ -57,7 +57,7 @@ def build_index(chunks: DataFrame, path: str) -> SparseIndex:
     )
     postings = spark.read.parquet(f"{path}/postings")
     n, length = sizes.get["n"], sizes.get["length"]
-    frequencies = document_frequency(postings).observe(idfs, F.avg(_raw_idf(n)).alias("mean"))
+    frequencies = document_frequency(postings).observe(idfs, F.avg(raw_idf(n)).alias("mean"))
     frequencies.write.mode("overwrite").parquet(f"{path}/vocabulary")
     return SparseIndex(postings, spark.read.parquet(f"{path}/vocabulary"), n, length / n if n else 0.0, idfs.get["mean"] or 0.0)
 
@@ -66,13 +66,13 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _raw_idf(chunks: int) -> Column:
+def raw_idf(chunks: int) -> Column:
     return F.log(F.lit(chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
 def idf(index: SparseIndex) -> DataFrame:
     """(term, df, idf); a negative idf becomes a quarter of the mean over the whole vocabulary."""
-    raw = _raw_idf(index.chunks)
+    raw = raw_idf(index.chunks)
     floor = F.lit(index.mean_raw_idf * rc.BM25_EPSILON)
     return index.vocabulary.select("term", "df", F.when(raw < 0, floor).otherwise(raw).alias("idf"))
 
