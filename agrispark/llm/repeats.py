@@ -14,7 +14,7 @@ meets in one task.
 
 Documents with equal words are handled by their first copy; of the others every window repeats.
 
-Defined results: null and empty texts have no words and lose none; rows without a doc_id neither lose words nor cause
+Defined results: null and empty texts have no words and lose none; rows without a doc_id keep all their words and cause no
 losses; rows that repeat a doc_id are not smaller than each other, so neither takes from the other; extra columns pass
 through ``without_repeats``; an empty table gives an empty result.
 """
@@ -92,11 +92,11 @@ def _packed(documents: DataFrame) -> DataFrame:
                     ["doc_id", "tag", "packed"],
                 )
 
-    return _plain(documents).mapInArrow(squeeze, "doc_id long, tag long, packed binary")
+    return _plain(documents).filter("doc_id IS NOT NULL").mapInArrow(squeeze, "doc_id long, tag long, packed binary")
 
 
 def _plain(documents: DataFrame) -> DataFrame:
-    return documents.filter("doc_id IS NOT NULL").select(
+    return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text")
     )
 
@@ -201,7 +201,7 @@ def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
 def _shared_prefixes(outlines: DataFrame) -> DataFrame:
     """(anchor, is_heavy) of the prefixes that several documents have; all their suffixes count, within documents too."""
     return (
-        outlines.filter("NOT copy").select("doc_id", F.inline("anchors")).groupBy("anchor")
+        outlines.filter("NOT copy AND doc_id IS NOT NULL").select("doc_id", F.inline("anchors")).groupBy("anchor")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("times").alias("n"), F.sum("words").alias("n_words"))
         .filter("least < most").select("anchor", ((F.col("n") > HEAVY) | (F.col("n_words") > HEAVY_WORDS)).alias("is_heavy"))
     )
@@ -211,7 +211,7 @@ def repeated_windows(documents: DataFrame, outlines: DataFrame) -> DataFrame:
     """(doc_id, tag, starts) of the repeated windows of documents whose words no smaller document has as a whole."""
     shared = staged(_shared_prefixes(outlines), "shared-prefixes")
     per_document = (
-        outlines.filter("NOT copy").select("doc_id", "tag", F.explode("anchors.anchor").alias("anchor")).join(shared, "anchor")
+        outlines.filter("NOT copy AND doc_id IS NOT NULL").select("doc_id", "tag", F.explode("anchors.anchor").alias("anchor")).join(shared, "anchor")
         .groupBy("doc_id", "tag").agg(
             F.collect_list(F.when(~F.col("is_heavy"), F.col("anchor"))).alias("light"),
             F.collect_list(F.when(F.col("is_heavy"), F.col("anchor"))).alias("heavy"),
@@ -232,12 +232,12 @@ def repeated_windows(documents: DataFrame, outlines: DataFrame) -> DataFrame:
 
 
 def removals(documents: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, tag, n_words, n_removed and kept_sha256 of every row with a doc_id, and ``kept``, the words left joined by
+    """doc_id, tag, n_words, n_removed and kept_sha256 of every row, and ``kept``, the words left joined by
     one space, of those that lose some, if asked for."""
     outlined = staged(_outlines(documents), "outlines")
     named = outlined.groupBy("sequence").agg(F.min("doc_id").alias("least"))
     outlines = staged(
-        outlined.join(named, "sequence").withColumn("copy", (F.col("doc_id") > F.col("least")) & (F.col("n_words") >= WINDOW))
+        outlined.join(named, "sequence").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= WINDOW))
         .drop("sequence", "least"), "copies",
     )
     marks = repeated_windows(documents, outlines).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))

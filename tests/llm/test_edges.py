@@ -42,7 +42,26 @@ def test_odd_ids_keep_every_row(with_odd_ids, n):
 
 def test_odd_ids_in_repeats(with_odd_ids):
     got = repeats.removals(with_odd_ids).collect()
-    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in with_odd_ids.collect() if r["doc_id"] is not None)
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in with_odd_ids.collect())
+    unnamed = sorted((r["n_words"], r["n_removed"]) for r in got if r["doc_id"] is None)
+    assert unnamed == sorted((len((r["text"] or "").encode().split()), 0) for r in with_odd_ids.filter("doc_id IS NULL").collect())
+
+
+def test_repeated_rows_without_words_stay_apart(spark):
+    rows = [(1, "", "a"), (1, "", "a"), (1, "", "a"), (2, "two words", "a"), (2, "two words", "a"), (None, None, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(i), len((t or "").split())) for i, t, _ in rows)
+    assert sum(r["taken"] for r in got) == 6
+
+
+def test_rows_without_ids_take_and_lose_no_windows(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, passage), (None, passage), (5, "a b " + passage), (7, passage + " c")]
+    got = repeats.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in got) == [("5", 62, 0), ("7", 61, 60), ("None", 60, 0), ("None", 60, 0)]
+
+
+def test_rest_of_odd_ids_in_repeats(with_odd_ids):
     assert repeats.without_repeats(with_odd_ids).filter("doc_id IS NULL").count() == 2
 
 
@@ -55,6 +74,9 @@ def test_empty_tables_give_empty_results(empty, n):
 def test_queries_cover_every_document(spark, name):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     got = QUERIES[name](spark, SF)
+    if name == "op11_vector_codes":
+        assert sorted(r[0] for r in got.select("vec_id").collect()) == sorted(r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect())
+        return
     assert sorted(r[0] for r in got.select("doc_id").collect()) == sorted(r[0] for r in documents.select("doc_id").collect())
 
 
