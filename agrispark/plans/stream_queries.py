@@ -6,11 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from agrispark.operators import retrieval, segments
-from agrispark.operators.cleanse import with_node_id
 from agrispark.plans.telemetry_queries import ALERT_COLUMNS, READING_COLUMNS
 from agrispark.session import staging_path
 from agrispark.sources.corpus import read_chunks
-from agrispark.sources.telemetry import readings_from_events
 from agrispark.streaming import corpus as sc
 from agrispark.streaming import readings as sr
 
@@ -40,15 +38,20 @@ def stream_windows(spark, sf):
     )
 
 
-def stream_silent_nodes(spark, sf):
-    """Nodes silent for twelve hours at the end of the stream, the watermark trailing it by ten minutes.
-
-    The stream also reports nodes that came back later; only a silence after a node's newest reading lasts to the end.
-    """
+def _silence_events(spark, sf):
     silent = sr.drain_in_order(spark, sf, lambda r: sr.silence_stream(r, 12 * 3600), staging_path(spark, "silent"))
-    silent = silent.select("node_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
-    newest = with_node_id(readings_from_events(spark, sf)).groupBy("node_id").agg(F.max("ts").alias("last_seen"))
-    return silent.join(newest, ["node_id", "last_seen"], "left_semi")
+    return silent.select("node_id", "event", F.col("at").cast("timestamp_ntz").alias("at"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+
+
+def stream_silence_events(spark, sf):
+    """When nodes fell silent for twelve hours and came back, as far as the watermark, ten minutes behind, has come."""
+    return _silence_events(spark, sf)
+
+
+def stream_silent_nodes(spark, sf):
+    """Nodes whose last event says that they are silent."""
+    last = _silence_events(spark, sf).groupBy("node_id").agg(F.max_by(F.struct("event", "last_seen"), "at").alias("r"))
+    return last.where("r.event = 'silent'").select("node_id", "r.last_seen")
 
 
 def stream_chunk_store(spark, sf):
@@ -112,6 +115,6 @@ def incremental_encodings(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    stream_alerts, stream_deduplicated, stream_latest, stream_windows, stream_silent_nodes, stream_chunk_store,
+    stream_alerts, stream_deduplicated, stream_latest, stream_windows, stream_silence_events, stream_silent_nodes, stream_chunk_store,
     incremental_index, incremental_topk, incremental_encodings,
 ]}

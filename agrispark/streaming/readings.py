@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from agrispark import schemas
 from agrispark.operators.alerts import threshold_alerts
@@ -18,6 +18,7 @@ from agrispark.rules import limits
 from agrispark.sources.telemetry import EVENT_READING_EXPRS, readings_from_events
 
 WATERMARK = "10 minutes"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLICE_ROWS = 1_000_000  # readings of a micro-batch when a table is streamed in time order, about
 
 
@@ -71,78 +72,151 @@ WINDOW_OUTPUT = T.StructType([
     T.StructField("node_id", T.StringType()), T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampType()), T.StructField("window", _VALUES),
 ])
-_ROWS = [
-    ("micros", T.ArrayType(T.LongType())), ("ids", T.ArrayType(T.LongType())), ("rows", _VALUES),
-]
-_BUFFER = T.StructType(
-    [T.StructField(f"sent_{n}", t) for n, t in _ROWS] + [T.StructField(f"held_{n}", t) for n, t in _ROWS]
-)
+_PLACE = T.StructType([T.StructField("micros", T.LongType()), T.StructField("event_id", T.LongType())])
+_MEASURES = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
+_SENT = T.StructType([*_PLACE.fields, *_MEASURES.fields])
+SILENCE_OUTPUT = T.StructType([
+    T.StructField("node_id", T.StringType()), T.StructField("event", T.StringType()),
+    T.StructField("at", T.TimestampType()), T.StructField("last_seen", T.TimestampType()),
+])
+_SEEN = T.StructType([T.StructField("micros", T.LongType()), T.StructField("silent", T.BooleanType())])
 
 
-def rolling_windows(readings: DataFrame, watermark: str, length: int = limits.SUITABILITY_HISTORY,
-                    features: list[str] = cp.FEATURES) -> DataFrame:
-    """The last ``length`` readings of a node for every reading, in time order, as the batch windows give them.
+def _micros(stamps: pd.Series) -> list[int]:
+    return stamps.astype("datetime64[us]").astype("int64").tolist()
 
-    A reading waits until the watermark passes it, so readings that come late by no more than the watermark are in
-    their place; each reading emits once. State per node is the last length - 1 sent readings and those that wait,
-    which the watermark and the files per trigger bound. Readings later than the watermark are dropped by Spark and
-    counted in the query's progress (``numRowsDroppedByWatermark``).
+
+def _wake(handle: StatefulProcessorHandle, at: int | None, passed: int = -1) -> None:
+    """One timer a key, at the given millisecond; an earlier one that is set already stays.
+
+    Timers up to ``passed`` are firing and go by themselves.
     """
-    features = list(features)
-
-    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else [[] for _ in range(6)]
-        sent, held = list(zip(*kept[:3])), {r[1]: r for r in zip(*kept[3:])}
-        known = {r[1] for r in sent}
-        for batch in batches:  # none when the timer fires
-            stamps = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
-            values = batch[features].fillna(0.0).to_numpy("float64").tolist()
-            held.update({i: (t, i, v) for t, i, v in zip(stamps, batch["event_id"].tolist(), values) if i not in known})
-        passed = state.getCurrentWatermarkMs()
-        ready = sorted((r for r in held.values() if r[0] // 1000 <= passed), key=lambda r: r[:2])
-        waiting = [r for r in held.values() if r[0] // 1000 > passed]
-        merged = [*sent, *ready]
+    timers = [t for t in handle.listTimers() if t > passed]
+    if at is None or (timers and min(timers) <= at):
+        return
+    for timer in timers:
+        handle.deleteTimer(timer)
+    handle.registerTimer(at)
+
+
+class RollingWindows(StatefulProcessor):
+    """Readings wait in a map until the watermark passes them; a list keeps the last ``length - 1`` that were sent.
+
+    A batch touches the map entries of its own readings only; the list changes when windows are sent.
+    """
+
+    def __init__(self, length: int, features: list[str]):
+        self.length, self.features = length, features
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getListState("sent", _SENT)
+        self.waiting = handle.getMapState("waiting", _PLACE, _MEASURES)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, first = {r[1] for r in self.sent.get()}, None
+        for batch in rows:
+            values = batch[self.features].fillna(0.0).to_numpy("float64").tolist()
+            for micros, event_id, measures in zip(_micros(batch["ts"]), batch["event_id"].tolist(), values):
+                if event_id not in known:
+                    self.waiting.updateValue((micros, event_id), (measures,))
+                    first = micros // 1000 if first is None else min(first, micros // 1000)
+        _wake(self.handle, first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        places = sorted(tuple(p) for p in self.waiting.keys())
+        ready = [p for p in places if p[0] // 1000 <= passed]
+        sent = [(r[0], r[1], list(r[2])) for r in self.sent.get()]
+        merged = [*sent, *((*p, list(self.waiting.getValue(p)[0])) for p in ready)]
         out = [
-            (key[0], merged[i][1], pd.Timestamp(merged[i][0], unit="us"), [list(r[2]) for r in merged[i - length + 1:i + 1]])
-            for i in range(max(length - 1, len(sent)), len(merged))
+            (key[0], merged[i][1], pd.Timestamp(merged[i][0], unit="us"), [r[2] for r in merged[i - self.length + 1:i + 1]])
+            for i in range(max(self.length - 1, len(sent)), len(merged))
         ]
-        tail = merged[len(merged) - (length - 1):] if len(merged) >= length else merged
-        unzip = lambda rows: [[r[0] for r in rows], [r[1] for r in rows], [list(r[2]) for r in rows]]
-        state.update(tuple([*unzip(tail if length > 1 else merged[-1:]), *unzip(waiting)]))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(r[0] for r in waiting) // 1000, passed + 1))
+        for p in ready:
+            self.waiting.removeKey(p)
+        if ready:
+            self.sent.put(merged[max(0, len(merged) - max(self.length - 1, 1)):])
+        if len(places) > len(ready):
+            _wake(self.handle, max(places[len(ready)][0] // 1000, passed + 1), passed)
         if out:
             yield pd.DataFrame(out, columns=WINDOW_OUTPUT.fieldNames())
 
-    slim = with_node_id(readings).select("node_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), *features)
-    return slim.withWatermark("ts", watermark).groupBy("node_id").applyInPandasWithState(
-        step, WINDOW_OUTPUT, _BUFFER, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def close(self) -> None:
+        pass
+
+
+def _stateful(readings: DataFrame, watermark: str, processor: StatefulProcessor, output: T.StructType, *columns: str) -> DataFrame:
+    """Readings by node through a processor with event-time timers; its state lives in RocksDB."""
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    slim = with_node_id(readings).select("node_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), *columns).where("ts IS NOT NULL")
+    return slim.withWatermark("ts", watermark).groupBy("node_id").transformWithStateInPandas(processor, output, "append", "EventTime")
 
 
-SILENCE_OUTPUT = T.StructType([T.StructField("node_id", T.StringType()), T.StructField("last_seen", T.TimestampType())])
-_SEEN = T.StructType([T.StructField("micros", T.LongType())])
+def rolling_windows(readings: DataFrame, watermark: str, length: int = limits.SUITABILITY_HISTORY,
+                    features: list[str] = cp.FEATURES) -> DataFrame:
+    """The last ``length`` readings of a node for every reading, in time order, as the batch windows give them.
+
+    A reading waits until the watermark passes it, so readings that come late by no more than the watermark are in
+    their place; each reading emits once, replayed ones too. State per node is the last length - 1 sent readings and
+    those that wait. Readings later than the watermark are dropped by Spark and counted in the query's progress
+    (``numRowsDroppedByWatermark``).
+    """
+    return _stateful(readings, watermark, RollingWindows(length, list(features)), WINDOW_OUTPUT, *features)
+
+
+class Silence(StatefulProcessor):
+    """Readings' times wait until the watermark passes them and are then gone through in order, so what is told does not
+    hang on how they were dealt to batches."""
+
+    def __init__(self, gap_seconds: int):
+        self.gap = gap_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", _SEEN)
+        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("micros", T.LongType())]), T.StructType([T.StructField("n", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = {m for batch in rows for m in _micros(batch["ts"])}
+        for micros in times:
+            self.waiting.updateValue((micros,), (1,))
+        _wake(self.handle, min(times) // 1000 if times else None)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        last, silent = self.seen.get() if self.seen.exists() else (None, False)
+        out = []
+        stamp = lambda micros: pd.Timestamp(micros, unit="us")
+        times = sorted(p[0] for p in self.waiting.keys())
+        ready = [m for m in times if m // 1000 <= passed]
+        for micros in ready:
+            if last is not None and micros > last + self.gap:
+                if not silent:
+                    out.append((key[0], "silent", stamp(last + self.gap), stamp(last)))
+                out.append((key[0], "back", stamp(micros), stamp(last)))
+            last, silent = max(micros, last or micros), False
+            self.waiting.removeKey((micros,))
+        if last is not None and not silent and (last + self.gap) // 1000 <= passed and not (len(times) > len(ready) and times[len(ready)] <= last + self.gap):
+            out.append((key[0], "silent", stamp(last + self.gap), stamp(last)))
+            silent = True
+        if last is not None:
+            self.seen.update((last, silent))
+        ahead = [m // 1000 for m in times[len(ready):len(ready) + 1]] + ([] if silent or last is None else [(last + self.gap) // 1000])
+        _wake(self.handle, max(min(ahead), passed + 1) if ahead else None, passed)
+        if out:
+            yield pd.DataFrame(out, columns=SILENCE_OUTPUT.fieldNames())
+
+    def close(self) -> None:
+        pass
 
 
 def silence_stream(readings: DataFrame, gap_seconds: int, watermark: str = WATERMARK) -> DataFrame:
-    """A row for each node that stays silent longer than the gap, once the watermark passes it."""
-
-    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"node_id": [key[0]], "last_seen": [pd.Timestamp(last, unit="us")]})
-            return
-        last = state.get[0] if state.exists else 0
-        for batch in batches:
-            last = max(last, int(batch["last_ts"].astype("datetime64[us]").astype("int64").max()))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + gap_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    slim = with_node_id(readings).select("node_id", F.col("ts").cast("timestamp").alias("last_ts"))
-    return slim.withWatermark("last_ts", watermark).groupBy("node_id").applyInPandasWithState(
-        step, SILENCE_OUTPUT, _SEEN, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    """(node_id, event, at, last_seen): "silent" when a node has not been heard for longer than the gap, and "back" with
+    its next reading, each once the watermark has passed it."""
+    return _stateful(readings, watermark, Silence(gap_seconds), SILENCE_OUTPUT)
 
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -156,13 +230,25 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Files of a folder into another one of the same file system, without copying them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(new)
+    for status in files.listStatus(old):
+        if status.getPath().getName().startswith("part-") and not files.rename(status.getPath(), hadoop.Path(new, f"{old.getName()}-{status.getPath().getName()}")):
+            raise OSError(f"{status.getPath()} could not be moved to {target}")
+
+
 def drain_in_order(
     spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], path: str, slice_rows: int | None = None
 ) -> DataFrame:
     """The result of the stream ``build(readings)`` over the whole events table, whatever its files and their order.
 
-    The table is written once in slices of time, about ``slice_rows`` (``SLICE_ROWS``) each. They arrive one after the other, a micro-batch
-    each, on one checkpoint, so no reading is ever behind the watermark; if Spark drops one nevertheless, the job fails.
+    The table is written once in slices of time, about ``slice_rows`` (``SLICE_ROWS``) each. One query runs on; slices are
+    moved into its folder one after the other, when it has gone through those before, so no reading is ever behind the
+    watermark. If Spark drops one nevertheless, the job fails.
     """
     readings = readings_from_events(spark, sf_dir)
     slices = max(1, -(-readings.count() // (slice_rows or SLICE_ROWS)))
@@ -170,32 +256,35 @@ def drain_in_order(
     placed = readings.repartitionByRange(slices, "ts").withColumn("slice", F.spark_partition_id())
     placed.write.partitionBy("slice").parquet(ordered)
     filled = spark.read.schema(placed.schema).parquet(ordered).select("slice").distinct().collect()
-    for k in sorted(r["slice"] for r in filled) or [None]:
-        now = readings.limit(0) if k is None else spark.read.schema(readings.schema).parquet(f"{ordered}/slice={k}")
-        now.write.mode("append").parquet(arrived)
-        stream = build(spark.readStream.schema(readings.schema).parquet(arrived))
-        query = (
-            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
-            .trigger(availableNow=True).start(f"{path}/data")
-        )
-        query.awaitTermination()
-        late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
-        if late:
-            raise RuntimeError(f"{late} readings of slice {k} came behind the watermark")
+    readings.limit(0).write.parquet(arrived)
+    stream = build(spark.readStream.schema(readings.schema).parquet(arrived))
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint").start(f"{path}/data")
+    seen = -1
+    try:
+        for k in sorted(r["slice"] for r in filled):
+            _move(spark, f"{ordered}/slice={k}", arrived)
+            query.processAllAvailable()
+            news = [p for p in query.recentProgress if p.batchId > seen]
+            seen = max([seen, *(p.batchId for p in news)])
+            if late := sum(s.numRowsDroppedByWatermark for p in news for s in p.stateOperators):
+                raise RuntimeError(f"{late} readings of slice {k} came behind the watermark")
+    finally:
+        query.stop()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
 def run_latest_to_end(stream: DataFrame, path: str) -> DataFrame:
-    """Drain an update-mode state stream into a log of updates and return the newest row per node."""
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
-
+    """Drain an update-mode state stream and read the newest row per node from its state store: no rows are written."""
     query = (
-        stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(append).start()
+        stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    updates = stream.sparkSession.read.parquet(f"{path}/data").drop("batch")
-    rest = [c for c in stream.columns if c != "node_id"]
-    return updates.groupBy("node_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("node_id", "r.*")
+    return latest_from_state(stream.sparkSession, f"{path}/checkpoint")
+
+
+def latest_from_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The latest reading of every node in the state of a ``latest_stream``, running or stopped."""
+    state = spark.read.format("statestore").load(checkpoint)
+    reading = state.schema["value"].dataType.names[0]  # the reading that has the greatest time so far, then that time
+    return state.select(F.col("key")[state.schema["key"].dataType.names[0]].alias("node_id"), F.col("value")[reading].alias("r")).select("node_id", "r.*")

@@ -84,10 +84,59 @@ def test_windows_equal_the_batch_behind_the_watermark(spark, tmp_path, files):
     assert moisture == {i: [float(j) for j in range(i - 3, i + 1)] for i in range(3, 7)}
 
 
-def test_silence(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    rows = [(1, start, "quiet"), (2, start, "busy"), (3, start + dt.timedelta(hours=5), "busy")]
-    source = tmp_path / "in"
-    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, node_id string").coalesce(1).write.json(str(source))
-    got = sr.run_to_end(sr.silence_stream(sr.reading_stream(spark, str(source)), 3600), str(tmp_path / "out")).collect()
-    assert [(r["node_id"], r["last_seen"]) for r in got] == [("quiet", start)]
+def write_in_turn(source, parts):
+    source.mkdir(exist_ok=True)
+    for k, rows in enumerate(parts):
+        pd.DataFrame(rows).to_json(source / f"{k:03d}.json", orient="records", lines=True)
+        os.utime(source / f"{k:03d}.json", (k + 1, k + 1))
+
+
+def minute(i):
+    return (dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)).isoformat()
+
+
+def test_windows_go_on_after_a_restart(spark, tmp_path):
+    """Late, shuffled and replayed readings of two nodes, the query stopped and started again in the middle."""
+    order = [0, 2, 1, 3, 5, 4, 7, 6, 8, 9, 11, 10, 12, 13, 15, 14, 17, 16, 19, 18]
+    row = lambda i, n: {"event_id": 100 * (n == "m") + i, "ts": minute(i), "node_id": n, "moisture_pct": float(i)}
+    parts = [[row(i, n) for i in [*order[k:k + 4], *order[max(0, k - 2):k]] for n in "nm"] for k in range(0, 20, 4)]
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    write_in_turn(source, parts[:3])
+    run = lambda: sr.run_to_end(sr.rolling_windows(sr.reading_stream(spark, str(source), max_files=1), "5 minutes", length=4), out)
+    first = run().count()
+    write_in_turn(source, parts)
+    rows = run().collect()
+    assert 0 < first < len(rows) == len({r["event_id"] for r in rows})
+    wanted = {100 * (n == "m") + i: [float(j) for j in range(i - 3, i + 1)] for n in "nm" for i in range(3, 15)}
+    assert {r["event_id"]: [s[3] for s in r["window"]] for r in rows} == wanted
+
+
+@pytest.mark.parametrize("files", [1, 100])
+def test_silence_and_return(spark, tmp_path, files):
+    """What is told is the same however the readings are dealt to batches; a gap that is just met is no silence."""
+    times = {"quiet": [0], "busy": [0, 50, 100, 160, 200, 300, 390, 450], "late": [0, 30, 61, 200]}
+    rows = [{"event_id": k, "ts": minute(i), "node_id": n} for k, (i, n) in enumerate(sorted((i, n) for n, t in times.items() for i in t))]
+    shuffled = [rows[k] for j in range(0, len(rows), 4) for k in sorted(range(j, min(j + 4, len(rows))), reverse=True)]
+    write_in_turn(tmp_path / "in", [shuffled[k:k + 4] for k in range(0, len(rows), 4)])
+    stream = sr.silence_stream(sr.reading_stream(spark, str(tmp_path / "in"), max_files=files), 3600, "150 minutes")
+    got = sr.run_to_end(stream, str(tmp_path / "out")).collect()
+    stamp = lambda i: dt.datetime.fromisoformat(minute(i))
+    wanted = set()
+    for n, t in times.items():
+        for a, b in zip(t, [*t[1:], None]):
+            if b is None or b - a > 60:
+                wanted |= {(n, "silent", stamp(a + 60), stamp(a))} | ({(n, "back", stamp(b), stamp(a))} if b is not None else set())
+    assert {(r["node_id"], r["event"], r["at"], r["last_seen"]) for r in got} == {w for w in wanted if w[2] <= stamp(450 - 150)}
+    assert len(got) == len({tuple(r) for r in got})
+
+
+def test_latest_state_is_read_while_the_query_goes_on(spark, folder, tmp_path):
+    stream = sr.latest_stream(sr.reading_stream(spark, folder, max_files=1))
+    query = stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path)).start()
+    try:
+        query.processAllAvailable()
+        got = sr.latest_from_state(spark, str(tmp_path)).select("node_id", "event_id").collect()
+    finally:
+        query.stop()
+    expected = latest.latest_per_node(batch(spark, folder)).select("node_id", "event_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
