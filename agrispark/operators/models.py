@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,16 @@ def fit_forecast(samples: DataFrame, label: str = "target_value") -> PipelineMod
     return Pipeline(stages=stages).fit(samples.where(F.col(label).isNotNull()))
 
 
+def fit_boosted_forecast(samples: DataFrame, label: str = "target_value", most_trees: int = 30) -> PipelineModel:
+    """The same by boosted trees on the training part, which stop when the validation part gets no better."""
+    parts = samples.where(F.col(label).isNotNull() & F.col("split").isin("train", "validation"))
+    stages = [GBTRegressor(
+        featuresCol="features", labelCol=label, maxIter=most_trees, maxDepth=3, stepSize=0.2, seed=1, maxBins=16,
+        validationIndicatorCol="is_validation", validationTol=0.01,
+    )]
+    return Pipeline(stages=stages).fit(parts.withColumn("is_validation", F.col("split") == "validation"))
+
+
 def fit_suitability(samples: DataFrame, weights: DataFrame) -> PipelineModel:
     """Poor / Fair / Good classifier with inverse-frequency weights."""
     weighted = samples.join(F.broadcast(weights.select(F.col("label_index").alias("label"), "class_weight")), "label")

@@ -14,38 +14,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from agrispark.functions import text as tx
 from agrispark.operators import retrieval
 from agrispark.operators.retrieval import Encoder, SparseIndex
+from agrispark.sources.commits import all_batches, commit, commits, committed, is_committed, write_batch
 
 LOG = "chunk_id string, content_hash long, doc_len long, live boolean, old_batch long, old_len long, batch long"
 POSTINGS = "chunk_id string, doc_len long, term string, tf long, batch long"
 VECTORS = "chunk_id string, embedding array<float>, batch long"
 DELTAS = "term string, df long, batch long"
-COMMITS = "changed long, batch long"
-
-
-def _table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """All segments of a table, or no rows before the first."""
-    try:
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def _write(frame: DataFrame, path: str, name: str, batch: int) -> None:
-    frame.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
-
-
-def _committed(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """Rows of committed segments; the commits are one row a batch."""
-    return _table(spark, path, name, schema).join(_table(spark, path, "commits", COMMITS).select("batch"), "batch", "left_semi")
 
 
 def _newest(log: DataFrame) -> DataFrame:
@@ -55,7 +35,7 @@ def _newest(log: DataFrame) -> DataFrame:
 
 def live_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_id, doc_len, batch) of the chunks that are in the index, with the segment that holds them."""
-    return _newest(_committed(spark, path, "log", LOG)).where("live").select("chunk_id", "doc_len", "batch")
+    return _newest(committed(spark, path, "log", LOG)).where("live").select("chunk_id", "doc_len", "batch")
 
 
 def add_segment(chunks: DataFrame, path: str, batch: int, load_encoder: Callable[[], Encoder]) -> None:
@@ -65,43 +45,43 @@ def add_segment(chunks: DataFrame, path: str, batch: int, load_encoder: Callable
     committed already changes nothing.
     """
     spark = chunks.sparkSession
-    if _table(spark, path, "commits", COMMITS).where(F.col("batch") == batch).head(1):
+    if is_committed(spark, path, batch):
         return
     marked = chunks.select(
         "chunk_id", F.coalesce("text", F.lit("")).alias("text"), (~F.col("deleted")).alias("live"), F.xxhash64("text").alias("content_hash")
     )
     one = F.max_by(F.struct("text", "live", "content_hash"), F.struct("live", "content_hash")).alias("r")
-    _write(marked.groupBy("chunk_id").agg(one).select("chunk_id", "r.*"), path, "incoming", batch)
+    write_batch(marked.groupBy("chunk_id").agg(one).select("chunk_id", "r.*"), path, "incoming", batch)
     incoming = spark.read.parquet(f"{path}/incoming/batch={batch}")
-    log = _committed(spark, path, "log", LOG).where(F.col("batch") < batch).join(incoming.select("chunk_id"), "chunk_id", "left_semi")
+    log = committed(spark, path, "log", LOG).where(F.col("batch") < batch).join(incoming.select("chunk_id"), "chunk_id", "left_semi")
     before = _newest(log).where("live").select(
         "chunk_id", F.col("content_hash").alias("old_hash"), F.col("batch").alias("old_batch"), F.col("doc_len").alias("old_len")
     )
     changed = incoming.join(before, "chunk_id", "left").where("(live AND NOT (old_hash <=> content_hash)) OR (NOT live AND old_batch IS NOT NULL)")
     tokens = F.when(F.col("live"), tx.tokens(F.col("text"))).otherwise(F.array().cast("array<string>"))
     words = changed.withColumn("tokens", tokens).withColumn("doc_len", F.size("tokens").cast("long"))
-    _write(words.select("chunk_id", "content_hash", "doc_len", "live", "old_batch", "old_len"), path, "log", batch)
+    write_batch(words.select("chunk_id", "content_hash", "doc_len", "live", "old_batch", "old_len"), path, "log", batch)
     fresh = words.where("live").select("chunk_id", "doc_len", F.explode("tokens").alias("term"))
-    _write(fresh.groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf")), path, "postings", batch)
+    write_batch(fresh.groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf")), path, "postings", batch)
     counted = Observation()
     encoded = retrieval.embed(changed.where("live").select("chunk_id", "text"), load_encoder).select("chunk_id", "embedding")
-    _write(encoded.observe(counted, F.count(F.lit(1)).alias("n")), path, "vectors", batch)
-    postings = _table(spark, path, "postings", POSTINGS)
+    write_batch(encoded.observe(counted, F.count(F.lit(1)).alias("n")), path, "vectors", batch)
+    postings = all_batches(spark, path, "postings", POSTINGS)
     dead = spark.read.parquet(f"{path}/log/batch={batch}").where("old_batch IS NOT NULL").select("chunk_id", F.col("old_batch").alias("batch"))
     moves = (
         postings.where(F.col("batch") == batch).select("term", F.lit(1).alias("step"))
         .unionByName(postings.where(F.col("batch") < batch).join(dead, ["chunk_id", "batch"], "left_semi").select("term", F.lit(-1).alias("step")))
     )
-    _write(moves.groupBy("term").agg(F.sum("step").alias("df")).where("df != 0"), path, "deltas", batch)
-    _write(spark.createDataFrame([(counted.get["n"],)], "changed long").coalesce(1), path, "commits", batch)
+    write_batch(moves.groupBy("term").agg(F.sum("step").alias("df")).where("df != 0"), path, "deltas", batch)
+    commit(spark, path, batch, counted.get["n"])
 
 
 def read_index(spark: SparkSession, path: str) -> SparseIndex:
     """The sparse index of all committed segments: live postings, and frequencies from the summed deltas."""
     live = live_chunks(spark, path)
     sizes = live.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length")).first()
-    postings = _committed(spark, path, "postings", POSTINGS).join(live.select("chunk_id", "batch"), ["chunk_id", "batch"], "left_semi").drop("batch")
-    vocabulary = _committed(spark, path, "deltas", DELTAS).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    postings = committed(spark, path, "postings", POSTINGS).join(live.select("chunk_id", "batch"), ["chunk_id", "batch"], "left_semi").drop("batch")
+    vocabulary = committed(spark, path, "deltas", DELTAS).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     mean = vocabulary.agg(F.avg(retrieval.raw_idf(sizes["n"]))).first()[0] or 0.0
     return SparseIndex(postings, vocabulary, sizes["n"], sizes["length"] / sizes["n"] if sizes["n"] else 0.0, mean)
 
@@ -109,12 +89,12 @@ def read_index(spark: SparkSession, path: str) -> SparseIndex:
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_id, embedding) of the live chunks."""
     live = live_chunks(spark, path).select("chunk_id", "batch")
-    return _committed(spark, path, "vectors", VECTORS).join(live, ["chunk_id", "batch"], "left_semi").drop("batch")
+    return committed(spark, path, "vectors", VECTORS).join(live, ["chunk_id", "batch"], "left_semi").drop("batch")
 
 
 def encodings(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_id, times): how often each chunk was encoded over all segments."""
-    return _committed(spark, path, "vectors", VECTORS).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("times"))
+    return committed(spark, path, "vectors", VECTORS).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("times"))
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
@@ -122,13 +102,13 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
 
     The old index stays as it is; the new one is visible once its commit is written, and later batches continue it.
     """
-    last = _table(spark, path, "commits", COMMITS).agg(F.max("batch")).first()[0]
+    last = commits(spark, path).agg(F.max("batch")).first()[0]
     if last is None:
         return
-    index, newest = read_index(spark, path), _newest(_committed(spark, path, "log", LOG)).where("live")
+    index, newest = read_index(spark, path), _newest(committed(spark, path, "log", LOG)).where("live")
     nothing = F.lit(None).cast("long")
-    _write(newest.select("chunk_id", "content_hash", "doc_len", "live", nothing.alias("old_batch"), nothing.alias("old_len")), target, "log", last)
-    _write(index.postings, target, "postings", last)
-    _write(read_vectors(spark, path), target, "vectors", last)
-    _write(index.vocabulary, target, "deltas", last)
-    _write(spark.createDataFrame([(index.chunks,)], "changed long").coalesce(1), target, "commits", last)
+    write_batch(newest.select("chunk_id", "content_hash", "doc_len", "live", nothing.alias("old_batch"), nothing.alias("old_len")), target, "log", last)
+    write_batch(index.postings, target, "postings", last)
+    write_batch(read_vectors(spark, path), target, "vectors", last)
+    write_batch(index.vocabulary, target, "deltas", last)
+    commit(spark, target, last, index.chunks)

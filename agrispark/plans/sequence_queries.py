@@ -171,6 +171,19 @@ def forecast_metrics(spark, sf):
     return models.regression_metrics(predicted, "prediction", "target_value")
 
 
+def boosted_forecast(spark, sf):
+    """Boosted trees next to the persistence forecast on the test windows, in the value's own unit."""
+    path, readings = staging_path(spark, "forecasts"), cleanse.complete_rows(_readings(spark, sf), cp.FEATURES)
+    samples = flows.forecast_samples(_readings(spark, sf))
+    model = models.fit_boosted_forecast(samples)
+    moisture = F.element_at("window", -1)[cp.FEATURES.index("moisture_pct")]
+    test = model.transform(samples.where("split = 'test'")).withColumn("persistence", moisture)
+    _in_units(test, readings, ["prediction", "persistence", "target_value"]).select("node_id", "event_id", "prediction", "persistence", "target_value").write.parquet(path)
+    stored = spark.read.parquet(path)
+    rows = [models.regression_metrics(stored, name, "target_value").withColumn("forecast", F.lit(name)) for name in ("prediction", "persistence")]
+    return rows[0].unionByName(rows[1]).withColumn("trees", F.lit(model.stages[-1].getNumTrees).cast("long"))
+
+
 def _in_units(frame, readings, columns):
     """Scaled moisture values back in their own unit."""
     from agrispark.functions.numeric import min_max_unscale
@@ -215,5 +228,5 @@ QUERIES = {f.__name__: f for f in [
     scaler_params, scaled_readings, scaled_with_saved_parameters, unscaled_moisture, windows_24, windows_48_h24, windows_48_h24_one_series,
     chronological_split, chronological_split_per_node, window_labels, label_distribution, class_weights,
     future_moisture, persistence_metrics, residual_histogram, class_argmax, class_share_metrics, merged_verdicts,
-    verdict_report, forecast_metrics, line_forecast_metrics, model_verdicts, anomalous_windows,
+    verdict_report, forecast_metrics, boosted_forecast, line_forecast_metrics, model_verdicts, anomalous_windows,
 ]}

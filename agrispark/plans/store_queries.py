@@ -15,6 +15,7 @@ from agrispark.operators import alerts, cleanse, diagnosis, latest, models, retr
 from agrispark.plans import corpus_queries, flows
 from agrispark.session import staging_path
 from agrispark.sources import conversations, exports, telemetry
+from agrispark.sources import corpus as corpus_store
 
 FIRST_ALERTS = 100
 
@@ -55,21 +56,37 @@ def telemetry_table(spark, sf):
 
 
 def conversation_files(spark, sf):
-    """Conversations written as JSON files and read back."""
+    """Conversations written as JSON, one on every line, and read back."""
     path = staging_path(spark, "conversations")
     conversations.write_conversations(spark.read.parquet(f"{sf}/conversations.parquet"), path)
-    return conversations.read_conversations(spark, path)
+    return conversations.read_conversations(spark, path, lines=True)
 
 
 def stored_turns(spark, sf):
-    """Conversations stored in two steps: the first three turns, then the rest, numbered on and appended."""
+    """Conversations stored in two batches, the first three turns and the rest; the second is tried twice."""
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     path = staging_path(spark, "turns")
-    first = W.partitionBy("conv_id").orderBy("turn")
-    placed = turns.withColumn("place", F.row_number().over(first).cast("long") - 1)
-    placed.where("place < 3").select("conv_id", F.col("place").alias("turn"), "role", "text").write.parquet(path)
-    conversations.store_turns(spark, placed.where("place >= 3").select("conv_id", "place", "role", "text"), path, "place")
-    return spark.read.parquet(path)
+    placed = sequences.with_position_in_key(turns, ["conv_id"], ["turn"], F.floor(F.col("turn") / 4096).cast("long"))
+    first, rest = (placed.where(p).select("conv_id", F.col("seq").alias("place"), "role", "text") for p in ("seq < 3", "seq >= 3"))
+    for batch, part in ((0, first), (1, rest), (1, rest)):
+        conversations.store_turns(spark, part, path, "place", batch)
+    return conversations.read_turns(spark, path, turns.schema["conv_id"].dataType.simpleString())
+
+
+def compacted_chunks(spark, sf):
+    """Chunks stored, a third of them changed, compacted, and the same stored again: rows before and after."""
+    chunks = corpus_queries._line_chunks(spark, sf).drop("origin").dropDuplicates(["chunk_id"])
+    path = staging_path(spark, "chunks")
+    changed = chunks.where(F.col("chunk_index") % 3 == 0).withColumn("text", F.concat("text", F.lit(" changed")))
+    corpus_store.write_chunks(spark, chunks, path)
+    corpus_store.write_chunks(spark, changed, path)
+    corpus_store.compact_chunks(spark, path, f"{path}-compact", 16)
+    corpus_store.write_chunks(spark, changed, f"{path}-compact")
+    rows = lambda p: spark.read.parquet(p).agg(F.count(F.lit(1))).scalar()
+    newest = corpus_store.read_chunks(spark, f"{path}-compact").agg(
+        F.count(F.lit(1)).alias("live"), F.count_if(F.col("text").endswith(" changed")).alias("changed")
+    )
+    return newest.withColumn("appended_rows", rows(path)).withColumn("compacted_rows", rows(f"{path}-compact"))
 
 
 def label_map(spark, sf):
@@ -136,6 +153,6 @@ def ordered_issues(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    forecast_file, dropped_rows, telemetry_table, conversation_files, stored_turns, label_map, reloaded_model, rescored_topk,
+    forecast_file, dropped_rows, telemetry_table, conversation_files, stored_turns, compacted_chunks, label_map, reloaded_model, rescored_topk,
     encoded_documents, first_alerts, ordered_issues,
 ]}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrispark.functions.numeric import to_number
-from agrispark.operators import alerts, cleanse, latest
+from agrispark.operators import alerts, cleanse, latest, sequences, sketches
 from agrispark.plans import flows
 from agrispark.rules import limits
 from agrispark.schemas import MEASURES, TELEMETRY
@@ -235,11 +235,28 @@ def node_documents(spark, sf):
     )
 
 
+def nodes_by_week(spark, sf):
+    """Nodes heard in each week and in all, exactly, and whether merged daily sketches come within three deviations."""
+    path, readings = staging_path(spark, "sketches"), _readings(spark, sf)
+    sketches.node_sketches(readings).write.parquet(path)
+    stored = spark.read.parquet(path)
+    week = lambda day: F.concat(F.lit("week "), F.floor(day / 7).cast("string"))
+    first = (F.floor(F.col("slice") / 7) * 7).cast("long")
+    weeks = stored.select(week(F.col("slice")).alias("name"), first.alias("first"), (first + 6).alias("last")).distinct()
+    whole = stored.agg(F.min("slice").alias("first"), F.max("slice").alias("last")).select(F.lit("all").alias("name"), "first", "last")
+    estimated = sketches.merged(stored, weeks.unionByName(whole))
+    heard = cleanse.with_node_id(readings).where("ts IS NOT NULL")
+    names = F.explode(F.array(F.lit("all"), week(sequences.time_bucket("ts"))))
+    exact = heard.withColumn("name", names).groupBy("name").agg(F.count_distinct("node_id").alias("exact"))
+    close = F.abs(F.col("nodes") - F.col("exact")) <= 3 * sketches.RELATIVE_ERROR * F.col("exact")
+    return exact.join(estimated, "name").select("name", "exact", "readings", close.alias("close"))
+
+
 QUERIES = {f.__name__: f for f in [
     threshold_alerts, threshold_alerts_recent, threshold_alerts_null_as_zero, alerts_with_overrides, alert_counts,
     latest_per_node, latest_in_recent_rows, newest_readings, last_24_per_node, history_windows, history_status,
     node_count, network_averages, node_status, map_layers, nodes_needing_attention, metric_tone, trend_series,
     date_range_log, date_range_whole_days, readings_with_node, coerced_measures, raw_readings_renamed,
     filled_features, complete_readings, feature_columns, crop_normalised, unknown_crops, online_flags,
-    positioned_nodes, readings_long, silent_nodes, farm_snapshot, node_documents, busiest_node_log, exported_log,
+    positioned_nodes, readings_long, silent_nodes, farm_snapshot, node_documents, busiest_node_log, exported_log, nodes_by_week,
 ]}

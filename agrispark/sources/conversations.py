@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from agrispark import schemas
 from agrispark.operators.sequences import with_position_in_key
+from agrispark.sources.commits import commit, committed, is_committed, write_batch
 
 
-def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files, one conversation each, as (conv_id, turn, role, text)."""
-    raw = spark.read.schema(schemas.CONVERSATION_JSON).option("multiLine", True).json(path)
+def read_conversations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON files as (conv_id, turn, role, text): one conversation or an array of them each, or one on every line."""
+    raw = spark.read.schema(schemas.CONVERSATION_JSON).option("multiLine", not lines).json(path)
     return raw.select(
         F.col("conversation_id").alias("conv_id"), F.posexplode("messages").alias("turn", "message")
     ).select("conv_id", F.col("turn").cast("long").alias("turn"), "message.role", F.col("message.content").alias("text"))
@@ -31,19 +32,26 @@ def append_turns(existing: DataFrame, new: DataFrame, order: str, bucket: Column
     )
 
 
-def write_conversations(turns: DataFrame, path: str, files: int = 8) -> None:
-    """Conversations as JSON files that ``read_conversations`` reads: each file holds one array of them.
-
-    A file is one row, so their number should grow with the table.
-    """
+def write_conversations(turns: DataFrame, path: str) -> None:
+    """Conversations as JSON, one on every line: a row is no larger than its conversation, whatever the table's size."""
     messages = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    whole = turns.groupBy("conv_id").agg(messages.alias("messages")).select(F.col("conv_id").alias("conversation_id"), "messages")
-    arrays = whole.groupBy(F.pmod(F.xxhash64("conversation_id"), F.lit(files)).alias("file")).agg(
-        F.to_json(F.collect_list(F.struct("conversation_id", "messages"))).alias("value")
-    )
-    arrays.write.mode("overwrite").partitionBy("file").text(path)
+    whole = turns.groupBy("conv_id").agg(messages.alias("messages")).select(F.col("conv_id").cast("string").alias("conversation_id"), "messages")
+    whole.write.mode("overwrite").json(path)
+
 
+def read_turns(spark: SparkSession, path: str, conv_type: str = "long") -> DataFrame:
+    """(conv_id, turn, role, text) of all committed batches."""
+    return committed(spark, path, "turns", f"conv_id {conv_type}, turn long, role string, text string, batch long").drop("batch")
 
-def store_turns(spark: SparkSession, new: DataFrame, path: str, order: str) -> None:
-    """New messages numbered after the stored ones and appended to the stored table."""
-    append_turns(spark.read.parquet(path), new, order).write.mode("append").parquet(path)
+
+def store_turns(spark: SparkSession, new: DataFrame, path: str, order: str, batch: int) -> None:
+    """New messages numbered after the stored ones, as one batch of the stored table.
+
+    A batch that is stored already changes nothing, and one that failed is numbered and written anew.
+    """
+    if is_committed(spark, path, batch):
+        return
+    kind = new.schema["conv_id"].dataType.simpleString()
+    counted = Observation()
+    write_batch(append_turns(read_turns(spark, path, kind), new, order).observe(counted, F.count(F.lit(1)).alias("rows")), path, "turns", batch)
+    commit(spark, path, batch, counted.get["rows"])

@@ -65,11 +65,14 @@ def write_chunks(spark: SparkSession, chunks: DataFrame, path: str, clear: bool
         return
     stage = staging_path(spark, "increment")
     incoming.write.parquet(stage)
-    staged = spark.read.parquet(stage)
-    ids = staged.select("chunk_id")
-    present = spark.read.parquet(path).select("chunk_id", "content_hash", "stored_at").join(ids, "chunk_id", "left_semi")
+    staged, stored = spark.read.parquet(stage), spark.read.parquet(path)
+    keys = ["chunk_id"]
+    if "buckets" in stored.columns and (first := stored.select("buckets").head()):  # a compacted store: only the increment's folders are read
+        staged, keys = _bucketed(staged, first["buckets"]), ["bucket", "chunk_id"]
+    present = stored.select(*keys, "content_hash", "stored_at").join(staged.select(*keys), keys, "left_semi")
     current = latest_chunks(present).select("chunk_id", "content_hash")
-    staged.join(current, ["chunk_id", "content_hash"], "left_anti").write.mode("append").parquet(path)
+    fresh = staged.join(current, ["chunk_id", "content_hash"], "left_anti").write.mode("append")
+    (fresh.partitionBy("bucket") if len(keys) > 1 else fresh).parquet(path)
 
 
 def latest_chunks(stored: DataFrame) -> DataFrame:
@@ -83,3 +86,18 @@ def latest_chunks(stored: DataFrame) -> DataFrame:
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return latest_chunks(spark.read.parquet(path)).select(*_STORE_COLUMNS)
+
+
+def _bucketed(chunks: DataFrame, buckets: int) -> DataFrame:
+    place = F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int")
+    return chunks.withColumn("buckets", F.lit(buckets)).withColumn("bucket", place)
+
+
+def compact_chunks(spark: SparkSession, path: str, target: str, buckets: int = 64) -> None:
+    """The newest row of every chunk in a new store, dealt to folders by a hash of its id; the old store stays.
+
+    The new store appears as a whole, and ``write_chunks`` goes on with it, reading the folders of its increment only.
+    The number of buckets should grow with the store.
+    """
+    newest = _bucketed(latest_chunks(spark.read.parquet(path)), buckets)
+    newest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)

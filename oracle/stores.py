@@ -6,7 +6,7 @@ from agrispark.plans.store_queries import FIRST_ALERTS, FORECAST_EXPRS
 from agrispark.schemas import FORECAST_FEATURES, MEASURES
 from oracle.advice import ISSUES, SUITABILITY
 from oracle.common import LATEST, LIMITS, PAY, TEL
-from oracle.corpus import _LETTERS, _RRF, _tokens
+from oracle.corpus import _LETTERS, _LINES, _RRF, _tokens
 from oracle.telemetry import _alerts
 
 _FORECAST = f"WITH {TEL}, f AS (SELECT {', '.join(FORECAST_EXPRS)} FROM tel)"
@@ -20,6 +20,8 @@ SQL = {
     "telemetry_table": f"WITH {TEL} SELECT ts, node_id, {', '.join(MEASURES)}, satellites, target_crop FROM tel",
     "conversation_files": f"SELECT cast(conv_id AS varchar) AS conv_id, turn, role, text FROM ({_TURNS})",
     "stored_turns": _TURNS,
+    "compacted_chunks": f"""WITH {_LINES}, one AS (SELECT chunk_id, min(i) AS i FROM chunks GROUP BY chunk_id), n AS (SELECT count(*) AS live, count(*) FILTER (WHERE i % 3 = 0) AS changed FROM one)
+        SELECT live, changed, live + changed AS appended_rows, live AS compacted_rows FROM n""",
     "label_map": f"""WITH {TEL}, {SUITABILITY} SELECT event_id, cast(CASE suitability_label WHEN 'Poor' THEN 0 WHEN 'Fair' THEN 1 ELSE 2 END AS BIGINT) AS label_index,
         suitability_label AS label FROM suit""",
     "reloaded_model": f"""WITH {TEL}, w AS (SELECT row_number() OVER (PARTITION BY node_id ORDER BY ts, event_id) AS rn FROM tel WHERE node_id IS NOT NULL AND node_id <> '')

@@ -118,3 +118,6 @@ SQL = {
     "node_documents": f"WITH {TEL}, {LATEST} SELECT node_id, moisture_pct, target_crop FROM latest",
 }
 SQL["history_windows"] = "SELECT node_id, readings_used, status, oldest_ts, newest_ts, oldest_moisture FROM (" + SQL["history_windows"] + ")"
+SQL["nodes_by_week"] = f"""WITH {TEL}, heard AS (SELECT node_id, ts FROM tel WHERE node_id IS NOT NULL AND node_id <> '' AND ts IS NOT NULL),
+    named AS (SELECT node_id, 'all' AS name FROM heard UNION ALL SELECT node_id, 'week ' || cast(floor(epoch(ts) / (7 * 86400)) AS BIGINT) FROM heard)
+    SELECT name, count(DISTINCT node_id) AS exact, count(*) AS readings, true AS close FROM named GROUP BY name"""

@@ -1,5 +1,6 @@
 """Windows, positions, splits and latest state against plain Python, with hot nodes and tiny blocks."""
 
+import math
 import datetime as dt
 import random
 
@@ -109,3 +110,45 @@ def test_metrics(spark):
     assert models.classification_metrics(c, "probs", "label").first()["accuracy"] == 0.5
     label, confidence = models.argmax_class(F.col("probs"))
     assert [tuple(r) for r in c.select(label, confidence).collect()] == [("Poor", 0.7), ("Fair", 0.5)]
+
+
+def test_boosted_trees_stop_early_and_metrics_equal_sql(spark, tmp_path):
+    """Targets that a step of the window decides: trees stop before their limit and beat the mean by far."""
+    import random
+
+    import duckdb
+
+    from agrispark.operators import models
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        window = [[rng.random()] for _ in range(4)]
+        split = "train" if i < 400 else "validation" if i < 500 else "test"
+        rows.append((i, window, float(window[2][0] > 0.5) + rng.gauss(0, 0.05), split))
+    samples = models.as_features(spark.createDataFrame(rows, "event_id long, window array<array<double>>, target_value double, split string"), 4)
+    model = models.fit_boosted_forecast(samples, most_trees=60)
+    assert 0 < model.stages[-1].getNumTrees < 60
+    model.transform(samples.where("split = 'test'")).select("event_id", "prediction", "target_value").write.parquet(str(tmp_path / "p"))
+    got = models.regression_metrics(spark.read.parquet(str(tmp_path / "p")), "prediction", "target_value").first()
+    wanted = duckdb.sql(f"""WITH b AS (SELECT target_value - prediction AS r, target_value AS y FROM '{tmp_path}/p/*.parquet')
+        SELECT count(*), avg(abs(r)), sqrt(avg(r * r)), 1 - avg(r * r) / var_pop(y), avg(r) FROM b""").fetchall()[0]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, wanted)) and got["r2"] > 0.8
+
+
+def test_sketches_of_ranges(spark):
+    import datetime as dt
+
+    from agrispark.operators import sketches
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, day + dt.timedelta(days=d), f"n{d * 500 + i}" if i % 2 else f"s{i}") for d in range(4) for i in range(3000)] + [(9, None, "x"), (9, day, None)]
+    frame = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, node_id string").repartition(3)
+    stored = sketches.node_sketches(frame)
+    assert stored.count() == 4
+    first = stored.agg({"slice": "min"}).first()[0]
+    ranges = spark.createDataFrame([("one", first, first), ("two", first + 1, first + 2), ("all", first, first + 9)], "name string, first long, last long")
+    for r in sketches.merged(stored, ranges).collect():
+        days = {"one": range(1), "two": range(1, 3), "all": range(4)}[r["name"]]
+        exact = len({n for _, t, n in rows if t is not None and n is not None and (t - day).days in days})
+        assert abs(r["nodes"] - exact) <= 4 * sketches.RELATIVE_ERROR * exact and r["readings"] == 3000 * len(days)

@@ -81,6 +81,57 @@ def test_conversations(spark, tmp_path):
     assert got == [("conv-00002", 3, "again"), ("conv-00002", 4, "yes"), ("conv-00003", 0, "hi")]
 
 
+def turns_of(spark, path):
+    return sorted(map(tuple, conversations.read_turns(spark, path, "string").collect()))
+
+
+def test_batches_of_turns_are_stored_once_and_whole(spark, tmp_path):
+    path = str(tmp_path / "turns")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "conv_id string, role string, text string, n long")
+    conversations.store_turns(spark, batch(("a", "user", "hi", 1), ("a", "assistant", "yes", 2)), path, "n", 0)
+    second = batch(("a", "user", "more", 3), ("b", "user", "new", 1))
+    conversations.store_turns(spark, second, path, "n", 1)
+    stored = turns_of(spark, path)
+    assert stored == [("a", 0, "user", "hi"), ("a", 1, "assistant", "yes"), ("a", 2, "user", "more"), ("b", 0, "user", "new")]
+    conversations.store_turns(spark, second, path, "n", 1)  # tried again
+    assert turns_of(spark, path) == stored
+    failing = batch(("b", "user", "late", 2)).withColumn("text", F.raise_error(F.lit("disk full")).cast("string"))
+    with pytest.raises(Exception, match="disk full"):
+        conversations.store_turns(spark, failing, path, "n", 2)
+    spark.createDataFrame([("b", 9, "user", "half")], "conv_id string, turn long, role string, text string").write.mode("overwrite").parquet(f"{path}/turns/batch=2")
+    assert turns_of(spark, path) == stored  # what was written without a commit is not seen
+    conversations.store_turns(spark, batch(("b", "user", "late", 2)), path, "n", 2)
+    assert turns_of(spark, path) == [*stored, ("b", 1, "user", "late")]
+
+
+def test_a_conversation_is_a_line(spark, tmp_path):
+    turns = spark.createDataFrame([(c, t, "user", f"{c} {t}\nline") for c in range(30) for t in range(c % 4 + 1)], "conv_id long, turn long, role string, text string")
+    conversations.write_conversations(turns.repartition(3), str(tmp_path / "c"))
+    assert spark.read.text(str(tmp_path / "c")).count() == 30
+    back = conversations.read_conversations(spark, str(tmp_path / "c"), lines=True)
+    assert sorted((int(r["conv_id"]), r["turn"], r["text"]) for r in back.collect()) == sorted((r["conv_id"], r["turn"], r["text"]) for r in turns.collect())
+
+
+def test_compacted_store_goes_on(spark, tmp_path):
+    from agrispark.sources import corpus
+
+    chunk = lambda i, text: (f"c{i}", text, "s", 0, i, len(text), "markdown")
+    frame = lambda rows: spark.createDataFrame(rows, schemas.CHUNKS)
+    path, target = str(tmp_path / "s"), str(tmp_path / "t")
+    corpus.write_chunks(spark, frame([chunk(i, "old") for i in range(20)]), path)
+    corpus.write_chunks(spark, frame([chunk(i, "new") for i in range(5)]), path)
+    assert spark.read.parquet(path).count() == 25
+    corpus.compact_chunks(spark, path, target, 4)
+    assert spark.read.parquet(target).count() == 20
+    before = sorted(map(tuple, corpus.read_chunks(spark, path).collect()))
+    assert sorted(map(tuple, corpus.read_chunks(spark, target).collect())) == before
+    corpus.write_chunks(spark, frame([chunk(i, "new") for i in range(5)]), target)
+    assert spark.read.parquet(target).count() == 20
+    corpus.write_chunks(spark, frame([chunk(3, "newest"), chunk(77, "more")]), target)
+    got = {r["chunk_id"]: r["text"] for r in corpus.read_chunks(spark, target).collect()}
+    assert (spark.read.parquet(target).count(), len(got), got["c3"], got["c77"], got["c9"]) == (22, 21, "newest", "more", "old")
+
+
 @pytest.mark.parametrize("name, ok", [("abcd-1234", True), (" abcd_1234 ", True), ("short", False), ("has space 1", False), ("x" * 65, False), (None, False)])
 def test_conversation_id(spark, name, ok):
     accepted, quarantined = cleanse.split_by_conversation_id(spark.createDataFrame([(name,)], "cid string"), "cid")
