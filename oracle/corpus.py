@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from agrispark.plans.corpus_queries import BOILERPLATE_EXPR
 from agrispark.rules import corpus as rc
+from oracle.chunker import chunks_sql
 from oracle.common import literal
 
 _SPACE = "[ \\t\\n\\r\\f\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
@@ -115,3 +116,8 @@ SQL = {
     "relevance_cut": "SELECT vec_id, round(cast(embedding[1] AS DOUBLE) * 20.0, 6) AS score FROM embeddings WHERE cast(embedding[1] AS DOUBLE) * 20.0 >= -3.0",
 }
 SQL["bm25_pruned_topk"] = SQL["bm25_topk"]
+_CHUNKED = f"""cleaned AS (SELECT 'doc' || doc_id AS doc, {_clean('text')} AS text FROM documents), {chunks_sql('cleaned', _strip)},
+  ids AS (SELECT left(sha256(doc || '::page0::chunk' || chunk_index || '::' || left(chunk, 200)), 32) AS chunk_id, doc AS source, cast(chunk_index AS INTEGER) AS chunk_index,
+    cast(length(chunk) AS INTEGER) AS char_count FROM chunked)"""
+SQL["document_chunks"] = f"WITH {_CHUNKED} SELECT * FROM ids"
+SQL["stream_chunk_store"] = f"WITH {_CHUNKED} SELECT DISTINCT * FROM ids WHERE char_count >= 40"

@@ -109,3 +109,27 @@ def test_stream_ingest_adds_only_new_chunks(spark, tmp_path):
     assert first < read_chunks(spark, store).count() and ids(read_chunks(spark, store)) == ids(batch)
     ingest_stream(markdown_stream(spark, str(folder)), store, str(tmp_path / "cp2"))
     assert spark.read.parquet(store).count() == batch.count()
+
+
+def test_chunker_in_sql_equals_the_splitter():
+    """Texts that need every separator, words longer than a chunk included."""
+    import random
+
+    import duckdb
+
+    from oracle.chunker import chunks_sql
+    from oracle.corpus import _strip
+
+    rng = random.Random(11)
+    glue = ["\n\n", "\n", ". ", "; ", ": ", ", ", " "]
+    texts = ["", "short", "x" * 2500, "é" * 1001 + " end", "a" * 1000, "b " * 900]
+    for _ in range(60):
+        parts = ["".join(rng.choice("abc é") for _ in range(rng.choice([3, 40, 300, 900, 1600]))) for _ in range(rng.randint(1, 12))]
+        some = rng.sample(glue, rng.randint(1, 4))
+        texts.append("".join(p + rng.choice(some) for p in parts))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (doc BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO given VALUES (?, ?)", list(enumerate(texts)))
+    found = con.execute(f"WITH {chunks_sql('given', _strip)} SELECT doc, chunk_index, chunk FROM chunked ORDER BY doc, chunk_index").fetchall()
+    wanted = [(d, i, c.strip()) for d, t in enumerate(texts) for i, c in enumerate(corpus.split_text(t))]
+    assert found == wanted
