@@ -39,9 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _staging_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/agrispark/{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/agrispark/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a part of it that belongs to this application."""
+    return f"{_staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_staging(spark: SparkSession) -> bool:
+    """Delete what this application has staged; call it when no result that reads it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staging_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agrispark import schemas
 from agrispark.operators import cleanse, models, scoring, sequences
 from agrispark.rules import crop_profile as cp
-from agrispark.session import shared_dir, spread
+from agrispark.session import shared_dir, spread, staging_path
 from agrispark.sources import conversations, dims, exports, profiles, telemetry
 
 SF = "/root/testdata/sf0.001"
@@ -175,3 +175,9 @@ def test_spread_only_when_needed(spark):
 
 def test_shared_dir_is_the_named_one(spark):
     assert shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+
+
+def test_staged_tables_belong_to_the_application(spark):
+    path = staging_path(spark, "some")
+    assert path.startswith(f"{shared_dir(spark).rstrip('/')}/agrispark/{spark.sparkContext.applicationId}/some-")
+    assert path != staging_path(spark, "some")
