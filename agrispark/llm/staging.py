@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from agrispark.session import shared_dir
+from agrispark.session import staging_path
 
 
 def staged(frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """The frame written as Parquet below ``spark.checkpoint.dir`` and read again: later jobs don't repeat its work."""
-    path = f"{shared_dir(frame.sparkSession).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    """The frame written as Parquet below ``spark.checkpoint.dir`` and read again: later jobs don't repeat its work.
+
+    ``agrispark.session.clear_staging`` deletes what an application has staged.
+    """
+    path = staging_path(frame.sparkSession, f"llm-{name}")
     writer = frame.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
