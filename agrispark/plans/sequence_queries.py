@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from agrispark.operators import cleanse, latest, models, scoring, sequences
@@ -224,9 +225,53 @@ def anomalous_windows(spark, sf):
     return models.anomaly_flags(scores).where("is_anomaly").select("node_id", "event_id", "reconstruction_error")
 
 
+def _stored_rows(spark, path, rows):
+    """Rows of numbers stored one by one, and read back as one array of arrays for an expression."""
+    spark.createDataFrame(list(enumerate(rows)), "place long, weights array<double>").write.parquet(path)
+    stored = F.sort_array(F.collect_list(F.struct("place", "weights")))
+    return spark.read.parquet(path).agg(F.transform(stored, lambda r: r["weights"])).scalar()
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def verdict_scores_recomputed(spark, sf):
+    """Windows classed by the fitted model and by plain expressions over its stored coefficients: how many, how many alike."""
+    samples = flows.suitability_samples(_readings(spark, sf))
+    model = models.fit_suitability(samples, sequences.class_weights(samples))
+    fitted = model.stages[-1]
+    rows = [[*c, b] for c, b in zip(fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist())]
+    weights = _stored_rows(spark, staging_path(spark, "coefficients"), rows)
+    given = models.classify(model, samples).withColumn("_x", F.concat(vector_to_array("features"), F.array(F.lit(1.0)))).withColumn("_w", weights)
+    margins = given.withColumn("_m", F.transform("_w", lambda w: _dot(w, F.col("_x"))))
+    powers = margins.withColumn("_e", F.transform("_m", lambda m: F.exp(m - F.array_max("_m"))))
+    total = F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v)
+    label, _ = models.argmax_class(F.col("_e"))
+    near = F.abs(F.array_max("_e") / total - F.col("model_confidence")) < 1e-4
+    return powers.agg(F.count(F.lit(1)).alias("windows"), F.count_if((label == F.col("model_label")) & near).alias("alike"))
+
+
+def anomaly_scores_recomputed(spark, sf):
+    """Reconstruction errors of the fitted model and of plain expressions over its stored components: how many, how many alike."""
+    samples = flows.suitability_samples(_readings(spark, sf))
+    model = models.fit_anomaly(samples)
+    scaler, pca = model.stages
+    components = _stored_rows(spark, staging_path(spark, "components"), pca.pc.toArray().T.tolist())
+    spread = [1.0 / d if d else 0.0 for d in scaler.std.toArray().tolist()]
+    moments = _stored_rows(spark, staging_path(spark, "moments"), [scaler.mean.toArray().tolist(), spread])
+    scored = models.anomaly_scores(model, samples).withColumn("_c", components).withColumn("_s", moments).withColumn("_x", vector_to_array("features"))
+    centred = F.zip_with("_x", F.col("_s")[0], lambda x, m: x - m)
+    standard = scored.withColumn("_z", F.zip_with(centred, F.col("_s")[1], lambda x, d: x * d))
+    projected = standard.withColumn("_p", F.transform("_c", lambda c: _dot(c, F.col("_z"))))
+    error = F.greatest(_dot(F.col("_z"), F.col("_z")) - _dot(F.col("_p"), F.col("_p")), F.lit(0.0)) / F.size("_z")
+    return projected.agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.abs(error - F.col("reconstruction_error")) < 1e-9).alias("alike"))
+
+
 QUERIES = {f.__name__: f for f in [
     scaler_params, scaled_readings, scaled_with_saved_parameters, unscaled_moisture, windows_24, windows_48_h24, windows_48_h24_one_series,
     chronological_split, chronological_split_per_node, window_labels, label_distribution, class_weights,
     future_moisture, persistence_metrics, residual_histogram, class_argmax, class_share_metrics, merged_verdicts,
     verdict_report, forecast_metrics, boosted_forecast, line_forecast_metrics, model_verdicts, anomalous_windows,
+    verdict_scores_recomputed, anomaly_scores_recomputed,
 ]}

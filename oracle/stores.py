@@ -38,3 +38,4 @@ SQL = {
           alert_id, severity, metric FROM alerts QUALIFY place <= {FIRST_ALERTS}""",
     "ordered_issues": f"""WITH {PAY}, {ISSUES} SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY srank, pord) AS place, parameter, severity, issue FROM issues""",
 }
+SQL["verdict_scores_recomputed"] = SQL["anomaly_scores_recomputed"] = SQL["reloaded_model"]
