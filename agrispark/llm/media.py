@@ -141,19 +141,23 @@ def parse_sequences(pages: DataFrame, html: str = "html", sequence: str = "seque
 
 
 def resolve(pages: DataFrame, media: DataFrame, keys: list[str], sequence: str = "sequence") -> DataFrame:
-    """Keys and the sequence whose items carry a struct ``media`` with the columns of the media row of their digest.
+    """The pages with a sequence whose items carry a struct ``media`` with the columns of the media row of their digest.
 
-    ``keys`` identify a page. References are joined by digest, a hot digest being split by adaptive execution; text
-    items without a digest don't take part in the join's matches.
+    ``keys`` identify a page. Only references leave their page: they are joined by digest, a hot digest being split by
+    adaptive execution, and what is found comes back by position, so positions and captions stay with their media.
     """
-    items = pages.select(*keys, F.posexplode_outer(sequence).alias("_place", "_item"))
-    found = media.select(F.col("digest").alias("_digest"), F.struct(*[c for c in media.columns if c != "digest"]).alias("_media"))
-    joined = items.join(found, F.col("_item.digest") == F.col("_digest"), "left")
-    item = F.struct(*[F.col(f"_item.{c}").alias(c) for c in ("position", "kind", "text", "digest", "caption")], F.col("_media").alias("media"))
-    return (
-        joined.withColumn("_out", F.when(F.col("_place").isNotNull(), item))
-        .groupBy(*keys).agg(F.array_sort(F.collect_list("_out")).alias(sequence))
+    references = pages.select(*keys, F.inline(F.filter(sequence, lambda i: i["digest"].isNotNull()))).select(*keys, "position", F.col("digest").alias("_digest"))
+    found = media.select(F.col("digest"), F.struct(*[c for c in media.columns if c != "digest"]).alias("_media"))
+    by_page = (
+        references.join(found, F.col("_digest") == F.col("digest")).groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys])
+        .agg(F.map_from_entries(F.collect_list(F.struct("position", "_media"))).alias("_found"))
     )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    names = ("position", "kind", "text", "digest", "caption")
+    filled = F.transform(sequence, lambda i: F.struct(*[i[c].alias(c) for c in names], F.col("_found")[i["position"]].alias("media")))
+    return pages.join(by_page, same, "left").withColumn(sequence, filled).drop("_found", *[f"_key_{k}" for k in keys])
 
 
 def payload_of(text: Column) -> Column:
@@ -220,19 +224,46 @@ def read_back(media: DataFrame) -> DataFrame:
     return measures.groupBy("digest").agg(*[F.first(c).alias(c) for c in measures.columns if c != "digest"])
 
 
+def _figure(payload: Column, caption: Column) -> Column:
+    return F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.sha2(payload, 256), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+
+
+def page_of(text: Column, payload: Column, tail: Column) -> Column:
+    """A page of a text: its lines as paragraphs, the figure of its payload in their middle, that of the tail at the end."""
+    text = F.coalesce(text, F.lit(""))
+    escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.split(escaped, "\n")
+    half = F.floor(F.size(lines) / 2).cast("int")
+    some = lambda first, n: F.concat(F.lit("<p>"), F.array_join(F.slice(lines, first, n), "</p><p>"), F.lit("</p>"))
+    caption = F.concat(F.lit("text of "), F.octet_length(text).cast("string"), F.lit(" bytes"))
+    return F.concat(
+        F.lit("<article>"), some(F.lit(1), half), _figure(payload, caption), some(half + 1, F.size(lines) - half),
+        _figure(tail, F.lit("its last samples")), F.lit("</article>"),
+    )
+
+
 def document_media(documents: DataFrame) -> DataFrame:
-    """Every text as the medium of a page of its own: written as HTML, parsed, resolved by digest, measured.
+    """Every text as a page of text runs and two media, its payload and the payload's last row: written as HTML, parsed
+    into a sequence, resolved by digest, and measured from what the resolved media have stored.
 
-    One row per document with doc_id, n_bytes and the measures of its stored payload, caption and position.
+    One row per document with doc_id, n_bytes, the measures of the payload's medium, and the places and captions of the
+    two media among the page's items. The text runs of a page travel as their lengths.
     """
     payload = payload_of(F.col("text"))
+    tail = F.substring(payload, -WIDTH, WIDTH)
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    caption = F.concat(F.lit("text of "), n_bytes.cast("string"), F.lit(" bytes"))
-    html = F.concat(
-        F.lit(f'<article><figure><img src="{SCHEME}'), F.sha2(payload, 256), F.lit('"><figcaption>'), caption,
-        F.lit("</figcaption></figure></article>"),
+    both = documents.select(F.explode(F.array(payload, tail)).alias("payload"))
+    media = staged(read_back(stored_payloads(both)), "measures")  # so a hot digest's join can split
+    pages = documents.select("doc_id", n_bytes.alias("n_bytes"), page_of(F.col("text"), payload, tail).alias("html"))
+    shortened = F.transform("sequence", lambda i: i.withField("text", F.length(i["text"]).cast("string")))
+    parsed = parse_sequences(pages).select("doc_id", "n_bytes", shortened.alias("sequence")).withColumn("page", F.monotonically_increasing_id())
+    resolved = resolve(staged(parsed, "pages"), media, ["page"])
+    items = F.filter("sequence", lambda i: i["kind"] == "media")
+    whole, last = F.element_at("_items", 1), F.element_at("_items", 2)
+    return resolved.withColumn("_items", items).select(
+        "doc_id", "n_bytes", *[whole["media"][c].alias(c) for c in ("payload_bytes", "payload_sha256")],
+        last["media"]["tail_crc32"].alias("tail_crc32"), *[whole["media"][c].alias(c) for c in ("media_bytes", "media_sha256", "feature")],
+        whole["position"].alias("position"), whole["caption"].alias("caption"), last["position"].alias("tail_position"),
+        last["caption"].alias("tail_caption"), F.size("sequence").alias("items"),
+        F.aggregate("sequence", F.lit(0).cast("long"), lambda acc, i: acc + F.coalesce(i["text"].cast("long"), F.lit(0))).alias("text_chars"),
     )
-    pages = documents.select("doc_id", n_bytes.alias("n_bytes"), html.alias("html"))
-    media = staged(read_back(stored_payloads(documents.select(payload.alias("payload")))), "measures")  # so a hot digest's join can split
-    items = parse_sequences(pages).select("doc_id", "n_bytes", F.inline("sequence"))
-    return items.join(media, "digest", "left").drop("kind", "text", "digest")

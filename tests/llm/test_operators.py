@@ -317,17 +317,53 @@ def test_phrases_are_the_shortest_new_runs():
     assert phrases.likeness(phrases.fingerprint(""), phrases.fingerprint("abc")) == 0.0
 
 
+def decoded(image):
+    """Samples of an 8-bit grey PNG of unfiltered rows, by the format's own rules."""
+    assert image[:8] == b"\x89PNG\r\n\x1a\n"
+    at, chunks = 8, []
+    while at < len(image):
+        n = int.from_bytes(image[at:at + 4], "big")
+        kind, data, check = image[at + 4:at + 8], image[at + 8:at + 8 + n], image[at + 8 + n:at + 12 + n]
+        assert zlib.crc32(kind + data) == int.from_bytes(check, "big")
+        chunks.append((kind, data))
+        at += 12 + n
+    kinds = [k for k, _ in chunks]
+    assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND"
+    width, height, depth, colour = (int.from_bytes(chunks[0][1][i:j], "big") for i, j in ((0, 4), (4, 8), (8, 9), (9, 10)))
+    assert (depth, colour) == (8, 0)
+    raw = zlib.decompress(b"".join(d for k, d in chunks if k == b"IDAT"))
+    rows = [raw[i * (width + 1):(i + 1) * (width + 1)] for i in range(height)]
+    assert len(raw) == height * (width + 1) and all(r[0] == 0 for r in rows)
+    return b"".join(r[1:] for r in rows)
+
+
 def test_stored_media_read_back(docs):
     got = by_id(media.document_media(docs))
+    assert len(got) == len(RAW)
     for doc_id, text, *_ in RAW:
         data = (text or "").encode()
         payload = data + bytes(64 if not data else -len(data) % 64)
         image = media.to_png(payload)
-        assert media.from_png(image) == payload
+        assert decoded(image) == media.from_png(image) == payload
         r = got[doc_id]
         assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(data), len(payload), len(image))
         assert (r["payload_sha256"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(image).hexdigest())
-        assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["feature"] == media.features_of(payload)
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+        share = [n / len(payload) for n in Counter(payload).values()]
+        mean = sum(payload) / len(payload)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in payload) / len(payload))
+        alike = sum(a == b for a, b in zip(payload, payload[1:])) / (len(payload) - 1)
+        bits = max(0.0, -sum(p * math.log2(p) for p in share))
+        size, *values = r["feature"].split(";")
+        assert size == f"64x{len(payload) // 64}"
+        assert [v.split("=")[0] for v in values] == ["mean", "sd", "bits", "alike"]
+        assert all(abs(float(v.split("=")[1]) - w) < 1e-4 for v, w in zip(values, (mean, spread, bits, alike)))
+        runs = [" ".join(line.split()) for line in (text or "").split("\n")]
+        before = [x for x in runs[:len(runs) // 2] if x]
+        filled = [x for x in runs if x]
+        assert (r["position"], r["tail_position"], r["items"]) == (len(before), len(filled) + 1, len(filled) + 2)
+        assert (r["caption"], r["tail_caption"]) == (f"text of {len(data)} bytes", "its last samples")
+        assert r["text_chars"] == sum(map(len, filled))
     damaged = bytearray(media.to_png(bytes(128)))
     damaged[45] ^= 1
     with pytest.raises(ValueError):
@@ -349,6 +385,21 @@ def test_sequences_keep_positions_and_captions(spark):
     assert got[2] == [] and [i["text"] for i in got[3]] == ["plain"]
 
 
+def test_missing_and_shared_digests_stay_in_place(spark):
+    """Several media a page, one of them twice, one that no row has; pages with a null key."""
+    image = lambda d, c: f"<figure><img src='{media.SCHEME}{d}'><figcaption>{c}</figcaption></figure>"
+    html = image("a" * 64, "first") + "<p>between</p>" + image("f" * 64, "missing") + image("b" * 64, "third") + image("a" * 64, "again")
+    pages = spark.createDataFrame([(1, html), (None, html), (7, image("b" * 64, "alone"))], "page_id long, html string")
+    table = spark.createDataFrame([("a" * 64, 1, "x"), ("b" * 64, 2, "y")], "digest string, width int, name string")
+    got = media.resolve(media.parse_sequences(pages), table, ["page_id"]).collect()
+    assert len(got) == 3
+    for r in got:
+        items = [(i["position"], i["kind"], i["caption"], i["media"] and tuple(i["media"])) for i in r["sequence"]]
+        assert items == ([(0, "media", "alone", (2, "y"))] if r["page_id"] == 7 else [
+            (0, "media", "first", (1, "x")), (1, "text", None, None), (2, "media", "missing", None), (3, "media", "third", (2, "y")), (4, "media", "again", (1, "x")),
+        ])
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(6)
     letters = {"aa": "etaoin", "bb": "shrdlu", "cc": "äöüßxq", "dd": "жзийкл"}
