@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from agrispark.llm import katz, language, media, mixing, neardup, phrases, pieces, quality, repeats, tokencount
@@ -310,6 +311,37 @@ def test_fingerprints_of_texts_and_edits(docs):
         assert r["near_next"] == phrases.likeness(own, phrases.fingerprint(follower))
 
 
+def plain_fingerprint(text):
+    """Phrases by Lempel and Ziv's rule, one start after the other, and the least hash of every bin in Python integers."""
+    phrases, at = set(), 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in phrases:
+            end += 1
+        phrases.add(text[at:end])
+        at = end
+    least = {}
+    for p in phrases:
+        h = xxhash.xxh3_64_intdigest(p)
+        least[h >> 57] = min(h, least.get(h >> 57, h))
+    folded = {b: (h >> 25) & 0xFFFFFFFF for b, h in least.items()}
+    return {b: (m ^ (m >> 16)) & 0xFFFF for b, m in folded.items()}
+
+
+def test_fingerprints_equal_plain_python(docs):
+    got = by_id(phrases.fingerprint_pairs(docs))
+    ordered = sorted(RAW, key=lambda r: r[0])
+    of = lambda f: {b: int(f[4 * b:4 * b + 4], 16) for b in range(128) if f[4 * b:4 * b + 4] != "----"}
+    alike = lambda a, b: sum(a.get(k) == b.get(k) for k in {*a, *b}) / len({*a, *b}) if a or b else 1.0
+    for k, (doc_id, text, *_) in enumerate(ordered):
+        text, follower = text or "", ordered[(k + 1) % len(ordered)][1] or ""
+        quarter = len(text) // 4
+        own, new, after = (plain_fingerprint(t) for t in (text, text[:len(text) - quarter] + follower[:quarter], follower))
+        r = got[doc_id]
+        assert of(r["fingerprint"]) == own and of(r["edited_fingerprint"]) == new
+        assert math.isclose(r["near_edited"], alike(own, new)) and math.isclose(r["near_next"], alike(own, after))
+
+
 def test_phrases_are_the_shortest_new_runs():
     seen = set()
     assert phrases.parse("abababa", seen) == "" and seen == {"a", "b", "ab", "aba"}
@@ -413,6 +445,49 @@ def test_languages_are_told_apart(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def plain_trigrams(text):
+    """Buckets of byte trigrams in Python integers: upper case folded, whatever is no letter below 128 is one break."""
+    code = [32, *((b | 32 if chr(b).isalpha() else 32) if b < 128 else b for b in text.encode()), 32]
+    out = Counter()
+    for a, b, c in zip(code, code[1:], code[2:]):
+        if b != 32:
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+            h ^= h >> 15
+            out[(h * 0x2C1B3C6D % 2**32) >> 20] += 1
+    return out
+
+
+def test_decoding_equals_plain_python(spark):
+    """Counts, bit classifiers and loss-based decoding of three languages and of texts that are all alike."""
+    rng = random.Random(21)
+    letters = {"aa": "etaoin", "bb": "shrdlu", "cc": "äöüßxq"}
+    rows = [(i, prose(rng, rng.randint(1, 12), letters[k]), k) for i, k in enumerate(sorted(letters) * 12)]
+    rows += [(100 + i, "tie tie", k) for i, k in enumerate(sorted(letters) * 2)]
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    counts = defaultdict(Counter)
+    for i, text, k in rows:
+        if i not in held:
+            counts[k].update(plain_trigrams(text))
+    names = sorted(counts)
+    share = {k: [(counts[k][b] + 0.5) / (sum(counts[k].values()) + 0.5 * 4096) for b in range(4096)] for k in names}
+    words = {names[0]: (1, 1, 1), names[1]: (-1, 1, -1), names[2]: (-1, -1, 1)}
+    weight = []
+    for bit in range(3):
+        ones, zeros = ([k for k in names if words[k][bit] == v] for v in (1, -1))
+        mean = lambda of, b: sum(share[k][b] for k in of) / len(of)
+        weight.append([math.log(mean(ones, b)) - math.log(mean(zeros, b)) for b in range(4096)])
+    assert sorted(map(tuple, language.codewords(3).T.tolist())) == sorted(zip(*(words[k] for k in names)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in language.predicted(frame, fold(F.col("doc_id"), 4) == 2).collect()}
+    for i, text, _ in rows:
+        grams = plain_trigrams(text)
+        bits = [sum(n * w[b] for b, n in grams.items()) / math.sqrt(max(sum(grams.values()), 1)) for w in weight]
+        loss = {k: sum(math.log1p(math.exp(-b * s)) for b, s in zip(bits, words[k])) for k in names}
+        best = min(names, key=lambda k: (round(loss[k], 9), k))
+        assert got[i]["lang_pred"] == best and got[i]["held_out"] == (i in held)
+        assert math.isclose(got[i]["score"], 1 / sum(math.exp(loss[best] - loss[k]) for k in names), rel_tol=1e-9)
+
+
 def test_codewords_are_far_apart():
     for k in (2, 3, 4, 7, 20):
         code = language.codewords(k)
