@@ -141,12 +141,15 @@ def parse_sequences(pages: DataFrame, html: str = "html", sequence: str = "seque
 
 
 def resolve(pages: DataFrame, media: DataFrame, keys: list[str], sequence: str = "sequence") -> DataFrame:
-    """The pages with a sequence whose items carry a struct ``media`` with the columns of the media row of their digest.
+    """The pages with a sequence whose items carry a struct ``media`` with the columns of the media row of their digest,
+    which the media table may hold as text or as bytes.
 
     ``keys`` identify a page. Only references leave their page: they are joined by digest, a hot digest being split by
     adaptive execution, and what is found comes back by position, so positions and captions stay with their media.
     """
-    references = pages.select(*keys, F.inline(F.filter(sequence, lambda i: i["digest"].isNotNull()))).select(*keys, "position", F.col("digest").alias("_digest"))
+    binary = media.schema["digest"].dataType.typeName() == "binary"
+    items = pages.select(*keys, F.inline(F.filter(sequence, lambda i: i["digest"].isNotNull())))
+    references = items.select(*keys, "position", (F.unhex("digest") if binary else F.col("digest")).alias("_digest"))
     found = media.select(F.col("digest"), F.struct(*[c for c in media.columns if c != "digest"]).alias("_media"))
     by_page = (
         references.join(found, F.col("_digest") == F.col("digest")).groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys])
@@ -202,8 +205,12 @@ def stored_payloads(payloads: DataFrame) -> DataFrame:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Measures of the stored images, from their bytes, one row per digest."""
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Measures of the stored images, from their bytes, one row per digest; digests are binary, as they travel.
+
+    An image whose samples don't have the digest it is stored under raises ValueError.
+    """
+    schema = "digest binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+    types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,13 +218,14 @@ def read_back(media: DataFrame) -> DataFrame:
             for digest, image in zip(batch["digest"].to_pylist(), batch["image"]):
                 image = image.as_py()
                 payload = from_png(image)
+                found = hashlib.sha256(payload)
+                if found.hexdigest() != digest:
+                    raise ValueError(f"the image stored under {digest} has other samples")
                 rows.append((
-                    digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image),
-                    hashlib.sha256(image).hexdigest(), features_of(payload),
+                    found.digest(), len(payload), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).digest(), features_of(payload),
                 ))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in zip(*rows)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())],
-                [c.split()[0] for c in schema.split(", ")],
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], [c.split()[0] for c in schema.split(", ")],
             )
 
     measures = media.mapInArrow(read, schema)
@@ -247,7 +255,7 @@ def document_media(documents: DataFrame) -> DataFrame:
     into a sequence, resolved by digest, and measured from what the resolved media have stored.
 
     One row per document with doc_id, n_bytes, the measures of the payload's medium, and the places and captions of the
-    two media among the page's items. The text runs of a page travel as their lengths.
+    two media among the page's items. Text runs are counted where they are parsed; only references travel, with their places.
     """
     payload = payload_of(F.col("text"))
     tail = F.substring(payload, -WIDTH, WIDTH)
@@ -255,15 +263,19 @@ def document_media(documents: DataFrame) -> DataFrame:
     both = documents.select(F.explode(F.array(payload, tail)).alias("payload"))
     media = staged(read_back(stored_payloads(both)), "measures")  # so a hot digest's join can split
     pages = documents.select("doc_id", n_bytes.alias("n_bytes"), page_of(F.col("text"), payload, tail).alias("html"))
-    shortened = F.transform("sequence", lambda i: i.withField("text", F.length(i["text"]).cast("string")))
-    parsed = parse_sequences(pages).select("doc_id", "n_bytes", shortened.alias("sequence")).withColumn("page", F.monotonically_increasing_id())
+    is_media = lambda i: i["kind"] == "media"
+    parsed = parse_sequences(pages).select(
+        "doc_id", "n_bytes", F.size("sequence").alias("items"),
+        F.aggregate("sequence", F.lit(0).cast("long"), lambda n, i: n + F.coalesce(F.length(i["text"]), F.lit(0))).alias("text_chars"),
+        F.filter("sequence", is_media).alias("sequence"),
+    ).withColumn("page", F.monotonically_increasing_id())
     resolved = resolve(staged(parsed, "pages"), media, ["page"])
-    items = F.filter("sequence", lambda i: i["kind"] == "media")
-    whole, last = F.element_at("_items", 1), F.element_at("_items", 2)
-    return resolved.withColumn("_items", items).select(
-        "doc_id", "n_bytes", *[whole["media"][c].alias(c) for c in ("payload_bytes", "payload_sha256")],
-        last["media"]["tail_crc32"].alias("tail_crc32"), *[whole["media"][c].alias(c) for c in ("media_bytes", "media_sha256", "feature")],
+    whole, last = F.element_at("sequence", 1), F.element_at("sequence", 2)
+    return resolved.select(
+        "doc_id", "n_bytes", whole["media"]["payload_bytes"].alias("payload_bytes"),
+        F.when(whole["media"].isNotNull(), whole["digest"]).alias("payload_sha256"),  # what was read back has this digest
+        last["media"]["tail_crc32"].alias("tail_crc32"), whole["media"]["media_bytes"].alias("media_bytes"),
+        F.lower(F.hex(whole["media"]["media_sha256"])).alias("media_sha256"), whole["media"]["feature"].alias("feature"),
         whole["position"].alias("position"), whole["caption"].alias("caption"), last["position"].alias("tail_position"),
-        last["caption"].alias("tail_caption"), F.size("sequence").alias("items"),
-        F.aggregate("sequence", F.lit(0).cast("long"), lambda acc, i: acc + F.coalesce(i["text"].cast("long"), F.lit(0))).alias("text_chars"),
+        last["caption"].alias("tail_caption"), "items", "text_chars",
     )
