@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from agrispark.sources.telemetry import EVENT_READING_EXPRS, readings_from_event
 WATERMARK = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLICE_ROWS = 1_000_000  # readings of a micro-batch when a table is streamed in time order, about
+SLICE_ROWS_PER_NODE = 64  # and no fewer than this for each node: every node of a micro-batch costs calls to its state
+WINDOWS_PER_FRAME = 4_096  # windows that a hot node hands over at once
 
 
 def reading_stream(spark: SparkSession, path: str, fmt: str = "json", max_files: int = 100) -> DataFrame:
@@ -72,9 +75,8 @@ WINDOW_OUTPUT = T.StructType([
     T.StructField("node_id", T.StringType()), T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampType()), T.StructField("window", _VALUES),
 ])
-_PLACE = T.StructType([T.StructField("micros", T.LongType()), T.StructField("event_id", T.LongType())])
-_MEASURES = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
-_SENT = T.StructType([*_PLACE.fields, *_MEASURES.fields])
+_PACKED = T.StructType([T.StructField("places", T.BinaryType()), T.StructField("values", T.BinaryType())])
+_TIMES = T.StructType([T.StructField("micros", T.BinaryType())])
 SILENCE_OUTPUT = T.StructType([
     T.StructField("node_id", T.StringType()), T.StructField("event", T.StringType()),
     T.StructField("at", T.TimestampType()), T.StructField("last_seen", T.TimestampType()),
@@ -86,13 +88,10 @@ def _micros(stamps: pd.Series) -> list[int]:
     return stamps.astype("datetime64[us]").astype("int64").tolist()
 
 
-def _wake(handle: StatefulProcessorHandle, at: int | None, passed: int = -1) -> None:
-    """One timer a key, at the given millisecond; an earlier one that is set already stays.
-
-    Timers up to ``passed`` are firing and go by themselves.
-    """
-    timers = [t for t in handle.listTimers() if t > passed]
-    if at is None or (timers and min(timers) <= at):
+def _wake(handle: StatefulProcessorHandle, at: int) -> None:
+    """One timer a key, at the given millisecond; an earlier one that is set already stays."""
+    timers = list(handle.listTimers())
+    if timers and min(timers) <= at:
         return
     for timer in timers:
         handle.deleteTimer(timer)
@@ -100,9 +99,10 @@ def _wake(handle: StatefulProcessorHandle, at: int | None, passed: int = -1) ->
 
 
 class RollingWindows(StatefulProcessor):
-    """Readings wait in a map until the watermark passes them; a list keeps the last ``length - 1`` that were sent.
+    """Readings wait in a list until the watermark passes them; a value keeps the last ``length - 1`` that were sent.
 
-    A batch touches the map entries of its own readings only; the list changes when windows are sent.
+    A call to the state costs far more than a reading, so what a batch brings for a node is one packed entry of the list:
+    places (microsecond, whether it has an id, id) and measures, as whole numbers and doubles in little-endian order.
     """
 
     def __init__(self, length: int, features: list[str]):
@@ -110,38 +110,62 @@ class RollingWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sent = handle.getListState("sent", _SENT)
-        self.waiting = handle.getMapState("waiting", _PLACE, _MEASURES)
+        self.sent = handle.getValueState("sent", _PACKED)
+        self.waiting = handle.getListState("waiting", _PACKED)
+
+    def _unpacked(self, entries: list) -> tuple[np.ndarray, np.ndarray]:
+        places = np.frombuffer(b"".join(bytes(e[0]) for e in entries), "<i8").reshape(-1, 3)
+        return places, np.frombuffer(b"".join(bytes(e[1]) for e in entries), "<f8").reshape(-1, len(self.features))
+
+    def _sent(self) -> tuple[np.ndarray, np.ndarray]:
+        sent = self.sent.get()
+        return self._unpacked([] if sent is None else [sent])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known, first = {r[1] for r in self.sent.get()}, None
+        known, first = self._sent()[0], None
         for batch in rows:
-            values = batch[self.features].fillna(0.0).to_numpy("float64").tolist()
-            for micros, event_id, measures in zip(_micros(batch["ts"]), batch["event_id"].tolist(), values):
-                if event_id not in known:
-                    self.waiting.updateValue((micros, event_id), (measures,))
-                    first = micros // 1000 if first is None else min(first, micros // 1000)
-        _wake(self.handle, first)
+            ids = batch["event_id"]
+            places = np.column_stack([_micros(batch["ts"]), ids.notna(), ids.fillna(0)]).astype("<i8")
+            new = ~(np.isin(places[:, 2], known[known[:, 1] == 1, 2]) & (places[:, 1] == 1))
+            if new.any():
+                values = batch[self.features].to_numpy("<f8")
+                values = np.where(np.isnan(values), 0.0, values)
+                self.waiting.appendValue((places[new].tobytes(), values[new].tobytes()))
+                least = int(places[new, 0].min()) // 1000
+                first = least if first is None else min(first, least)
+        if first is not None:
+            _wake(self.handle, first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        places = sorted(tuple(p) for p in self.waiting.keys())
-        ready = [p for p in places if p[0] // 1000 <= passed]
-        sent = [(r[0], r[1], list(r[2])) for r in self.sent.get()]
-        merged = [*sent, *((*p, list(self.waiting.getValue(p)[0])) for p in ready)]
-        out = [
-            (key[0], merged[i][1], pd.Timestamp(merged[i][0], unit="us"), [r[2] for r in merged[i - self.length + 1:i + 1]])
-            for i in range(max(self.length - 1, len(sent)), len(merged))
-        ]
-        for p in ready:
-            self.waiting.removeKey(p)
-        if ready:
-            self.sent.put(merged[max(0, len(merged) - max(self.length - 1, 1)):])
-        if len(places) > len(ready):
-            _wake(self.handle, max(places[len(ready)][0] // 1000, passed + 1), passed)
-        if out:
-            yield pd.DataFrame(out, columns=WINDOW_OUTPUT.fieldNames())
+        places, values = self._unpacked(list(self.waiting.get()))
+        order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
+        places, values = places[order], values[order]
+        newest = np.append((places[1:] != places[:-1]).any(axis=1), True)[:len(places)]  # of one place, what came last
+        places, values = places[newest], values[newest]
+        n = int(np.searchsorted(places[:, 0] // 1000, passed, side="right"))
+        sent = self._sent()
+        known = len(sent[0])
+        if n:
+            merged = np.concatenate([sent[0], places[:n]]), np.concatenate([sent[1], values[:n]])
+            last = max(0, known + n - max(self.length - 1, 1))
+            self.sent.update((merged[0][last:].tobytes(), merged[1][last:].tobytes()))
+            if n < len(places):
+                self.waiting.put([(places[n:].tobytes(), values[n:].tobytes())])
+            else:
+                self.waiting.clear()
+        if n < len(places):
+            self.handle.registerTimer(max(int(places[n, 0]) // 1000, passed + 1))
+        for start in range(max(self.length - 1, known), known + n, WINDOWS_PER_FRAME):
+            end = min(start + WINDOWS_PER_FRAME, known + n)
+            steps = merged[1][start - self.length + 1:end].tolist()
+            told = merged[0][start:end]
+            ids = told[:, 2] if told[:, 1].all() else pd.arrays.IntegerArray(told[:, 2].copy(), told[:, 1] == 0)
+            yield pd.DataFrame({
+                "node_id": key[0], "event_id": ids, "ts": told[:, 0].astype("datetime64[us]"),
+                "window": [steps[i:i + self.length] for i in range(len(told))],
+            })
 
     def close(self) -> None:
         pass
@@ -168,7 +192,7 @@ def rolling_windows(readings: DataFrame, watermark: str, length: int = limits.SU
 
 class Silence(StatefulProcessor):
     """Readings' times wait until the watermark passes them and are then gone through in order, so what is told does not
-    hang on how they were dealt to batches."""
+    hang on how they were dealt to batches. The times that a batch brings are one packed entry of a list."""
 
     def __init__(self, gap_seconds: int):
         self.gap = gap_seconds * 1_000_000
@@ -176,36 +200,41 @@ class Silence(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", _SEEN)
-        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("micros", T.LongType())]), T.StructType([T.StructField("n", T.LongType())]))
+        self.waiting = handle.getListState("waiting", _TIMES)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = {m for batch in rows for m in _micros(batch["ts"])}
-        for micros in times:
-            self.waiting.updateValue((micros,), (1,))
-        _wake(self.handle, min(times) // 1000 if times else None)
+        times = np.unique(np.concatenate([np.array(_micros(batch["ts"]), "<i8") for batch in rows]))
+        if len(times):
+            self.waiting.appendValue((times.tobytes(),))
+            _wake(self.handle, int(times[0]) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        last, silent = self.seen.get() if self.seen.exists() else (None, False)
+        last, silent = self.seen.get() or (None, False)
         out = []
         stamp = lambda micros: pd.Timestamp(micros, unit="us")
-        times = sorted(p[0] for p in self.waiting.keys())
-        ready = [m for m in times if m // 1000 <= passed]
+        times = np.unique(np.frombuffer(b"".join(bytes(e[0]) for e in self.waiting.get()), "<i8"))
+        n = int(np.searchsorted(times // 1000, passed, side="right"))
+        ready, following = times[:n].tolist(), times[n:n + 1].tolist()
         for micros in ready:
             if last is not None and micros > last + self.gap:
                 if not silent:
                     out.append((key[0], "silent", stamp(last + self.gap), stamp(last)))
                 out.append((key[0], "back", stamp(micros), stamp(last)))
             last, silent = max(micros, last or micros), False
-            self.waiting.removeKey((micros,))
-        if last is not None and not silent and (last + self.gap) // 1000 <= passed and not (len(times) > len(ready) and times[len(ready)] <= last + self.gap):
+        if n and following:
+            self.waiting.put([(times[n:].tobytes(),)])
+        elif n:
+            self.waiting.clear()
+        if last is not None and not silent and (last + self.gap) // 1000 <= passed and not (following and following[0] <= last + self.gap):
             out.append((key[0], "silent", stamp(last + self.gap), stamp(last)))
             silent = True
         if last is not None:
             self.seen.update((last, silent))
-        ahead = [m // 1000 for m in times[len(ready):len(ready) + 1]] + ([] if silent or last is None else [(last + self.gap) // 1000])
-        _wake(self.handle, max(min(ahead), passed + 1) if ahead else None, passed)
+        ahead = [m // 1000 for m in following] + ([] if silent or last is None else [(last + self.gap) // 1000])
+        if ahead:
+            self.handle.registerTimer(max(min(ahead), passed + 1))
         if out:
             yield pd.DataFrame(out, columns=SILENCE_OUTPUT.fieldNames())
 
@@ -246,12 +275,13 @@ def drain_in_order(
 ) -> DataFrame:
     """The result of the stream ``build(readings)`` over the whole events table, whatever its files and their order.
 
-    The table is written once in slices of time, about ``slice_rows`` (``SLICE_ROWS``) each. One query runs on; slices are
+    The table is written once in slices of time, about ``slice_rows`` each (``SLICE_ROWS``, more for very many nodes). One query runs on; slices are
     moved into its folder one after the other, when it has gone through those before, so no reading is ever behind the
     watermark. If Spark drops one nevertheless, the job fails.
     """
     readings = readings_from_events(spark, sf_dir)
-    slices = max(1, -(-readings.count() // (slice_rows or SLICE_ROWS)))
+    total = readings.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("node_id").alias("nodes")).first()
+    slices = max(1, -(-total["rows"] // (slice_rows or max(SLICE_ROWS, total["nodes"] * SLICE_ROWS_PER_NODE))))
     ordered, arrived = f"{path}/ordered", f"{path}/arrived"
     placed = readings.repartitionByRange(slices, "ts").withColumn("slice", F.spark_partition_id())
     placed.write.partitionBy("slice").parquet(ordered)

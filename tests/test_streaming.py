@@ -140,3 +140,67 @@ def test_latest_state_is_read_while_the_query_goes_on(spark, folder, tmp_path):
         query.stop()
     expected = latest.latest_per_node(batch(spark, folder)).select("node_id", "event_id").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+
+
+class CountedState:
+    """Value, list, map and timers of one key in memory; every call is counted."""
+
+    def __init__(self, counter):
+        self.counter, self.rows, self.value, self.timers = counter, [], None, []
+
+    def __getattr__(self, name):
+        calls = {
+            "get": lambda: self.value if self.value is not None else iter(list(self.rows)), "update": lambda v: setattr(self, "value", v),
+            "appendValue": self.rows.append, "put": lambda rows: setattr(self, "rows", list(rows)), "clear": self.rows.clear,
+            "listTimers": lambda: iter(self.timers), "registerTimer": self.timers.append, "deleteTimer": self.timers.remove,
+        }
+
+        def call(*given):
+            self.counter.append(name)
+            return calls[name](*given)
+
+        return call
+
+
+class CountedHandle(CountedState):
+    def getListState(self, name, schema):
+        return CountedState(self.counter)
+
+    def getValueState(self, name, schema):
+        state = CountedState(self.counter)
+        state.__dict__["get"] = lambda: (self.counter.append("get"), state.value)[1]
+        return state
+
+
+@pytest.mark.parametrize("processor", [sr.RollingWindows(4, ["moisture_pct"]), sr.Silence(3600)])
+def test_state_is_called_by_batch_and_not_by_reading(processor):
+    """A thousand readings of a node in two frames, passed in one go, cost a handful of calls."""
+    calls = []
+    processor.init(CountedHandle(calls))
+    stamps = pd.date_range("2024-01-01", periods=1000, freq="1min")
+    frame = pd.DataFrame({"ts": stamps, "event_id": range(1000), "moisture_pct": [float(i) for i in range(1000)]})
+    list(processor.handleInputRows(("n",), iter([frame[500:], frame[:500]]), None))
+    timer = type("Timer", (), {"getCurrentWatermarkInMs": lambda self: int(stamps[899].value // 1_000_000)})()
+    out = list(processor.handleExpiredTimer(("n",), timer, None))
+    assert len(calls) < 15
+    if isinstance(processor, sr.RollingWindows):
+        told = pd.concat(out)
+        assert told["event_id"].tolist() == list(range(3, 900))
+        assert [[s[0] for s in w] for w in told["window"]] == [[float(j) for j in range(i - 3, i + 1)] for i in range(3, 900)]
+
+
+def test_windows_of_readings_without_an_id(spark, tmp_path):
+    """A reading without an id comes before those of its time that have one, and has no id in the result either."""
+    rows = [{"event_id": None if i % 2 else i, "ts": minute(i // 2 * 2), "node_id": "n", "moisture_pct": float(i)} for i in range(8)]
+    later = [{"event_id": 99, "ts": minute(60), "node_id": "n", "moisture_pct": 0.0}]
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate([rows, later]):
+        pd.DataFrame(part).astype({"event_id": "Int64"}).to_json(tmp_path / "in" / f"{k}.json", orient="records", lines=True)
+        os.utime(tmp_path / "in" / f"{k}.json", (k + 1, k + 1))
+    stream = sr.reading_stream(spark, str(tmp_path / "in"), max_files=1)
+    got = sr.run_to_end(sr.rolling_windows(stream, "5 minutes", length=2), str(tmp_path / "out")).collect()
+    order = [1, 0, 3, 2, 5, 4, 7, 6]
+    assert sorted((r["event_id"], [s[3] for s in r["window"]]) for r in got if r["event_id"] is not None) == [
+        (i, [float(order[k - 1]), float(i)]) for k, i in enumerate(order) if k and i % 2 == 0
+    ]
+    assert len(got) == 7 and sum(r["event_id"] is None for r in got) == 3
