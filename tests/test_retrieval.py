@@ -186,3 +186,19 @@ def test_one_cell_holds_a_tiny_corpus(spark, tmp_path):
     index = cells.build_cells(frame, str(tmp_path / "i"), cells.fit_centres(frame, 1))
     found = cells.cell_search(index, frame.withColumnRenamed("chunk_id", "query_id"), 1, 3, str(tmp_path / "s"))
     assert sorted((r["query_id"], r["chunk_id"], r["dense_score"]) for r in found.collect()) == [(1, 1, 1.0), (2, 2, 1.0)]
+
+
+def test_parts_grow_with_the_corpus_and_not_with_the_session(spark, tmp_path, monkeypatch):
+    """Ten times the limits in text, postings and pairs: more partitions than the session has, the same rows; a chunk id twice and null."""
+    corpus = texts(200, 7)
+    chunks = spark.createDataFrame([*corpus.items(), ("c000", corpus["c000"]), (None, "soil and lime")], "chunk_id string, text string")
+    queries = spark.createDataFrame([(f"q{i}", " ".join(WORDS[i:i + 4])) for i in range(8)], "query_id string, text string")
+    rows = lambda index: sorted(map(tuple, retrieval.bm25_search(index, queries, 5).collect()))
+    plain = retrieval.build_index(chunks, str(tmp_path / "plain"))
+    wanted = sorted(map(str, plain.postings.collect())), rows(plain)
+    monkeypatch.setattr(retrieval, "CHARS_PER_PART", retrieval.text_size(chunks) // 10)
+    monkeypatch.setattr(retrieval, "POSTINGS_PER_PART", 100)
+    small = retrieval.build_index(chunks, str(tmp_path / "small"))
+    assert (sorted(map(str, small.postings.collect())), rows(small)) == wanted
+    assert retrieval.in_parts(chunks, "chunk_id", 100, 10).rdd.getNumPartitions() == 10
+    assert len({f for f in small.postings.inputFiles()}) > int(spark.conf.get("spark.sql.shuffle.partitions"))
