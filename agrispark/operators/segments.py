@@ -61,13 +61,16 @@ def add_segment(chunks: DataFrame, path: str, batch: int, load_encoder: Callable
     tokens = F.when(F.col("live"), tx.tokens(F.col("text"))).otherwise(F.array().cast("array<string>"))
     words = changed.withColumn("tokens", tokens).withColumn("doc_len", F.size("tokens").cast("long"))
     write_batch(words.select("chunk_id", "content_hash", "doc_len", "live", "old_batch", "old_len"), path, "log", batch)
-    fresh = words.where("live").select("chunk_id", "doc_len", F.explode("tokens").alias("term"))
+    # Texts are dealt by chunk before they are split, so the larger exploded postings are counted in place.
+    placed = retrieval.in_parts(changed.where("live").select("chunk_id", "text"), "chunk_id", retrieval.text_size(incoming), retrieval.CHARS_PER_PART)
+    split = placed.select("chunk_id", tx.tokens(F.col("text")).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
+    fresh = split.select("chunk_id", "doc_len", F.explode("tokens").alias("term"))
     write_batch(fresh.groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf")), path, "postings", batch)
     counted = Observation()
     encoded = retrieval.embed(changed.where("live").select("chunk_id", "text"), load_encoder).select("chunk_id", "embedding")
     write_batch(encoded.observe(counted, F.count(F.lit(1)).alias("n")), path, "vectors", batch)
     postings = all_batches(spark, path, "postings", POSTINGS)
-    dead = spark.read.parquet(f"{path}/log/batch={batch}").where("old_batch IS NOT NULL").select("chunk_id", F.col("old_batch").alias("batch"))
+    dead = spark.read.parquet(f"{path}/log/batch={batch}").where("old_batch IS NOT NULL").select("chunk_id", F.col("old_batch").alias("batch")).hint("shuffle_hash")
     moves = (
         postings.where(F.col("batch") == batch).select("term", F.lit(1).alias("step"))
         .unionByName(postings.where(F.col("batch") < batch).join(dead, ["chunk_id", "batch"], "left_semi").select("term", F.lit(-1).alias("step")))
@@ -80,7 +83,9 @@ def read_index(spark: SparkSession, path: str) -> SparseIndex:
     """The sparse index of all committed segments: live postings, and frequencies from the summed deltas."""
     live = live_chunks(spark, path)
     sizes = live.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length")).first()
-    postings = committed(spark, path, "postings", POSTINGS).join(live.select("chunk_id", "batch"), ["chunk_id", "batch"], "left_semi").drop("batch")
+    postings = committed(spark, path, "postings", POSTINGS).join(
+        live.select("chunk_id", "batch").hint("shuffle_hash"), ["chunk_id", "batch"], "left_semi"  # postings are not sorted for it
+    ).drop("batch")
     vocabulary = committed(spark, path, "deltas", DELTAS).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     mean = vocabulary.agg(F.avg(retrieval.raw_idf(sizes["n"]))).first()[0] or 0.0
     return SparseIndex(postings, vocabulary, sizes["n"], sizes["length"] / sizes["n"] if sizes["n"] else 0.0, mean)

@@ -81,3 +81,14 @@ def test_compacted_index_is_the_same_and_goes_on(spark, grown, tmp_path):
     assert spark.read.parquet(f"{target}/vectors").count() == len(LEFT)
     segments.add_segment(batch(spark, [("d", "seed", False), ("a", None, True)]), target, 9, lengths)
     assert state(spark, target)[5] == ["b", "d", "e"] and segments.encodings(spark, target).where("chunk_id = 'd'").first()["times"] == 1
+
+
+def test_parts_of_a_segment_grow_with_its_text(spark, tmp_path, monkeypatch):
+    """With small parts postings of a batch lie in more files than the session has partitions; the index is the same."""
+    rows = [(f"k{i:03d}", f"soil lime{i} root{i % 7}", False) for i in range(100)]
+    for name, chars in (("plain", 8_000_000), ("small", 100)):
+        monkeypatch.setattr(retrieval, "CHARS_PER_PART", chars)
+        segments.add_segment(batch(spark, rows), str(tmp_path / name), 0, lengths)
+    assert state(spark, str(tmp_path / "small")) == state(spark, str(tmp_path / "plain"))
+    files = spark.read.parquet(str(tmp_path / "small" / "postings")).inputFiles()
+    assert len(files) > int(spark.conf.get("spark.sql.shuffle.partitions"))
