@@ -20,7 +20,7 @@ from agrispark.rules import crop_profile as cp
 def as_features(windows: DataFrame, length: int) -> DataFrame:
     """Flattened window as an ML vector; only windows of exactly ``length`` rows pass."""
     return windows.where(F.size("window") == length).withColumn(
-        "features", array_to_vector(F.flatten(F.transform("window", lambda step: F.transform(step, lambda v: F.coalesce(v, F.lit(0.0))))))
+        "features", array_to_vector(F.transform(F.flatten("window"), lambda v: F.coalesce(v, F.lit(0.0))))
     )
 
 

@@ -2,8 +2,9 @@
 
 Windows over readings are count-based, so a row's position within its node matters. Numbering a node with one
 ``PARTITION BY node`` window would put a hot node in one task. Instead rows are counted per (node, time bucket),
-the small counts are accumulated per node, and rows are numbered inside their bucket; windows then run over
-blocks of consecutive positions that repeat the few neighbouring rows they need.
+the small counts are accumulated per node, and rows are numbered inside their bucket; windows are then cut out of
+blocks of consecutive positions that repeat the few neighbouring rows they need. A block can be stored: it has each
+reading once, where windows have it as often as they are long.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from agrispark.sources import dims
 BLOCK_ROWS = 4096
 BUCKET_WIDTHS = (86_400, 3_600, 60, 1)
 ROWS_PER_BUCKET = 2_000_000
+VALUES_PER_PART = 16_000_000  # values in the windows of one partition, about
 
 
 def time_bucket(ts: str = "ts", seconds: int = BUCKET_WIDTHS[0]) -> Column:
@@ -86,13 +88,14 @@ def overlapping_blocks(numbered: DataFrame, look_back: int, look_ahead: int, blo
 
 def sliding_windows(readings: DataFrame, length: int, features: list[str] = cp.FEATURES, horizon: int = 0,
                     target: str | None = None, carry: list[str] | None = None, key: list[str] | None = None,
-                    bucket_seconds: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    bucket_seconds: int | None = None, block_rows: int = BLOCK_ROWS, path: str | None = None) -> DataFrame:
     """All full windows of ``length`` consecutive readings per node, oldest row first.
 
     Output: key, seq and ts of the last row, ``carry`` columns of the last row, ``window`` as an array of feature
     arrays, and with a horizon the ``target`` value that many rows later (windows without one are dropped).
     ``key=[]`` treats the whole table as one series. Without a bucket width the data decides. Readings without a time
-    have no place in a window.
+    have no place in a window. With a ``path`` the blocks are stored there, for windows that are read more than once,
+    and dealt to partitions by the number of values in their windows.
     """
     readings = readings.where(F.col("ts").isNotNull())
     key = ["node_id"] if key is None else key
@@ -100,17 +103,43 @@ def sliding_windows(readings: DataFrame, length: int, features: list[str] = cp.F
     carry = carry or []
     needed = list(dict.fromkeys([*key, "event_id", "ts", *features, *carry, *([target] if target else [])]))
     numbered = with_position_in_key(readings.select(*needed), key, ["ts", "event_id"], time_bucket("ts", bucket_seconds))
-    blocks = overlapping_blocks(numbered, length - 1, horizon, block_rows)
-    group = W.partitionBy(*key, "_block").orderBy("seq")
+    last = [c for c in dict.fromkeys(["seq", "event_id", "ts", "key_rows", *carry]) if c not in key]
     step = F.array(*[F.col(f).cast("double") for f in features])
-    windowed = blocks.withColumn("window", F.collect_list(step).over(group.rowsBetween(-(length - 1), 0)))
-    keep = F.col("_own") & (F.col("seq") >= length - 1)
-    out = [*key, "event_id", "ts", "seq", "key_rows", *carry, "window"]
-    if target:
-        windowed = windowed.withColumn("target_value", F.lead(F.col(target), horizon).over(group))
-        keep = keep & (F.col("seq") + horizon < F.col("key_rows"))
-        out.append("target_value")
-    return windowed.where(keep).select(*dict.fromkeys(out))
+    row = F.struct(*last, *([F.col(target).alias("_target")] if target else []), step.alias("_step"))
+    blocks = (
+        overlapping_blocks(numbered, length - 1, horizon, block_rows).groupBy(*key, "_block")
+        .agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+        .select(*key, "_block", "_rows", F.col("_rows")["_step"].alias("_steps"))
+    )
+    if path:
+        blocks = _stored_blocks(blocks, [*key, "_block"], length * len(features), path)
+    out = [*key, *[c for c in ("event_id", "ts", "seq", "key_rows", *carry) if c not in key], "window", *(["target_value"] if target else [])]
+    return _cut_windows(blocks, key, last, length, horizon, target is not None, block_rows).select(*dict.fromkeys(out))
+
+
+def _stored_blocks(blocks: DataFrame, key: list[str], values: int, path: str) -> DataFrame:
+    """Blocks written and read back; file sizes say nothing of their windows, so these decide on the partitions."""
+    spark = blocks.sparkSession
+    blocks.drop("_steps").write.parquet(path)
+    stored = spark.read.parquet(path)
+    rows = stored.agg(F.sum(F.size("_rows"))).first()[0] or 0
+    parts = max(-(-rows * values // VALUES_PER_PART), spark.sparkContext.defaultParallelism)
+    return stored.repartition(parts, *key).withColumn("_steps", F.col("_rows")["_step"])
+
+
+def _cut_windows(blocks: DataFrame, key: list[str], last: list[str], length: int, horizon: int, target: bool, block_rows: int) -> DataFrame:
+    """The windows that end in rows of the block itself; positions in a block have no gaps."""
+    first_row = F.col("_rows")[0]
+    start = F.greatest(F.col("_block") * block_rows, F.lit(length - 1)) - first_row["seq"]
+    end = F.least((F.col("_block") + 1) * block_rows, first_row["key_rows"] - horizon) - 1 - first_row["seq"]
+
+    def window(i: Column) -> Column:
+        row = F.get("_rows", i)
+        fields = [row[c].alias(c) for c in last] + [F.slice("_steps", i - (length - 2), F.lit(length)).alias("window")]
+        return F.struct(*fields, *([F.get("_rows", i + horizon)["_target"].alias("target_value")] if target else []))
+
+    places = F.when(start <= end, F.sequence(start.cast("int"), end.cast("int")))
+    return blocks.select(*key, F.inline(F.transform(places, window)))
 
 
 def scaler_params(readings: DataFrame, features: list[str] = cp.FEATURES) -> DataFrame:
@@ -156,6 +185,10 @@ def chronological_split(samples: DataFrame, key: list[str], train: float = 0.70,
     """
     bucket = time_bucket("ts", fitting_bucket(samples, key)) if bucket is None else bucket
     placed = with_position_in_key(samples.drop("seq", "key_rows"), key, order or ["ts", "event_id"], bucket)
+    return _with_split(placed, train, validation)
+
+
+def _with_split(placed: DataFrame, train: float, validation: float) -> DataFrame:
     train_end = F.floor(F.col("key_rows") * train)
     val_end = train_end + F.floor(F.col("key_rows") * validation)
     return placed.withColumn(
@@ -163,6 +196,15 @@ def chronological_split(samples: DataFrame, key: list[str], train: float = 0.70,
     )
 
 
+def split_windows(windows: DataFrame, length: int, horizon: int = 0, train: float = 0.70, validation: float = 0.15) -> DataFrame:
+    """``chronological_split`` of ``sliding_windows`` by their key, from the positions that they have already.
+
+    A key's windows end at positions length - 1 to key_rows - horizon - 1, so nothing is numbered and no window moves.
+    """
+    placed = windows.withColumns({"seq": F.col("seq") - (length - 1), "key_rows": F.col("key_rows") - (length - 1 + horizon)})
+    return _with_split(placed, train, validation)
+
+
 def future_value(readings: DataFrame, column: str, horizon: int = limits.FORECAST_HORIZON,
                  bucket_seconds: int | None = None) -> DataFrame:
     """Each reading next to its own value ``horizon`` readings later."""

@@ -152,3 +152,25 @@ def test_sketches_of_ranges(spark):
         days = {"one": range(1), "two": range(1, 3), "all": range(4)}[r["name"]]
         exact = len({n for _, t, n in rows if t is not None and n is not None and (t - day).days in days})
         assert abs(r["nodes"] - exact) <= 4 * sketches.RELATIVE_ERROR * exact and r["readings"] == 3000 * len(days)
+
+
+@pytest.mark.parametrize("block_rows", [4096, 7])
+def test_stored_windows_are_the_same_and_their_number_decides_on_partitions(spark, tmp_path, monkeypatch, block_rows):
+    """Blocks read back give the windows of blocks that aren't stored, in partitions that the windows' values fill."""
+    monkeypatch.setattr(sequences, "VALUES_PER_PART", 200)
+    rows, frame = readings(spark, {"hot": 60, "a": 9, "b": 5, "c": 1, None: 8})
+    given = {"length": 5, "features": FEATURES, "horizon": 3, "target": "moisture_pct", "block_rows": block_rows}
+    stored = sequences.sliding_windows(frame, **given, path=str(tmp_path / "blocks"))
+    key = lambda r: r["event_id"]
+    assert sorted(stored.collect(), key=key) == sorted(sequences.sliding_windows(frame, **given).collect(), key=key)
+    assert stored.rdd.getNumPartitions() >= len(rows) * 5 * len(FEATURES) // 200
+
+
+def test_split_of_windows_by_their_positions(spark, tmp_path):
+    _, frame = readings(spark, {"hot": 90, "a": 30, "b": 9, "c": 2, None: 12})
+    windows = sequences.sliding_windows(frame, 5, FEATURES, horizon=3, target="moisture_pct", path=str(tmp_path / "blocks"))
+    columns = ["node_id", "event_id", "seq", "key_rows", "split"]
+    got = sequences.split_windows(windows, 5, 3).select(*columns)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    wanted = sequences.chronological_split(windows, ["node_id"]).select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
