@@ -14,6 +14,8 @@ from agrispark.functions.numeric import fixed, let, rounded
 from agrispark.operators.cleanse import normalise_crop
 from agrispark.rules import crop_profile as cp
 
+PAYLOADS_PER_PART = 100_000  # payloads whose report lines one task collects, about
+
 
 def _bounds(p: Column) -> list[Column]:
     return [p["optimal_min"], p["optimal_max"], p["critical_min"], p["critical_max"]]
@@ -115,17 +117,20 @@ def param_flags(payloads: DataFrame, profiles: DataFrame, keys: list[str], colum
                 crop: str = "crop_key") -> DataFrame:
     """Long form: one row per (payload, parameter), missing parameters included.
 
-    Unpivot, a broadcast join with the parameter limits to class the value, and one with the texts of that class:
-    all in generated code, small enough to be compiled. A crop without a profile fails the job, as in ``evaluate``.
+    The values exploded, a broadcast join with the parameter limits to class the value, and one with the texts of that
+    class: all in generated code, small enough to be compiled, and rows stay in the partition of their payload, which
+    an unpivot would not tell Spark. A crop without a profile fails the job, as in ``evaluate``.
     """
     columns = columns or {k: k for k in cp.PARAM_KEYS if k in payloads.columns}
     named, profile = _joined(payloads, profiles.select("crop_key", "params"), crop, strict=True)
     known_crop = F.when(F.size(profile) >= 0, F.col(crop))  # raises for an unknown crop
-    wide = named.select(*keys, known_crop.alias("crop_key"), *[F.col(c).alias(k) for k, c in columns.items()])
+    values = F.posexplode(F.array(*[F.col(c) for c in columns.values()])).alias("_pos", "value")
+    names = F.array(*[F.lit(k) for k in columns])
     limits = F.broadcast(profiles.select("crop_key", F.inline("params")).select(
         "crop_key", "param_key", "ord", "display_name", "unit", "optimal_min", "optimal_max", "critical_min", "critical_max"
     ))
-    long = wide.unpivot([*keys, "crop_key"], list(columns), "param_key", "value").join(limits, ["crop_key", "param_key"])
+    exploded = named.select(*keys, known_crop.alias("crop_key"), values)
+    long = exploded.withColumn("param_key", F.get(names, F.col("_pos"))).drop("_pos").join(limits, ["crop_key", "param_key"])
     v = F.col("value")
     bounds = [F.col(c) for c in ("optimal_min", "optimal_max", "critical_min", "critical_max")]
     known = lambda c: F.when(v.isNotNull(), c)
@@ -148,6 +153,16 @@ def flagged_only(flags: DataFrame) -> DataFrame:
     return flags.where(F.col("status").isin("WARNING", "CRITICAL"))
 
 
+def placed_by_payload(payloads: DataFrame, keys: list[str], crop: str = "crop_key") -> DataFrame:
+    """Payloads dealt by their keys before anything is made of them: ``report_block`` then moves no text.
+
+    A payload is some hundred bytes, its lines are thousands, so the number of payloads decides on the partitions.
+    """
+    columns = [k for k in cp.PARAM_KEYS if k in payloads.columns]
+    parts = max(-(-payloads.count() // PAYLOADS_PER_PART), payloads.sparkSession.sparkContext.defaultParallelism)
+    return payloads.select(*keys, crop, *columns).repartition(parts, *keys)
+
+
 def report_block(evaluated: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
     """The evaluation as one text block per payload, from the score rows and the long flags of the same payloads."""
     line = (

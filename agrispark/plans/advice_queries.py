@@ -65,7 +65,8 @@ def field_health_from_file(spark, sf):
 
 
 def evaluation_reports(spark, sf):
-    return scoring.report_block(_evaluated(spark, sf), _flags(spark, sf), KEYS)
+    payloads, crops = scoring.placed_by_payload(_with_crop(spark, sf), KEYS), dims.crop_profiles(spark)
+    return scoring.report_block(scoring.evaluate(payloads, crops, KEYS), scoring.param_flags(payloads, crops, KEYS), KEYS)
 
 
 def _suitability(spark, sf):

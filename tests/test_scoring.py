@@ -82,6 +82,17 @@ def test_report_text(spark, scenarios):
     assert "irrigation" in texts["drought_stress"].lower()
 
 
+def test_reports_of_placed_payloads_move_no_text(spark, scenarios):
+    """Once payloads lie by their keys, neither their lines nor their scores are shuffled; repeated keys keep all lines."""
+    profiles, keys = dims.crop_profiles(spark), ["scenario"]
+    twice = scenarios.unionByName(scenarios.where("scenario = 'acid_soil'"))
+    report = lambda p: scoring.report_block(scoring.evaluate(p, profiles, keys), scoring.param_flags(p, profiles, keys), keys)
+    placed = report(scoring.placed_by_payload(twice, keys))
+    moved = [x for x in placed._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(scenario" in x]
+    assert moved and all("REPARTITION_BY_NUM" in x for x in moved)
+    assert sorted(map(str, placed.collect())) == sorted(map(str, report(twice).collect()))
+
+
 def bounds(*values):
     return [F.lit(x) for x in values]
 
