@@ -181,3 +181,19 @@ def test_staged_tables_belong_to_the_application(spark):
     path = staging_path(spark, "some")
     assert path.startswith(f"{shared_dir(spark).rstrip('/')}/agrispark/{spark.sparkContext.applicationId}/some-")
     assert path != staging_path(spark, "some")
+
+
+def test_compaction_deals_rows_once_and_reads_only_what_is_asked(spark, tmp_path):
+    """One shuffle finds the newest rows and brings them to their folders; expressions of the newest rows can be read."""
+    from agrispark.sources import corpus
+
+    path = str(tmp_path / "store")
+    frame = lambda rows: spark.createDataFrame(rows, schemas.CHUNKS)
+    row = lambda i, text: (f"c{i}", text, "s", 0, i, len(text), "markdown")
+    corpus.write_chunks(spark, frame([row(i, "old") for i in range(12)]), path)
+    corpus.write_chunks(spark, frame([row(i, "new") for i in range(4)]), path)
+    newest = corpus.newest_by_bucket(spark.read.parquet(path), 3)
+    assert newest._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r["chunk_id"], r["text"]) for r in newest.collect()} == {(f"c{i}", "new" if i < 4 else "old") for i in range(12)}
+    short = corpus.read_chunks(spark, path, (F.col("text") == "new").alias("is_new"))
+    assert sorted(map(tuple, short.collect())) == sorted((f"c{i}", i < 4) for i in range(12))
