@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from agrispark.operators import cells, cleanse, context, pruned, retrieval
@@ -148,6 +149,45 @@ def test_pruned_search_has_the_rows_of_the_whole_one(spark, tmp_path, rows):
     assert search.pairs.where("query_id = 3").count() == 0
 
 
+def test_pruned_search_adds_up_what_an_id_stands_for(spark, tmp_path):
+    """Ids of several texts of unlike length, or without a value, score as in the whole search, found by common terms or not."""
+    rows = [*texts(120, 9).items(), *((f"c{i % 7}", "rare soil the of" + " the lime" * i) for i in range(30)), (None, "rare pest the of soil"), (None, "the of" * 9)]
+    index = retrieval.build_index(spark.createDataFrame(rows, "chunk_id string, text string").repartition(3), str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "rare the soil of"), (2, "the of"), (None, "pest the rare"), (4, "lime")], "query_id long, text string")
+    bounds = pruned.impact_bounds(index, str(tmp_path / "b"))
+    for n in (1, 3):
+        search = pruned.pruned_search(index, bounds, asked, n, str(tmp_path / f"s{n}"))
+        by_text = lambda rows: sorted(map(str, map(tuple, rows.collect())))
+        assert by_text(search.rows) == by_text(retrieval.bm25_search(index, asked, n))
+
+
+def test_pruned_search_stores_postings_once_and_holds_few_pairs(spark, tmp_path, monkeypatch):
+    corpus = texts(200, 3)
+    index = retrieval.build_index(spark.createDataFrame(list(corpus.items()), "chunk_id string, text string"), str(tmp_path / "i"))
+    asked = spark.createDataFrame([(q, "soil the lime of pest" + " rain" * q) for q in range(20)], "query_id long, text string")
+    pruned.pruned_search(index, pruned.impact_bounds(index, str(tmp_path / "b")), asked, 2, str(tmp_path / "s"))
+    packs = spark.read.parquet(str(tmp_path / "s" / "packs")).collect()
+    numbers = spark.read.parquet(str(tmp_path / "s" / "numbers"))
+    postings = index.postings.join(numbers, "term")
+    assert sorted(c for p in packs for c in p["chunk_ids"]) == sorted(r[0] for r in postings.select("chunk_id").distinct().collect())
+    assert sum(len(p["term_nos"]) for p in packs) == 8 * postings.count()
+
+    entries = pa.array([{"query_no": q, "term_no": t, "query_weight": 1.0 + t} for q in range(9) for t in range(6)])
+    pack = pruned._pack(pa.table({
+        "chunk_id": [f"k{i // 6}" for i in range(600)], "doc_len": pa.array([7] * 600, pa.int64()), "block": pa.array([11] * 600, pa.int32()),
+        "term_no": pa.array([i % 6 for i in range(600)], pa.int64()), "weight": [1.0 + i / 600 for i in range(600)],
+    })).combine_chunks().to_batches()[0]
+    chunks = pruned._Chunks(pack, 0, pruned._Asked(entries))
+    every = np.ones(54, dtype=bool)
+    (whole,) = chunks.found(every)
+    monkeypatch.setattr(pruned, "PAIRS_AT_ONCE", 700)
+    parts = list(chunks.found(every))
+    assert len(parts) >= 8 and max(len(p[0]) for p in parts) <= 180
+    assert all(np.array_equal(np.concatenate(x), y) for x, y in zip(zip(*parts, strict=True), whole, strict=True))
+    units, n = chunks.looked_up(whole[0], whole[1], every)
+    assert np.array_equal(units, whole[2]) and np.array_equal(n, whole[3])
+
+
 def test_scores_dont_hang_on_the_order_of_rows(spark, tmp_path):
     corpus = texts(60, 5)
     asked = spark.createDataFrame([(1, "the soil of the lime and water root leaf")], "query_id long, text string")
